@@ -32,7 +32,17 @@ VIEWS = {
   SELECT 'probe-' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS node_id,
          CASE WHEN event_type IN ('view', 'signup') THEN 'central' WHEN event_type = 'purchase' THEN 'legacy-env'
               ELSE 'regional' END AS active_target,
-         {_DENSE.replace('ts', 'ts')} AS timestamp, event_id AS arrival FROM events)""",
+         {_DENSE} AS timestamp, event_id AS arrival FROM events)""",
+    "env": """env AS (
+  SELECT *, make_timestamp(us) AS received_at, 'probe-' || lpad(CAST(cust AS VARCHAR), 8, '0') AS node_id,
+         CASE WHEN odd AND prio = '3-MEDIUM' THEN NULL ELSE 'batch-' || cust END AS batch_id,
+         CASE WHEN status = 'F' THEN 'gh-accra' WHEN odd THEN 'us-west' END AS region_id,
+         'n-' || cust AS nonce, odd AND prio = '5-LOW' AS bad_ts, 1 + cust % 3 AS n_metrics,
+         'A' || chr(CAST(65 + cust % 25 AS INTEGER)) AS country, substr(prio, 3) AS region,
+         (us - (cents % 600000) * 1000) // 1000000 AS header_s
+  FROM (SELECT o_orderkey AS arrival, o_custkey AS cust, o_orderstatus AS status, o_orderpriority AS prio,
+               o_orderstatus = 'P' AS odd, CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
+               (epoch_us(o_orderdate) - 694224000000000) // 86400 + 1704067200000000 AS us FROM orders))""",
     "logs": """logs AS (
   SELECT make_timestamp(1704067200000000 + doc_id * 1000000) AS timestamp, source AS service,
          CASE WHEN n_chars > 2000 THEN 'CRITICAL' WHEN n_chars > 800 THEN 'ERROR'
@@ -52,3 +62,14 @@ def sql(views: str, body: str, *ctes: str, recursive: bool = False) -> str:
     """``WITH`` the named views (and extra CTE texts) followed by ``body``."""
     parts = [VIEWS[v] for v in views.split()] + list(ctes)
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}"
+
+
+def chain(name: str, source: str, key: str, us: str, seconds: int) -> str:
+    """CTEs ``<name>_chain`` and ``<name>``: rows of ``source`` kept by set-if-absent with a time to live."""
+    return f"""{name}_chain AS (
+      SELECT {key} AS key, min({us}) AS us FROM {source} WHERE {key} IS NOT NULL GROUP BY 1
+      UNION ALL
+      SELECT c.key, min(s.{us}) FROM {name}_chain c JOIN {source} s ON s.{key} = c.key AND s.{us} >= c.us + {seconds}000000
+      GROUP BY c.key, c.us),
+    {name} AS (SELECT s.* FROM {source} s JOIN {name}_chain c ON s.{key} = c.key AND s.{us} = c.us
+      QUALIFY row_number() OVER (PARTITION BY s.{key}, s.{us} ORDER BY s.arrival) = 1)"""
