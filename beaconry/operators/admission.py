@@ -55,13 +55,15 @@ def check_freshness(env: DataFrame, now: Column, max_skew_s: int = 300) -> DataF
 
 
 def reject_replays(env: DataFrame, key: str = "nonce", ttl_s: int = 600, ties: tuple[str, ...] = ("arrival",),
-                   **split) -> DataFrame:
+                   basis: DataFrame | None = None, **split) -> DataFrame:
     """Add ``replayed``: the key was used within the TTL; only a first use starts a new TTL."""
     # rows without a key are never replays; a salt keeps them from forming one large group
     salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64("received_at", *ties), F.lit(1024))).otherwise(F.lit(0))
     salted = env.withColumn("_salt", salt.cast("long"))
-    out = ordered.greedy_keep(salted, [key, "_salt"], "received_at", ttl_s, list(ties), **split)
-    return out.withColumn("replayed", ~F.col("kept") & F.col(key).isNotNull()).drop("kept", "_salt")
+    if basis is not None:
+        basis = basis.withColumn("_salt", F.lit(0).cast("long"))
+    out = ordered.greedy_keep(salted, [key, "_salt"], "received_at", ttl_s, list(ties), basis, **split)
+    return out.withColumn("replayed", ~F.col("kept") & F.col(key).isNotNull()).drop("kept", "anchor", "_salt")
 
 
 def idempotent_batches(env: DataFrame, ttl_s: int = 600, ties: tuple[str, ...] = ("arrival",), **split) -> DataFrame:
@@ -120,13 +122,13 @@ def admit(env: DataFrame, secret: str, allowed: tuple[str, ...] = ALLOWED_REGION
     df = df.withColumn("reason", early)
     # rows that never reach the nonce store get no nonce and so cannot burn one
     df = df.withColumn("_nonce", F.when(F.col("reason").isNull() & _signed(), F.col("nonce")))
-    df = reject_replays(df, "_nonce")
+    df = reject_replays(df, "_nonce", basis=env.select(F.col("nonce").alias("_nonce"), "received_at"))
     df = df.withColumn("reason", F.coalesce(
         "reason", F.when(F.col("replayed"), "nonce_replay").when(~F.col("signature_ok"), "bad_signature")
         .when(F.col("limit_error").isNotNull(), F.col("limit_error"))
         .when(F.col("region_rejected"), "invalid_region")))
     df = df.withColumn("_batch", F.when(F.col("reason").isNull(), F.col("batch_id"))).drop("replayed")
-    df = reject_replays(df, "_batch")
+    df = reject_replays(df, "_batch", basis=env.select(F.col("batch_id").alias("_batch"), "received_at"))
     df = df.withColumn("reason", F.coalesce("reason", F.when(F.col("replayed"), "already_processed")))
     return df.drop("replayed", "_nonce", "_batch", "fresh", "signature_ok", "limit_error", "region_rejected",
                    "region_known")
@@ -136,18 +138,16 @@ def admit(env: DataFrame, secret: str, allowed: tuple[str, ...] = ALLOWED_REGION
 
 
 def fixed_window_quota(df: DataFrame, keys: list[str], ts: str, limit: int, window_s: float, ties: list[str],
-                       **split) -> DataFrame:
+                       basis: DataFrame | None = None, **split) -> DataFrame:
     """Add ``hit`` (1, 2, ... in its window) and ``allowed`` (hit <= limit).
 
-    A window opens at the first hit outside any window, so window starts are the kept rows of a greedy chain;
-    rejected hits count too.
+    A window opens at the first hit outside any window, so windows are the spans between kept rows of a greedy
+    chain; rejected hits count too.
     """
-    marked = ordered.greedy_keep(df, keys, ts, window_s, ties, **split)
-    marked = marked.withColumn("_start", F.when(F.col("kept"), F.col(ts)))
-    opened = ordered.carry_last(marked, keys, [ts, *ties], {"_window": "_start"}, **split)
-    spec = Window.partitionBy(*keys, "_window").orderBy(ts, *ties)
-    out = opened.withColumn("hit", F.row_number().over(spec))
-    return out.withColumn("allowed", F.col("hit") <= limit).drop("kept", "_start", "_window")
+    marked = ordered.greedy_keep(df, keys, ts, window_s, ties, basis, **split)
+    spec = Window.partitionBy(*keys, "anchor").orderBy(ts, *ties)
+    out = marked.withColumn("hit", F.row_number().over(spec))
+    return out.withColumn("allowed", F.col("hit") <= limit).drop("kept", "anchor")
 
 
 def _bucket_kernel(rate: float, capacity: float):
@@ -178,18 +178,25 @@ def _bucket_kernel(rate: float, capacity: float):
 
 def _run_buckets(df: DataFrame, keys: list[str], ts: str, rate: float, capacity: float, ties: list[str],
                  **split) -> DataFrame:
-    """Run the bucket per key. An idle time that refills the bucket ends a run, and runs execute in parallel."""
+    """Run the bucket per key. In hot keys an idle time that refills the bucket ends a run; runs are independent."""
+    order = ["_us", *ties]
     rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = ordered.with_lags(rows, keys, ["_us", *ties], {"_before": "_us"}, **split)
-    idle = F.lit(int(np.ceil(capacity / rate * 1e6)))
-    fresh = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= idle)
-    rows = rows.withColumn("_start", F.when(fresh, F.col("_us"))).drop("_before")
-    rows = ordered.carry_last(rows, keys, ["_us", *ties], {"_run": "_start"}, **split).drop("_start")
-    rows = rows.repartition(*keys, "_run")
-    spec = Window.partitionBy(*keys, "_run").orderBy("_us", *ties)
-    rows = rows.withColumn("_first", F.row_number().over(spec) == 1)
-    schema = StructType([*rows.schema.fields, StructField("_filled", DoubleType()), StructField("_granted", LongType())])
-    return rows.mapInArrow(_bucket_kernel(float(rate), float(capacity)), schema).drop("_us", "_run", "_first")
+
+    def logic(part: DataFrame, g: ordered.Keys) -> DataFrame:
+        group = list(keys)
+        if g.chunked:
+            part = g.lags(part, order, {"_before": "_us"})
+            idle = F.lit(int(np.ceil(capacity / rate * 1e6)))
+            fresh = F.col("_before").isNull() | (F.col("_us") - F.col("_before") >= idle)
+            part = part.withColumn("_start", F.when(fresh, F.col("_us"))).drop("_before")
+            part = g.last_known(part, order, {"_run": "_start"}).drop("_start", "_chunk")
+            group.append("_run")
+        part = part.withColumn("_first", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1)
+        schema = StructType([
+            *part.schema.fields, StructField("_filled", DoubleType()), StructField("_granted", LongType())])
+        return part.mapInArrow(_bucket_kernel(float(rate), float(capacity)), schema).drop("_us", "_run", "_first")
+
+    return ordered.per_key(rows, keys, "_us", logic, **split)
 
 
 def token_bucket(df: DataFrame, keys: list[str], ts: str, rate: float, capacity: float, ties: list[str],

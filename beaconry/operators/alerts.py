@@ -11,7 +11,6 @@ from beaconry.functions import exact
 from beaconry.functions.timeutil import Instant, age_seconds, instant
 from beaconry.operators import admission, ordered
 from beaconry.operators.rowwindow import breach, counter_rate, histogram_quantile
-from beaconry.session import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -70,7 +69,7 @@ def evaluate_rules(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Da
 def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_S, **split) -> DataFrame:
     """Add ``kept``: first alert of its node, measure and severity in the cooldown."""
     return ordered.greedy_keep(
-        alerts, ["node_id", "metric_name", "severity"], "ts", seconds, ["arrival", "rule_no"], **split)
+        alerts, ["node_id", "metric_name", "severity"], "ts", seconds, ["arrival", "rule_no"], **split).drop("anchor")
 
 
 def node_quota(alerts: DataFrame, limit: int = NODE_LIMIT, window_s: int = NODE_WINDOW_S, **split) -> DataFrame:
@@ -94,17 +93,16 @@ def run_alerts(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, **split)
     # suppressed rows leave the quota through a null node and a salt, so they neither count nor pile up
     gate = F.when(F.col("kept"), F.col("node_id"))
     salt = F.when(F.col("kept"), F.lit(0)).otherwise(F.pmod(F.xxhash64("alert_id"), F.lit(1024))).cast("long")
-    marked = marked.withColumns({"_node": gate, "_salt": salt}).withColumnRenamed("kept", "_first")
+    marked = marked.withColumns({"_node": gate, "_salt": salt}).withColumnRenamed("kept", "_fresh")
+    basis = df.select(F.col("node_id").alias("_node"), F.lit(0).cast("long").alias("_salt"), F.col("time").alias("ts"))
     counted = admission.fixed_window_quota(
-        marked, ["_node", "_salt"], "ts", NODE_LIMIT, NODE_WINDOW_S, ["arrival", "rule_no"], **split)
-    counted = counted.withColumn("_asks", F.col("_first") & F.col("allowed")).drop("_node", "_salt", "hit", "allowed")
-    path = scratch_dir(df.sparkSession, "alerts")
-    counted.write.parquet(path)
-    done = global_bucket(df.sparkSession.read.parquet(path), asks="_asks", **split)
+        marked, ["_node", "_salt"], "ts", NODE_LIMIT, NODE_WINDOW_S, ["arrival", "rule_no"], basis, **split)
+    counted = counted.withColumn("_wants", F.col("_fresh") & F.col("allowed")).drop("_node", "_salt", "hit", "allowed")
+    done = global_bucket(ordered.stored(counted, "alerts"), asks="_wants", **split)
     return done.withColumn(
         "disposition",
-        F.when(~F.col("_first"), "dedup").when(~F.col("_asks"), "node_quota")
-        .when(~F.col("allowed"), "global_limit").otherwise("sent")).drop("_first", "_asks", "allowed")
+        F.when(~F.col("_fresh"), "dedup").when(~F.col("_wants"), "node_quota")
+        .when(~F.col("allowed"), "global_limit").otherwise("sent")).drop("_fresh", "_wants", "allowed")
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:
@@ -194,14 +192,19 @@ def window_rules(df: DataFrame, nodes: DataFrame, now: Instant, countries: dict[
 
 def pending(df: DataFrame, keys: list[str], ts: str, condition: str, hold_s: float, **split) -> DataFrame:
     """Add ``state`` per evaluation: inactive, pending, or firing once the condition held for ``hold_s`` without a break."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    order = [ts, "arrival"]
+
+    def logic(part: DataFrame, g: ordered.Keys) -> DataFrame:
+        part = g.lags(part, order, {"_was": condition})
+        rose = F.col(condition) & ~F.coalesce(F.col("_was"), F.lit(False))
+        return g.last_known(part.withColumn("_rose", F.when(rose, us)), order, {"_since": "_rose"})
+
     df = df.withColumn(condition, F.coalesce(F.col(condition), F.lit(False)))
-    rows = ordered.with_lags(df, keys, [ts, "arrival"], {"_was": condition}, **split)
-    rose = F.col(condition) & ~F.coalesce(F.col("_was"), F.lit(False))
-    rows = rows.withColumn("_rose", F.when(rose, F.unix_micros(F.col(ts).cast("timestamp")))).drop("_was")
-    rows = ordered.carry_last(rows, keys, [ts, "arrival"], {"_since": "_rose"}, **split).drop("_rose")
-    held = (F.unix_micros(F.col(ts).cast("timestamp")) - F.col("_since")) / 1e6
-    return rows.withColumn(
-        "state", F.when(~F.col(condition), "inactive").when(held >= hold_s, "firing").otherwise("pending")).drop("_since")
+    rows = ordered.per_key(df, keys, ts, logic, **split)
+    held = (us - F.col("_since")) / 1e6
+    state = F.when(~F.col(condition), "inactive").when(held >= hold_s, "firing").otherwise("pending")
+    return rows.withColumn("state", state).drop("_was", "_rose", "_since")
 
 
 @dataclass(frozen=True)
@@ -242,8 +245,10 @@ def metric_rules(samples: DataFrame, rules: tuple[SeriesRule, ...] = SERIES_RULE
     ``samples``: series, metric, labels, ts, arrival, value. Rates and quantiles use the samples of one window;
     hold times compare window starts.
     """
-    rates = counter_rate(samples.withColumn("service", F.coalesce(F.try_element_at("labels", F.lit("service")), F.lit(""))),
-                         ["series", "metric", "labels", "service"], window, window_s)
+    # labels are constant within a series
+    labels = samples.groupBy("series").agg(F.first("labels").alias("labels"))
+    rates = counter_rate(samples.drop("labels"), ["series", "metric"], window, window_s).join(labels, "series")
+    rates = rates.withColumn("service", F.coalesce(F.try_element_at("labels", F.lit("service")), F.lit("")))
     last = samples.groupBy("series", "metric", F.window("ts", window)["start"].alias("bucket")).agg(
         F.max_by("value", F.struct("ts", "arrival")).cast("double").alias("value"))
     parts = []

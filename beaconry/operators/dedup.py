@@ -25,7 +25,7 @@ def dedup_metrics(df: DataFrame, ttl_s: int = 180, received: str | None = None,
     if received is None:
         return first_per(keyed, ["node_id", "_second"], ["arrival"]).drop("_second")
     out = ordered.greedy_keep(keyed, ["node_id", "_second"], received, ttl_s, ["arrival"], **split)
-    return out.where("kept").drop("kept", "_second")
+    return out.where("kept").drop("kept", "anchor", "_second")
 
 
 def insert_first_wins(new: DataFrame, existing: DataFrame) -> DataFrame:

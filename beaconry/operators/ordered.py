@@ -1,32 +1,37 @@
 """Order-dependent work per key that stays parallel when one key holds a large share of all rows.
 
-A plain ``Window.partitionBy(key)`` puts every row of a key into one task. Here keys with many rows are cut
-into chunks along the order column, and each chunk carries in what it needs from earlier chunks:
+A plain ``Window.partitionBy(key)`` puts every row of a key into one task. That is right for ordinary keys.
+:func:`per_key` first counts rows per key (a map-side combined aggregate) and, only when some keys are hot, takes
+their rows aside and cuts them into chunks along the order column. An operator is written once against
+:class:`Keys`; for chunks its methods carry in what a chunk needs from earlier ones:
 
-* :func:`lookback` adds the k rows before each chunk (frames, lag);
-* :func:`carry_last` adds the last known values before each chunk (running state);
-* :func:`greedy_keep` composes per-chunk summaries of a cooldown chain.
+* :meth:`Keys.frame` copies the k rows before each chunk into it (lags and row frames);
+* :meth:`Keys.last_known` carries the last known values (running state);
+* :meth:`Keys.greedy` composes per-chunk summaries of a cooldown chain.
 
-Ordinary keys form one chunk, so their plan is the plain window. Which keys are hot is found by a
-pre-aggregated count inside the same query; nothing is collected to the driver. The hot-key table holds at
-most ``HOT_KEYS`` rows, which bounds its broadcast; the limit only picks which keys are cut, never which
-rows are kept, and a key below it holds at most 1/HOT_KEYS of all rows.
+The hot-key list is cut at ``HOT_KEYS`` rows, which bounds what reaches the driver and its broadcast. The cut only
+picks which keys are chunked, never which rows are kept: a key outside it holds at most 1/HOT_KEYS of all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType, TimestampNTZType, TimestampType
 
+from beaconry.session import scratch_dir
+
 HOT_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
 HOT_KEYS = 10_000
 
+_FIRST_INSTANT = -(2**63 - 1)
+
 
 def _position(df: DataFrame, order: str) -> Column:
     """The order column as a number that grows with it."""
@@ -35,89 +40,138 @@ def _position(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("long")
 
 
-def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int, chunk_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, their order range and the number of chunks to cut."""
+def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS,
+             chunk_rows: int = CHUNK_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows with their order range and number of chunks, or None."""
     pos = _position(df, order)
     counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-    return (
+    hot = (
         counts.where((F.col("_n") > hot_rows) & (F.col("_hi") > F.col("_lo")))
         .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
         .select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / F.lit(chunk_rows)).alias("_parts")))
+    found = hot.collect()  # at most HOT_KEYS small rows
+    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
-def _chunk_of(df: DataFrame, order: str) -> Column:
-    span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    cut = F.floor((_position(df, order) - F.col("_lo")) * F.col("_parts") / span)
-    return F.coalesce(F.least(cut, F.col("_parts") - 1), F.lit(0)).cast("int")
-
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """The rows written once to the shared scratch folder; survives lost executors and is not recomputed."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def chunked(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS,
-            chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(df with ``_chunk``, the hot part of it). Chunks never split rows of equal order value."""
-    hot = F.broadcast(hot_keys(df, keys, order, hot_rows, chunk_rows))
-    extra = ["_lo", "_hi", "_parts"]
-    every = df.join(hot, keys, "left").withColumn("_chunk", _chunk_of(df, order)).drop(*extra)
-    only_hot = df.join(hot, keys, "inner").withColumn("_chunk", _chunk_of(df, order)).drop(*extra)
-    return every, only_hot
 
+def per_key(df: DataFrame, keys: list[str], order: str, logic: Callable[[DataFrame, "Keys"], DataFrame],
+            basis: DataFrame | None = None, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Run ``logic`` over ordinary keys and over chunks of hot keys, and put both together.
 
-def _by(order: list[str], descending: bool = False) -> list[Column]:
-    return [F.desc(c) if descending else F.asc(c) for c in order]
-
-
-def lookback(df: DataFrame, keys: list[str], order: list[str], k: int, hot_rows: int = HOT_ROWS,
-             chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, Window]:
-    """Frame for windows that look at most ``k`` rows back.
-
-    Returns the rows with ``_chunk`` and ``_halo`` and the window specification to use. Rows with ``_halo``
-    true are copies of earlier rows: drop them after the window functions ran.
+    ``basis`` may name a cheaper frame with the same keys and order column to count rows in.
     """
-    every, hot = chunked(df, keys, order[0], hot_rows, chunk_rows)
-    part = [*keys, "_chunk"]
-    rest = [c for c in df.columns if c not in keys]
-    newest = Window.partitionBy(*part).orderBy(*_by(order, True))
-    tail = hot.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= k)
-    per_chunk = tail.groupBy(*part).agg(F.collect_list(F.struct(*rest)).alias("_rows"))  # at most k rows
-    # the last k chunks surely hold the last k rows; older copies among them lie outside every frame
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-k, -1)
-    ahead = per_chunk.select(*part, F.flatten(F.collect_list("_rows").over(before)).alias("_rows"))
-    halo = ahead.select(*part, F.explode("_rows").alias("_row")).select(
-        *keys, *[F.col(f"_row.{c}").alias(c) for c in rest], "_chunk", F.lit(True).alias("_halo"))
-    out = every.withColumn("_halo", F.lit(False)).unionByName(halo)
-    return out, Window.partitionBy(*part).orderBy(*_by(order))
-
-
-def without_halo(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("_halo")).drop("_halo", "_chunk")
-
-
-def with_lags(df: DataFrame, keys: list[str], order: list[str], lags: dict[str, str], hot_rows: int = HOT_ROWS,
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add the previous row's value of each column in ``lags`` (new name -> column)."""
-    rows, w = lookback(df, keys, order, 1, hot_rows, chunk_rows)
-    return without_halo(rows.withColumns({new: F.lag(col).over(w) for new, col in lags.items()}))
-
-
-def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], hot_rows: int = HOT_ROWS,
-               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Add the last non-null value so far (this row included) of each column in ``values``."""
-    every, hot = chunked(df, keys, order[0], hot_rows, chunk_rows)
-    part = [*keys, "_chunk"]
-    at = F.struct(*order)
-    per_chunk = hot.groupBy(*part).agg(*[
-        F.max_by(col, F.when(F.col(col).isNotNull(), at)).alias(col) for col in values.values()])
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = per_chunk.select(*part, *[F.last(col, ignorenulls=True).over(before).alias(col) for col in values.values()])
-    halo = ahead.select(
-        *part, *values.values(), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns
-                                   if c not in keys and c not in values.values()], F.lit(True).alias("_halo"))
-    rows = every.withColumn("_halo", F.lit(False)).unionByName(halo)
-    w = Window.partitionBy(*part).orderBy(F.desc("_halo"), *_by(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return without_halo(rows.withColumns({new: F.last(col, ignorenulls=True).over(w) for new, col in values.items()}))
-
-
-# --- greedy chains ----------------------------------------------------------------------------------------------
+    hot = hot_keys(df if basis is None else basis, keys, order, hot_rows, chunk_rows)
+    if hot is None:
+        return logic(df, Keys(keys, False))
+    hot = F.broadcast(hot)
+    span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
+    cut = F.floor((_position(df, order) - F.col("_lo")) * F.col("_parts") / span)
+    chunk = F.greatest(F.lit(0), F.least(cut, F.col("_parts") - 1)).cast("int")
+    heavy = stored(df.join(hot, keys).withColumn("_chunk", chunk).drop("_lo", "_hi", "_parts"), "hot")
+    rest = df.join(hot.select(*keys), keys, "left_anti")
+    done = logic(heavy, Keys(keys, True)).drop("_chunk")
+    return logic(rest, Keys(keys, False)).unionByName(done)
+
+
+@dataclass(frozen=True)
+class Keys:
+    """Grouping of an ordered operator: by key, or by key and chunk."""
+
+    keys: list[str]
+    chunked: bool
+
+    @property
+    def part(self) -> list[str]:
+        return [*self.keys, "_chunk"] if self.chunked else list(self.keys)
+
+    def window(self, order: list[str], reverse: bool = False) -> WindowSpec:
+        return Window.partitionBy(*self.part).orderBy(*[F.desc(c) if reverse else F.asc(c) for c in order])
+
+    def frame(self, df: DataFrame, order: list[str], k: int, make: Callable[[WindowSpec], dict[str, Column]],
+              reverse: bool = False) -> DataFrame:
+        """Add window columns that look at most ``k`` rows back (forward in time when ``reverse``)."""
+        w = self.window(order, reverse)
+        if not self.chunked:
+            return df.withColumns(make(w))
+        df = stored(df)
+        rest = [c for c in df.columns if c not in self.part]
+        tail = df.withColumn("_rn", F.row_number().over(self.window(order, not reverse))).where(F.col("_rn") <= k)
+        per_chunk = tail.groupBy(*self.part).agg(F.collect_list(F.struct(*rest)).alias("_rows"))  # at most k rows
+        # the nearest k chunks surely hold the k rows before; older copies among them lie outside every frame
+        near = Window.partitionBy(*self.keys).orderBy(F.desc("_chunk") if reverse else F.asc("_chunk"))
+        ahead = per_chunk.select(*self.part, F.flatten(F.collect_list("_rows").over(near.rowsBetween(-k, -1))).alias("_rows"))
+        halo = ahead.select(*self.part, F.explode("_rows").alias("_row")).select(
+            *self.part, *[F.col(f"_row.{c}").alias(c) for c in rest], F.lit(True).alias("_halo"))
+        rows = df.withColumn("_halo", F.lit(False)).unionByName(halo)
+        return rows.withColumns(make(w)).where(~F.col("_halo")).drop("_halo")
+
+    def lags(self, df: DataFrame, order: list[str], lags: dict[str, str], reverse: bool = False) -> DataFrame:
+        """Add the previous row's value (the next one's when ``reverse``) of each column (new name -> column)."""
+        return self.frame(df, order, 1, lambda w: {new: F.lag(c).over(w) for new, c in lags.items()}, reverse)
+
+    def last_known(self, df: DataFrame, order: list[str], values: dict[str, str]) -> DataFrame:
+        """Add the last non-null value so far, this row included, of each column in ``values``."""
+        if not self.chunked:
+            w = self.window(order).rowsBetween(Window.unboundedPreceding, 0)
+            return df.withColumns({new: F.last(c, ignorenulls=True).over(w) for new, c in values.items()})
+        df = stored(df)
+        cols = list(values.values())
+        per_chunk = df.groupBy(*self.part).agg(*[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in cols])
+        before = Window.partitionBy(*self.keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        halo = per_chunk.select(*[
+            F.last(c, ignorenulls=True).over(before).alias(c) if c in cols else F.col(c) if c in self.part
+            else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns], F.lit(True).alias("_halo"))
+        rows = df.withColumn("_halo", F.lit(False)).unionByName(halo)
+        w = Window.partitionBy(*self.part).orderBy(F.desc("_halo"), *order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumns({new: F.last(c, ignorenulls=True).over(w) for new, c in values.items()})
+        return rows.where(~F.col("_halo")).drop("_halo")
+
+    def greedy(self, df: DataFrame, ts: str, seconds: float, ties: list[str]) -> DataFrame:
+        """Add ``kept`` and ``anchor``: whether a row is kept by the cooldown, and the time of the last kept row."""
+        if seconds <= 0:
+            raise ValueError("the cooldown must be positive")
+        gap = int(round(seconds * 1_000_000))
+        rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+        if self.chunked:
+            rows = stored(rows)
+            rows = rows.withColumn("_allowed", F.lit(None).cast("long")).unionByName(self._entries(rows, gap))
+        else:
+            rows = rows.withColumn("_allowed", F.lit(None).cast("long"))
+        spec = Window.partitionBy(*self.part).orderBy(F.asc_nulls_first("_us"), *ties)
+        rows = rows.withColumn("_first", F.row_number().over(spec) == 1)
+        rows = rows.withColumn("_us", F.coalesce("_us", F.lit(_FIRST_INSTANT)))
+        schema = StructType([*rows.schema.fields, StructField("kept", BooleanType()), StructField("_at", LongType())])
+        out = rows.mapInArrow(_keep_kernel(gap), schema).where(F.col("_us") > F.lit(_FIRST_INSTANT))
+        anchor = F.timestamp_micros("_at").cast(df.schema[ts].dataType)
+        return out.withColumn("anchor", anchor).drop("_us", "_allowed", "_first", "_at")
+
+    def _entries(self, rows: DataFrame, gap: int) -> DataFrame:
+        """One row per chunk that tells from when on a row may be kept; it sorts before the chunk's own rows."""
+        fields = [rows.schema[k] for k in self.keys]
+        chunk = StructField("_chunk", IntegerType())
+        summarize, keys = _chunk_exits(gap), list(self.keys)
+
+        def maps_of(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = summarize(pdf)
+            for k in reversed(keys):
+                out.insert(0, k, pdf[k].iloc[0])
+            return out
+
+        schema = StructType([*fields, chunk, StructField("_upto", LongType()), StructField("_exit", LongType())])
+        maps = rows.select(*self.part, "_us").distinct().groupBy(*self.part).applyInPandas(maps_of, schema)
+        schema = StructType([*fields, chunk, StructField("_allowed", LongType())])
+        entry = maps.groupBy(*keys).applyInPandas(_walk(keys, gap), schema)
+        return entry.select(*[
+            F.col(c) if c in self.part else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns],
+            "_allowed")
 
 
 def _chunk_exits(gap: int):
@@ -162,72 +216,48 @@ def _walk(keys: list[str], gap: int):
 
 def _keep_kernel(gap: int):
     """Streams Arrow batches in (group, time) order; ``_first`` marks group starts, ``_allowed`` the entry time."""
+    low = np.iinfo(np.int64).min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = np.iinfo(np.int64).min
+        allowed = low
         for batch in batches:
             n = batch.num_rows
-            if n == 0:
-                continue
             us = batch.column("_us").to_numpy(zero_copy_only=False)
-            first = batch.column("_first").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
             entry = batch.column("_allowed")
-            kept = np.zeros(n, dtype=bool)
-            starts = np.flatnonzero(first)
-            edges = np.unique(np.concatenate(([0], starts, [n])))
-            starts_set = set(starts.tolist())
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if lo in starts_set:
+            kept, last = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
+            opens = set(starts.tolist())
+            edges = np.unique(np.concatenate(([0], starts, [n]))).tolist()
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if lo in opens:
                     given = entry[lo].as_py()
-                    allowed = np.iinfo(np.int64).min if given is None else given
-                seg = us[lo:hi]
-                i = int(np.searchsorted(seg, allowed, side="left"))
-                while i < hi - lo:
-                    kept[lo + i] = True
-                    allowed = int(seg[i]) + gap
-                    i = int(np.searchsorted(seg, allowed, side="left")) if gap > 0 else i + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept)], names=[*batch.schema.names, "kept"])
+                    allowed = low if given is None else given
+                at = lo
+                while at < hi:  # one step per kept row
+                    i = at + int(np.searchsorted(us[at:hi], allowed, side="left"))
+                    last[at:i] = allowed - gap if allowed != low else 0
+                    if i < hi:
+                        kept[i], last[i] = True, us[i]
+                        allowed = int(us[i]) + gap
+                    at = i + 1
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(kept), pa.array(last)], names=[*batch.schema.names, "kept", "_at"])
 
     return run
 
 
-def greedy_keep(df: DataFrame, keys: list[str], ts: str, seconds: float, ties: list[str], hot_rows: int = HOT_ROWS,
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def greedy_keep(df: DataFrame, keys: list[str], ts: str, seconds: float, ties: list[str],
+                basis: DataFrame | None = None, **split) -> DataFrame:
     """Add ``kept``: true when at least ``seconds`` passed since the last kept row of the key.
 
     This is set-if-absent with a time to live; exactly ``seconds`` later counts as expired. Rows of one time are
-    ordered by ``ties``. Hot keys run in chunks: each chunk gives a step map from its earliest allowed time to
-    its last kept time, the maps are followed per key, and every chunk then runs with its own entry time.
+    ordered by ``ties``. ``anchor`` is the time of the last kept row. Hot keys run in chunks: each chunk gives a
+    step map from its earliest allowed time to its last kept time, the maps are followed per key, and every chunk
+    then runs with its own entry time.
     """
-    if seconds <= 0:
-        raise ValueError("the cooldown must be positive")
-    gap = int(round(seconds * 1_000_000))
-    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    every, hot = chunked(rows, keys, "_us", hot_rows, chunk_rows)
-    part = [*keys, "_chunk"]
-    key_fields = [df.schema[k] for k in keys]
-    maps_schema = StructType([*key_fields, StructField("_chunk", IntegerType()), StructField("_upto", LongType()),
-                              StructField("_exit", LongType())])
-    summarize, n_keys = _chunk_exits(gap), list(keys)
-
-    def maps_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = summarize(pdf)
-        for k in reversed(n_keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    maps = hot.select(*part, "_us").distinct().groupBy(*part).applyInPandas(maps_of, maps_schema)
-    entry_schema = StructType([*key_fields, StructField("_chunk", IntegerType()), StructField("_allowed", LongType())])
-    entry = maps.groupBy(*keys).applyInPandas(_walk(n_keys, gap), entry_schema)
-    # entry times ride along as one row per chunk, sorted before the chunk's own rows
-    head = entry.select(*[
-        F.col(c) if c in keys else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns],
-        "_chunk", "_allowed")
-    marked = every.withColumn("_allowed", F.lit(None).cast("long")).unionByName(head)
-    spec = Window.partitionBy(*part).orderBy(F.asc_nulls_first("_us"), *[F.asc(c) for c in ties])
-    marked = marked.withColumn("_first", F.row_number().over(spec) == 1)
-    # the head row has no time of its own: give it the smallest one so that it never counts as an event
-    marked = marked.withColumn("_us", F.coalesce("_us", F.lit(-(2**63 - 1))))
-    schema = StructType([*marked.schema.fields, StructField("kept", BooleanType())])
-    out = marked.mapInArrow(_keep_kernel(gap), schema)
-    return out.where(F.col("_us") > F.lit(-(2**63 - 1))).drop("_us", "_chunk", "_allowed", "_first")
+    return per_key(df, keys, ts, lambda part, g: g.greedy(part, ts, seconds, ties), basis, **split)
+
+
+def with_lags(df: DataFrame, keys: list[str], order: list[str], lags: dict[str, str], **split) -> DataFrame:
+    """Add the previous row's value of each column in ``lags`` (new name -> column)."""
+    return per_key(df, keys, order[0], lambda part, g: g.lags(part, order, lags), **split)

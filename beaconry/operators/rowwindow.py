@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from beaconry.functions import exact, scalar, state
 from beaconry.functions.timeutil import Instant, age_seconds, bucket
@@ -21,12 +21,16 @@ def rolling_anomaly(df: DataFrame, n: int = 20, min_samples: int = 5, **split) -
     scale = exact.scale_of(df, "latency_ms") or 0
     one = float(10**scale)
     slim = df.where(F.col("latency_ms").isNotNull()).withColumn("_x", exact.units(df, "latency_ms"))
-    rows, w = ordered.lookback(slim, ["node_id"], ["arrival"], n - 1, **split)
-    w = w.rowsBetween(-(n - 1), 0)
-    rows = ordered.without_halo(rows.withColumns({
-        "_n": F.count("_x").over(w), "_s": F.sum("_x").over(w), "_q": F.sum(F.col("_x") * F.col("_x")).over(w)}))
+
+    def sums(w: WindowSpec) -> dict[str, Column]:
+        w = w.rowsBetween(-(n - 1), 0)
+        return {"_n": F.count("_x").over(w), "_s": F.sum("_x").over(w), "_q": F.sum(F.col("_x") * F.col("_x")).over(w)}
+
+    rows = ordered.per_key(
+        slim, ["node_id"], "arrival", lambda part, g: g.frame(part, ["arrival"], n - 1, sums), **split)
     enough = F.col("_n") >= min_samples
-    spread = (F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s")) / (F.col("_n") * (F.col("_n") - 1))
+    pairs = F.nullif(F.col("_n") * (F.col("_n") - 1), F.lit(0))
+    spread = (F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s")) / pairs
     rows = rows.withColumns({
         "_mean": F.col("_s") / (F.col("_n") * F.lit(int(one))), "_sd": F.sqrt(F.greatest(spread, F.lit(0.0))) / one})
     off = F.abs(F.col("_x") / F.lit(one) - F.col("_mean"))
@@ -122,15 +126,14 @@ def posture(df: DataFrame, now: Instant, latest_only: bool = True) -> DataFrame:
         .when((F.col("critical") >= 1) | (F.col("degraded") >= 1), "CONTESTED").otherwise("SECURED"))
 
 
-def _segments(df: DataFrame, keys: list[str], ts: str, level: str, **split) -> DataFrame:
-    """Spans of constant level: start, and end (start of the next span; null for the last)."""
-    rows = ordered.with_lags(df, keys, [ts, "arrival"], {"_old": level}, **split)
+def _segments(df: DataFrame, g: ordered.Keys, ts: str, level: str) -> DataFrame:
+    """Spans of constant level with ``_end``, the start of the next span (null for the last), and ``_held`` seconds."""
+    order = [ts, "arrival"]
+    rows = g.lags(df, order, {"_old": level})
     starts = rows.where(F.col("_old").isNull() | (F.col("_old") != F.col(level))).drop("_old")
-    # the end of a span is the start of the next: a lag in descending order
-    flipped = starts.withColumn("_neg", -F.unix_micros(F.col(ts).cast("timestamp")))
-    flipped = flipped.withColumn("_narr", -F.col("arrival"))
-    out = ordered.with_lags(flipped, keys, ["_neg", "_narr"], {"_end": ts}, **split)
-    return out.drop("_neg", "_narr")
+    spans = g.lags(starts, order, {"_end": ts}, reverse=True).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    held = (F.unix_micros(F.col("_end").cast("timestamp")) - F.col("_us")) / 1e6
+    return spans.withColumn("_held", F.coalesce(held, F.lit(float("inf")))).drop("_end")
 
 
 def debounce(df: DataFrame, keys: list[str], ts: str, level: str, up_s: float = 10, down_s: float = 30,
@@ -143,20 +146,22 @@ def debounce(df: DataFrame, keys: list[str], ts: str, level: str, up_s: float =
     """
     if up_s > down_s:
         raise ValueError("up_s must not exceed down_s")
-    seg = _segments(df, keys, ts, level, **split)
-    start = F.unix_micros(F.col(ts).cast("timestamp"))
-    held = F.coalesce((F.unix_micros(F.col("_end").cast("timestamp")) - start) / 1e6, F.lit(float("inf")))
-    seg = seg.withColumns({"_held": held, "_us": start})
-    cols = {"_reset_at": F.when(F.col("_held") >= down_s, F.col("_us"))}
-    for v in range(levels):
-        cols[f"_r{v}"] = F.when((F.col("_held") >= up_s) & (F.col(level) == v), F.col("_us"))
-    seg = seg.withColumns(cols)
-    names = {"_reset": "_reset_at", **{f"_l{v}": f"_r{v}" for v in range(levels)}}
-    seg = ordered.carry_last(seg, keys, [ts, "arrival"], names, **split)
-    floor = F.when(F.col("_reset").isNull(), F.lit(initial)).otherwise(F.lit(0))
-    raised = [F.when(F.col(f"_l{v}") >= F.coalesce(F.col("_reset"), F.lit(-(2**62))), F.lit(v)) for v in range(levels)]
-    seg = seg.withColumn("shown", F.greatest(floor, *raised))
-    seg = ordered.with_lags(seg, keys, [ts, "arrival"], {"_was": "shown"}, **split)
+    order = [ts, "arrival"]
+
+    def logic(part: DataFrame, g: ordered.Keys) -> DataFrame:
+        seg = _segments(part, g, ts, level)
+        marks = {"_reset_at": F.when(F.col("_held") >= down_s, F.col("_us"))}
+        for v in range(levels):
+            marks[f"_r{v}"] = F.when((F.col("_held") >= up_s) & (F.col(level) == v), F.col("_us"))
+        names = {"_reset": "_reset_at", **{f"_l{v}": f"_r{v}" for v in range(levels)}}
+        seg = g.last_known(seg.withColumns(marks), order, names)
+        floor = F.when(F.col("_reset").isNull(), F.lit(initial)).otherwise(F.lit(0))
+        since = F.coalesce(F.col("_reset"), F.lit(-(2**62)))
+        seg = seg.withColumn("shown", F.greatest(floor, *[
+            F.when(F.col(f"_l{v}") >= since, F.lit(v)) for v in range(levels)]))
+        return g.lags(seg, order, {"_was": "shown"})
+
+    seg = ordered.per_key(df.select(*keys, *order, level), keys, ts, logic, **split)
     was = F.coalesce(F.col("_was"), F.lit(initial))
     # a rise shows after up_s, a fall after down_s, both counted from the start of the span that caused it
     wait = F.when(F.col("shown") > was, F.lit(int(up_s * 1e6))).otherwise(F.lit(int(down_s * 1e6)))
@@ -166,17 +171,19 @@ def debounce(df: DataFrame, keys: list[str], ts: str, level: str, up_s: float =
 
 def hold_badge(df: DataFrame, keys: list[str], ts: str, status: str, hold_s: float = 5, **split) -> DataFrame:
     """Badge per span of constant status: CRITICAL and DOWN show at once and stay until another status held ``hold_s``."""
-    seg = _segments(df, keys, ts, status, **split)
-    held = F.coalesce((F.unix_micros(F.col("_end").cast("timestamp"))
-                       - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6, F.lit(float("inf")))
     bad = F.col(status).isin("CRITICAL", "DOWN")
-    # the last span that decides: a bad one holds its status, a good one that lasted clears it
-    seg = seg.withColumn("_decides", F.when(bad, F.col(status)).when(held >= hold_s, F.lit("")))
-    seg = ordered.carry_last(seg, keys, [ts, "arrival"], {"_last": "_decides"}, **split)
-    seg = ordered.with_lags(seg, keys, [ts, "arrival"], {"_before": "_last"}, **split)
+    order = [ts, "arrival"]
+
+    def logic(part: DataFrame, g: ordered.Keys) -> DataFrame:
+        # the last span that decides: a bad one holds its status, a good one that lasted clears it
+        decides = F.when(bad, F.col(status)).when(F.col("_held") >= hold_s, F.lit(""))
+        seg = _segments(part, g, ts, status).withColumn("_decides", decides)
+        return g.lags(g.last_known(seg, order, {"_last": "_decides"}), order, {"_before": "_last"})
+
+    seg = ordered.per_key(df.select(*keys, *order, status), keys, ts, logic, **split)
     latched = ~bad & F.coalesce(F.col("_before") != "", F.lit(False))
     first = F.when(latched, F.col("_before")).otherwise(F.col(status))
-    later = F.when(latched & (held >= hold_s), F.col(status))
+    later = F.when(latched & (F.col("_held") >= hold_s), F.col(status))
     return seg.select(*keys, ts, status, first.alias("shown_at_start"), F.coalesce(later, first).alias("shown_at_end"))
 
 

@@ -224,8 +224,8 @@ def dispatch_payload(spark, sf):
       SELECT 'node_down' AS rule, node_id, lag AS value FROM w WHERE lag > 300
       UNION ALL SELECT 'high_latency', node_id, lat FROM w WHERE lat > 100
       UNION ALL SELECT 'packet_loss', node_id, loss FROM w WHERE loss > 1
-      UNION ALL SELECT 'latency_' || lower(country), node_id, lat FROM w JOIN nodes USING (node_id)
-        JOIN (VALUES ('AA', 40), ('AC', 55), ('AF', 50)) v(country, lim) USING (country) WHERE lat > lim)""",
+      UNION ALL SELECT 'latency_' || lower(country), w.node_id, w.lat FROM w JOIN nodes USING (node_id)
+        JOIN (VALUES ('AA', 40), ('AC', 55), ('AF', 50)) v(country, lim) USING (country) WHERE w.lat > lim)""",
       f"""w AS (SELECT node_id, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(time))) / 1000000.0::DOUBLE AS lag,
         CAST(sum(lat_c) FILTER (WHERE r) AS DOUBLE) / CAST(count(*) FILTER (WHERE r) * 100 AS DOUBLE) AS lat,
         CAST(sum(loss_c) FILTER (WHERE r) AS DOUBLE) / CAST(count(*) FILTER (WHERE r) * 100 AS DOUBLE) AS loss

@@ -354,7 +354,7 @@ def latest_per_node(spark, sf):
                  chain("kept", "m", "node_id", "us", 900), recursive=True))
 def greedy_cooldown(spark, sf):
     hits = A.metrics(spark, sf).where(F.col("latency_ms") * 2 > 200).select("node_id", "time", "arrival")
-    return ordered.greedy_keep(hits, ["node_id"], "time", 900, ["arrival"]).where("kept").drop("kept")
+    return ordered.greedy_keep(hits, ["node_id"], "time", 900, ["arrival"]).where("kept").drop("kept", "anchor")
 
 
 @query("A10", sql("native", "SELECT arrival, time FROM native WHERE time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '7 days'"))

@@ -32,30 +32,37 @@ def brute(rows, gap):
     return kept
 
 
-@pytest.mark.parametrize("gap", [1, 7, 30, 100, 5000])
-@pytest.mark.parametrize("hot,chunk", [(10**9, 10**9), (50, 40), (50, 300), (0, 3)])
+@pytest.mark.parametrize("gap,hot,chunk", [
+    (7, 10**9, 10**9), (1, 50, 40), (7, 50, 40), (30, 50, 40), (100, 50, 40), (5000, 50, 40), (7, 50, 300), (30, 0, 3)])
 def test_greedy_keep_equals_brute_force(skewed, gap, hot, chunk):
     df, rows = skewed
-    out = O.greedy_keep(df, ["key"], "ts", gap, ["arrival"], hot, chunk).select("arrival", "kept").collect()
+    out = O.greedy_keep(df, ["key"], "ts", gap, ["arrival"], hot_rows=hot, chunk_rows=chunk)
+    out = out.select("arrival", "kept").collect()
     assert len(out) == len(rows)
     assert {r.arrival for r in out if r.kept} == brute(rows, gap)
 
 
-@pytest.mark.parametrize("k", [1, 19])
-def test_lookback_equals_plain_window(skewed, k):
+SPLIT = {"hot_rows": 20, "chunk_rows": 15}
+
+
+@pytest.mark.parametrize("k,reverse", [(1, False), (19, False), (1, True)])
+def test_frame_equals_plain_window(skewed, k, reverse):
     df, _ = skewed
-    spec = Window.partitionBy("key").orderBy("ts", "arrival").rowsBetween(-k, 0)
-    want = df.select("arrival", F.sum("v").over(spec).alias("x"), F.count(F.lit(1)).over(spec).alias("n"))
-    rows, w = O.lookback(df, ["key"], ["ts", "arrival"], k, 20, 15)
-    w = w.rowsBetween(-k, 0)
-    got = O.without_halo(rows.withColumns({"x": F.sum("v").over(w), "n": F.count(F.lit(1)).over(w)}))
+    order = ["ts", "arrival"]
+
+    def make(w):
+        w = w.rowsBetween(-k, 0)
+        return {"x": F.sum("v").over(w), "n": F.count(F.lit(1)).over(w)}
+
+    want = O.Keys(["key"], False).frame(df, order, k, make, reverse).select("arrival", "x", "n")
+    got = O.per_key(df, ["key"], "ts", lambda part, g: g.frame(part, order, k, make, reverse), **SPLIT)
     assert sorted(map(tuple, got.select("arrival", "x", "n").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_carry_last_equals_plain_window(skewed):
+def test_last_known_equals_plain_window(skewed):
     df, _ = skewed
     spec = Window.partitionBy("key").orderBy("ts", "arrival").rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("arrival", F.last("v", ignorenulls=True).over(spec).alias("x"))
-    got = O.carry_last(df, ["key"], ["ts", "arrival"], {"x": "v"}, 20, 15).select("arrival", "x")
+    got = O.per_key(df, ["key"], "ts", lambda part, g: g.last_known(part, ["ts", "arrival"], {"x": "v"}), **SPLIT)
     key = lambda r: r[0]
-    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert sorted(map(tuple, got.select("arrival", "x").collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
