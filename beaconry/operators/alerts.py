@@ -190,7 +190,7 @@ def window_rules(df: DataFrame, nodes: DataFrame, now: Instant, countries: dict[
     return rows.select(F.col("f.rule").alias("rule"), "node_id", F.col("f.value").alias("value"))
 
 
-def pending(df: DataFrame, keys: list[str], ts: str, condition: str, hold_s: float, **split) -> DataFrame:
+def pending(df: DataFrame, keys: list[str], ts: str, condition: str, hold_s: float | Column, **split) -> DataFrame:
     """Add ``state`` per evaluation: inactive, pending, or firing once the condition held for ``hold_s`` without a break."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     order = [ts, "arrival"]
@@ -272,9 +272,9 @@ def metric_rules(samples: DataFrame, rules: tuple[SeriesRule, ...] = SERIES_RULE
             found = histogram_quantile(buckets, r.q, ["scope", "bucket"]).withColumnRenamed("quantile", "value")
         found = found.select(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), "scope", "bucket",
                              F.col("value").cast("double").alias("value"), F.lit(0).cast("long").alias("arrival"),
-                             breach(F.col("value"), r.op, r.threshold).alias("breached"))
-        parts.append(pending(found, ["scope"], "bucket", "breached", r.hold_s))
+                             breach(F.col("value"), r.op, r.threshold).alias("breached"), F.lit(r.hold_s).alias("hold_s"))
+        parts.append(found)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.drop("arrival")
+    return pending(out, ["rule", "scope"], "bucket", "breached", F.col("hold_s")).drop("arrival", "hold_s")

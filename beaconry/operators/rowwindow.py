@@ -19,7 +19,6 @@ def rolling_anomaly(df: DataFrame, n: int = 20, min_samples: int = 5, **split) -
     not depend on where Spark cuts the data; hot nodes are split (see ``ordered``).
     """
     scale = exact.scale_of(df, "latency_ms") or 0
-    one = float(10**scale)
     slim = df.where(F.col("latency_ms").isNotNull()).withColumn("_x", exact.units(df, "latency_ms"))
 
     def sums(w: WindowSpec) -> dict[str, Column]:
@@ -28,6 +27,12 @@ def rolling_anomaly(df: DataFrame, n: int = 20, min_samples: int = 5, **split) -
 
     rows = ordered.per_key(
         slim, ["node_id"], "arrival", lambda part, g: g.frame(part, ["arrival"], n - 1, sums), **split)
+    return score_windows(rows, scale, min_samples)
+
+
+def score_windows(rows: DataFrame, scale: int, min_samples: int = 5) -> DataFrame:
+    """Finish rows that carry ``_x`` and the count, sum and square sum of their window in units of 10**-scale."""
+    one = float(10**scale)
     enough = F.col("_n") >= min_samples
     pairs = F.nullif(F.col("_n") * (F.col("_n") - 1), F.lit(0))
     spread = (F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s")) / pairs

@@ -5,5 +5,6 @@ from beaconry.plans import (  # noqa: F401
     q_fleet,
     q_ingest,
     q_rollups,
+    q_streaming,
 )
 from beaconry.plans.registry import ENTRIES  # noqa: F401
