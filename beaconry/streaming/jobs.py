@@ -14,7 +14,8 @@ from beaconry.operators.rollups import rollup
 from beaconry.sources.envelopes import explode_batch
 from beaconry.sources.store import METRIC_TYPES
 
-# Lateness each rollup waits for.
+# Time to live of a duplicate key; lateness each rollup waits for.
+DEDUP_TTL_S = 180
 LATENESS = {"1 minute": "5 minutes", "5 minutes": "20 minutes", "region": "15 minutes"}
 
 
@@ -161,6 +162,11 @@ def _store(spark: SparkSession, rows: DataFrame, out: str, epoch: int) -> None:
         stored = spark.read.parquet(table).where(
             F.col("date").between(F.lit(span[0]), F.lit(span[1])) & (F.col("epoch") != epoch))
         key = stored.select("time", "node_id")
+        # seconds stored within the duplicate TTL; later repeats are conflicts instead
+        recent = stored.select("node_id", F.date_trunc("second", "time").alias("_s"), F.col("received_at").alias("_at"))
+        live = F.col("_at") > F.col("received_at") - F.make_dt_interval(secs=F.lit(DEDUP_TTL_S))
+        rows = rows.join(
+            recent, (rows["node_id"] == recent["node_id"]) & (F.date_trunc("second", "time") == F.col("_s")) & live, "left_anti")
     conflicts = dedup.conflict_audit(rows, key, "source_region")
     epoch_writer(f"{out}/conflicts")(conflicts, epoch)
     epoch_writer(table, "date")(dedup.insert_first_wins(rows, key), epoch)
