@@ -114,24 +114,24 @@ def admit(env: DataFrame, secret: str, allowed: tuple[str, ...] = ALLOWED_REGION
     """All checks of one batch of envelopes in their order; adds ``source_region`` and ``reason`` (null = accepted).
 
     A nonce is burned by the first fresh use even if its signature then fails; a batch id only by a batch that
-    passed every check before it.
+    passed every check before it. The replay checks run on a few columns and meet the envelopes again by ``arrival``,
+    which must be unique, so bodies and metrics never leave the JVM.
     """
     df = check_limits(check_region(derive_region(env), allowed, mode, role))
     df = verify_signature(check_freshness(df, F.col("received_at")), secret)
     early = F.when(F.col("batch_id").isNull(), "missing_batch_id").when(~F.col("fresh"), "stale_timestamp")
-    df = df.withColumn("reason", early)
+    late = F.coalesce(F.when(~F.col("signature_ok"), "bad_signature"), F.col("limit_error"),
+                      F.when(F.col("region_rejected"), "invalid_region"))
     # rows that never reach the nonce store get no nonce and so cannot burn one
-    df = df.withColumn("_nonce", F.when(F.col("reason").isNull() & _signed(), F.col("nonce")))
-    df = reject_replays(df, "_nonce", basis=env.select(F.col("nonce").alias("_nonce"), "received_at"))
-    df = df.withColumn("reason", F.coalesce(
-        "reason", F.when(F.col("replayed"), "nonce_replay").when(~F.col("signature_ok"), "bad_signature")
-        .when(F.col("limit_error").isNotNull(), F.col("limit_error"))
-        .when(F.col("region_rejected"), "invalid_region")))
-    df = df.withColumn("_batch", F.when(F.col("reason").isNull(), F.col("batch_id"))).drop("replayed")
-    df = reject_replays(df, "_batch", basis=env.select(F.col("batch_id").alias("_batch"), "received_at"))
-    df = df.withColumn("reason", F.coalesce("reason", F.when(F.col("replayed"), "already_processed")))
-    return df.drop("replayed", "_nonce", "_batch", "fresh", "signature_ok", "limit_error", "region_rejected",
-                   "region_known")
+    slim = df.select("arrival", "received_at", "batch_id", early.alias("_early"), late.alias("_late"),
+                     F.when(early.isNull() & _signed(), F.col("nonce")).alias("_nonce"))
+    slim = reject_replays(slim, "_nonce", basis=env.select(F.col("nonce").alias("_nonce"), "received_at"))
+    slim = slim.withColumn("reason", F.coalesce(
+        "_early", F.when(F.col("replayed"), "nonce_replay"), "_late")).drop("replayed", "_early", "_late", "_nonce")
+    slim = slim.withColumn("_batch", F.when(F.col("reason").isNull(), F.col("batch_id")))
+    slim = reject_replays(slim, "_batch", basis=env.select(F.col("batch_id").alias("_batch"), "received_at"))
+    reason = F.coalesce("reason", F.when(F.col("replayed"), "already_processed"))
+    return derive_region(env).join(slim.select("arrival", reason.alias("reason")), "arrival")
 
 
 # --- rates ------------------------------------------------------------------------------------------------------
@@ -142,11 +142,24 @@ def fixed_window_quota(df: DataFrame, keys: list[str], ts: str, limit: int, wind
     """Add ``hit`` (1, 2, ... in its window) and ``allowed`` (hit <= limit).
 
     A window opens at the first hit outside any window, so windows are the spans between kept rows of a greedy
-    chain; rejected hits count too.
+    chain; rejected hits count too. In hot keys a window may span chunks: hits are numbered per chunk, and the
+    counts of the chunks before are added.
     """
-    marked = ordered.greedy_keep(df, keys, ts, window_s, ties, basis, **split)
-    spec = Window.partitionBy(*keys, "anchor").orderBy(ts, *ties)
-    out = marked.withColumn("hit", F.row_number().over(spec))
+
+    def logic(part: DataFrame, g: ordered.Keys) -> DataFrame:
+        marked = g.greedy(part, ts, window_s, ties)
+        group = [*g.part, "anchor"]
+        local = F.row_number().over(Window.partitionBy(*group).orderBy(ts, *ties))
+        if not g.chunked:
+            return marked.withColumn("hit", local.cast("long"))
+        marked = ordered.stored(marked)
+        before = Window.partitionBy(*keys, "anchor").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        sums = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).select(
+            *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        return marked.withColumn("hit", local).join(sums, group).withColumn(
+            "hit", F.col("hit") + F.col("_before")).drop("_before").select(*marked.columns, "hit")
+
+    out = ordered.per_key(df, keys, ts, logic, basis, **split)
     return out.withColumn("allowed", F.col("hit") <= limit).drop("kept", "anchor")
 
 

@@ -66,15 +66,23 @@ def evaluate_rules(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Da
     return out.withColumn("alert_id", F.substring(ident, 1, 32))
 
 
-def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_S, **split) -> DataFrame:
-    """Add ``kept``: first alert of its node, measure and severity in the cooldown."""
-    return ordered.greedy_keep(
-        alerts, ["node_id", "metric_name", "severity"], "ts", seconds, ["arrival", "rule_no"], **split).drop("anchor")
+def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_S, samples: DataFrame | None = None, **split) -> DataFrame:
+    """Add ``kept``: first alert of its node, measure and severity in the cooldown.
+
+    ``samples`` may name the rows the alerts came from; a node has no more alerts of a kind than samples.
+    """
+    basis = None if samples is None else samples.select("node_id")
+    out = ordered.greedy_keep(
+        alerts, ["node_id", "metric_name", "severity"], "ts", seconds, ["arrival", "rule_no"], basis, **split)
+    return out.drop("anchor")
 
 
-def node_quota(alerts: DataFrame, limit: int = NODE_LIMIT, window_s: int = NODE_WINDOW_S, **split) -> DataFrame:
+def node_quota(alerts: DataFrame, limit: int = NODE_LIMIT, window_s: int = NODE_WINDOW_S,
+               samples: DataFrame | None = None, **split) -> DataFrame:
     """Add ``hit`` and ``allowed``: at most ``limit`` alerts of a node per window."""
-    return admission.fixed_window_quota(alerts, ["node_id"], "ts", limit, window_s, ["arrival", "rule_no"], **split)
+    basis = None if samples is None else samples.select("node_id")
+    return admission.fixed_window_quota(
+        alerts, ["node_id"], "ts", limit, window_s, ["arrival", "rule_no"], basis, **split)
 
 
 def global_bucket(alerts: DataFrame, per_hour: float = GLOBAL_PER_HOUR, burst: int = GLOBAL_BURST,
@@ -89,7 +97,7 @@ def run_alerts(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, **split)
     Each stage counts only what the stage before let through. The rows after the quota are written once to the
     scratch folder, because the global bucket reads them twice.
     """
-    marked = cooldown(evaluate_rules(df, rules), **split)
+    marked = cooldown(evaluate_rules(df, rules), samples=df, **split)
     # suppressed rows leave the quota through a null node and a salt, so they neither count nor pile up
     gate = F.when(F.col("kept"), F.col("node_id"))
     salt = F.when(F.col("kept"), F.lit(0)).otherwise(F.pmod(F.xxhash64("alert_id"), F.lit(1024))).cast("long")

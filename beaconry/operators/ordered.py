@@ -40,18 +40,42 @@ def _position(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("long")
 
 
+SEGMENTS = 64
+
+
 def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS,
              chunk_rows: int = CHUNK_ROWS) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows with their order range and number of chunks, or None."""
+    """Keys with more than ``hot_rows`` rows, or None; with cut points of their order column and chunks per segment.
+
+    The cut points are approximate quantiles, so bursts and quiet times get segments of about equal row counts.
+    """
     pos = _position(df, order)
     counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
     hot = (
         counts.where((F.col("_n") > hot_rows) & (F.col("_hi") > F.col("_lo")))
-        .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
-        .select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / F.lit(chunk_rows)).alias("_parts")))
+        .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS))
     found = hot.collect()  # at most HOT_KEYS small rows
-    return df.sparkSession.createDataFrame(found, hot.schema) if found else None
+    if not found:
+        return None
+    known = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+    steps = [i / SEGMENTS for i in range(1, SEGMENTS)]
+    cuts = df.join(known.select(*keys), keys).groupBy(*keys).agg(
+        F.percentile_approx(pos, steps, 1000).alias("_cuts"))
+    edges = F.array_distinct(F.array_sort(F.concat(F.array("_lo"), "_cuts", F.array(F.col("_hi") + 1))))
+    out = known.join(cuts, keys).select(
+        *keys, edges.alias("_edges"), F.ceil(F.col("_n") / F.lit(chunk_rows * SEGMENTS)).alias("_parts"))
+    return df.sparkSession.createDataFrame(out.collect(), out.schema)
+
+
+def _chunk(df: DataFrame, order: str) -> Column:
+    """Chunk number of a hot row: its segment between two cut points, and its even share of that segment."""
+    pos = _position(df, order)
+    seg = F.greatest(F.lit(1), F.least(F.size(F.filter("_edges", lambda e: e <= pos)), F.size("_edges") - 1))
+    low, high = F.element_at("_edges", seg), F.element_at("_edges", seg + 1)
+    share = F.floor((pos - low) * F.col("_parts") / (high - low).cast("double"))
+    share = F.greatest(F.lit(0), F.least(share, F.col("_parts") - 1))
+    return ((seg - 1) * F.col("_parts") + share).cast("int")
 
 
 def stored(df: DataFrame, name: str = "rows") -> DataFrame:
@@ -65,16 +89,21 @@ def per_key(df: DataFrame, keys: list[str], order: str, logic: Callable[[DataFra
             basis: DataFrame | None = None, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Run ``logic`` over ordinary keys and over chunks of hot keys, and put both together.
 
-    ``basis`` may name a cheaper frame with the same keys and order column to count rows in.
+    ``basis`` may name a cheaper frame that holds at least the rows of ``df``. With the same keys and order column it
+    is counted instead of ``df``; with some of the keys it only tells whether any key can be hot at all.
     """
-    hot = hot_keys(df if basis is None else basis, keys, order, hot_rows, chunk_rows)
+    count_in = df
+    if basis is not None:
+        coarse = [k for k in keys if k in basis.columns]
+        if coarse == keys and order in basis.columns:
+            count_in = basis
+        elif basis.groupBy(*coarse).count().where(F.col("count") > hot_rows).isEmpty():
+            return logic(df, Keys(keys, False))
+    hot = hot_keys(count_in, keys, order, hot_rows, chunk_rows)
     if hot is None:
         return logic(df, Keys(keys, False))
     hot = F.broadcast(hot)
-    span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    cut = F.floor((_position(df, order) - F.col("_lo")) * F.col("_parts") / span)
-    chunk = F.greatest(F.lit(0), F.least(cut, F.col("_parts") - 1)).cast("int")
-    heavy = stored(df.join(hot, keys).withColumn("_chunk", chunk).drop("_lo", "_hi", "_parts"), "hot")
+    heavy = stored(df.join(hot, keys).withColumn("_chunk", _chunk(df, order)).drop("_edges", "_parts"), "hot")
     rest = df.join(hot.select(*keys), keys, "left_anti")
     done = logic(heavy, Keys(keys, True)).drop("_chunk")
     return logic(rest, Keys(keys, False)).unionByName(done)

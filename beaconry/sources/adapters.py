@@ -31,25 +31,20 @@ def node_key(col: str) -> Column:
     return F.concat(F.lit("probe-"), F.lpad(F.col(col).cast("string"), 8, "0"))
 
 
+# one SQL text per column keeps the plan quick to build
+_DENSE = f"timestamp_micros({EPOCH_US} + (unix_micros(cast(ts as timestamp)) - {EPOCH_US}) div {SQUEEZE})"
+_NODE = "concat('probe-', lpad(cast(user_id as string), 8, '0'))"
+_K = "cast(get_json_object(props, '$.k') as int)"
+
+
 def as_metrics(events: DataFrame, calendar: str = "dense") -> DataFrame:
     """Map event rows to metric rows; also used on event streams."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    time = F.col("ts").cast("timestamp_ntz")
-    if calendar == "dense":
-        shift = F.floor((micros("ts") - F.lit(EPOCH_US)) / F.lit(SQUEEZE)).cast("long")
-        time = from_micros(shift + F.lit(EPOCH_US))
-    is_error = F.col("event_type") == "error"
-    return events.select(
-        time.alias("time"),
-        node_key("user_id").alias("node_id"),
-        F.col("value").cast("decimal(10,2)").alias("latency_ms"),
-        F.when(is_error, 100 - k / F.lit(4.0)).otherwise(F.lit(100.0)).cast("decimal(5,2)").alias("uptime_pct"),
-        F.when(F.col("event_type").isin("error", "click"), (k % 16) / F.lit(2.0)).otherwise(F.lit(0.0))
-        .cast("decimal(5,2)").alias("packet_loss"),
-        F.col("event_type").alias("probe_type"),
-        F.create_map(F.lit("k"), k.cast("string")).alias("metadata"),
-        F.col("event_id").alias("arrival"),
-    )
+    time = _DENSE if calendar == "dense" else "ts"
+    return events.selectExpr(
+        f"cast({time} as timestamp_ntz) as time", f"{_NODE} as node_id", "cast(value as decimal(10,2)) as latency_ms",
+        f"cast(if(event_type = 'error', 100 - {_K} / 4.0D, 100.0D) as decimal(5,2)) as uptime_pct",
+        f"cast(if(event_type in ('error', 'click'), ({_K} % 16) / 2.0D, 0.0D) as decimal(5,2)) as packet_loss",
+        "event_type as probe_type", f"map('k', cast({_K} as string)) as metadata", "event_id as arrival")
 
 
 def metrics(spark: SparkSession, sf_dir: str, calendar: str = "dense") -> DataFrame:
@@ -65,38 +60,20 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         cust.join(nation, cust.c_nationkey == nation.n_nationkey)
         .join(region, nation.n_regionkey == region.r_regionkey)
     )
-    status = (
-        F.when(F.col("c_mktsegment") == "FURNITURE", "deleted")
-        .when(F.col("c_mktsegment") == "MACHINERY", "reporting")
-        .otherwise("registered")
-    )
-    lat = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 200).cast("decimal(9,6)")
-    return joined.select(
-        node_key("c_custkey").alias("node_id"),
-        F.col("c_name").alias("node_name"),
-        status.alias("status"),
-        F.concat(F.lit("A"), F.char((F.lit(65) + F.col("n_nationkey")).cast("long"))).alias("country"),
-        F.col("r_name").alias("region"),
-        lat.alias("lat"),
-        (lat - 20).cast("decimal(9,6)").alias("lng"),
-    )
+    lat = "cast(if(c_acctbal >= 0, c_acctbal / 200, null) as decimal(9,6))"
+    return joined.selectExpr(
+        "concat('probe-', lpad(cast(c_custkey as string), 8, '0')) as node_id", "c_name as node_name",
+        "case c_mktsegment when 'FURNITURE' then 'deleted' when 'MACHINERY' then 'reporting' else 'registered' end as status",
+        "concat('A', char(65 + n_nationkey)) as country", "r_name as region", f"{lat} as lat",
+        f"cast({lat} - 20 as decimal(9,6)) as lng")
 
 
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as probe heartbeats: the event type decides the active target."""
-    target = (
-        F.when(F.col("event_type").isin("view", "signup"), "central")
-        .when(F.col("event_type") == "purchase", "legacy-env")
-        .otherwise("regional")
-    )
-    events = table(spark, sf_dir, "events")
-    shift = F.floor((micros("ts") - F.lit(EPOCH_US)) / F.lit(SQUEEZE)).cast("long")
-    return events.select(
-        node_key("user_id").alias("node_id"),
-        target.alias("active_target"),
-        from_micros(shift + F.lit(EPOCH_US)).alias("timestamp"),
-        F.col("event_id").alias("arrival"),
-    )
+    return table(spark, sf_dir, "events").selectExpr(
+        f"{_NODE} as node_id",
+        "case when event_type in ('view', 'signup') then 'central' when event_type = 'purchase' then 'legacy-env' "
+        "else 'regional' end as active_target", f"cast({_DENSE} as timestamp_ntz) as timestamp", "event_id as arrival")
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
