@@ -259,30 +259,43 @@ def metric_rules(samples: DataFrame, rules: tuple[SeriesRule, ...] = SERIES_RULE
     rates = rates.withColumn("service", F.coalesce(F.try_element_at("labels", F.lit("service")), F.lit("")))
     last = samples.groupBy("series", "metric", F.window("ts", window)["start"].alias("bucket")).agg(
         F.max_by("value", F.struct("ts", "arrival")).cast("double").alias("value"))
-    parts = []
-    for r in rules:
-        chosen = F.col("metric").isin(*r.metrics)
-        tagged = F.try_element_at("labels", F.lit(r.label[0])) == r.label[1] if r.label else F.lit(True)
-        tagged = F.coalesce(tagged, F.lit(False))
-        if r.kind == "gauge":
-            found = last.where(chosen).select(F.col("series").alias("scope"), "bucket", "value")
-        elif r.kind == "rate":
-            found = rates.where(chosen & tagged).select(F.col("series").alias("scope"), "bucket", F.col("rate").alias("value"))
-        elif r.kind == "ratio":
-            top = F.sum(F.when((F.col("metric") == r.metrics[0]) & tagged, F.col("rate")))
-            found = rates.where(chosen).groupBy(F.col("service").alias("scope"), "bucket").agg(
-                (F.coalesce(top, F.lit(0.0)) / F.nullif(F.sum("rate"), F.lit(0.0))).alias("value"))
-        else:
-            le = F.try_element_at("labels", F.lit("le"))
-            le = F.when(le == "+Inf", F.lit(float("inf"))).otherwise(le.try_cast("double"))
-            buckets = rates.where(chosen).groupBy(F.col("service").alias("scope"), "bucket", le.alias("le")).agg(
-                F.sum("rate").alias("value"))
-            found = histogram_quantile(buckets, r.q, ["scope", "bucket"]).withColumnRenamed("quantile", "value")
-        found = found.select(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), "scope", "bucket",
-                             F.col("value").cast("double").alias("value"), F.lit(0).cast("long").alias("arrival"),
-                             breach(F.col("value"), r.op, r.threshold).alias("breached"), F.lit(r.hold_s).alias("hold_s"))
-        parts.append(found)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return pending(out, ["rule", "scope"], "bucket", "breached", F.col("hold_s")).drop("arrival", "hold_s")
+
+    def tagged(r: SeriesRule) -> Column:
+        if not r.label:
+            return F.lit(True)
+        return F.coalesce(F.try_element_at("labels", F.lit(r.label[0])) == r.label[1], F.lit(False))
+
+    def matched(df: DataFrame, kind: str) -> DataFrame:
+        """One row per input row and rule of the kind that reads its metric; ``_top`` marks numerator rows."""
+        hits = [
+            F.when(F.col("metric").isin(*r.metrics) & (F.lit(True) if kind == "ratio" else tagged(r)), F.struct(
+                F.lit(i).alias("_rule"), ((F.col("metric") == r.metrics[0]) & tagged(r)).alias("_top"), F.lit(r.q).alias("_q")))
+            for i, r in enumerate(rules) if r.kind == kind]
+        if not hits:
+            return df.limit(0).select("*", F.lit(0).alias("_rule"), F.lit(False).alias("_top"), F.lit(0.0).alias("_q"))
+        hit = F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("_hit")
+        return df.select("*", hit).select(*df.columns, "_hit.*")
+
+    gauge = matched(last, "gauge").select("_rule", F.col("series").alias("scope"), "bucket", "value")
+    rate = matched(rates, "rate").select("_rule", F.col("series").alias("scope"), "bucket", F.col("rate").alias("value"))
+    top = F.sum(F.when(F.col("_top"), F.col("rate")))
+    ratio = matched(rates, "ratio").groupBy("_rule", F.col("service").alias("scope"), "bucket").agg(
+        (F.coalesce(top, F.lit(0.0)) / F.nullif(F.sum("rate"), F.lit(0.0))).alias("value"))
+    le = F.try_element_at("labels", F.lit("le"))
+    le = F.when(le == "+Inf", F.lit(float("inf"))).otherwise(le.try_cast("double"))
+    buckets = matched(rates, "quantile").groupBy("_rule", "_q", F.col("service").alias("scope"), "bucket", le.alias("le")).agg(
+        F.sum("rate").alias("value"))
+    quantile = histogram_quantile(buckets, F.col("_q"), ["_rule", "_q", "scope", "bucket"]).select(
+        "_rule", "scope", "bucket", F.col("quantile").alias("value"))
+    found = gauge.unionByName(rate).unionByName(ratio).unionByName(quantile)
+
+    def of_rule(pick: Callable[[SeriesRule], object]) -> Column:
+        return F.element_at(F.array(*[pick(r) if isinstance(pick(r), Column) else F.lit(pick(r)) for r in rules]), F.col("_rule") + 1)
+
+    out = found.select(
+        of_rule(lambda r: r.name).alias("rule"), of_rule(lambda r: r.severity).alias("severity"), "scope", "bucket", "value",
+        F.lit(0).cast("long").alias("arrival"), of_rule(lambda r: breach(F.col("value"), r.op, r.threshold)).alias("breached"),
+        of_rule(lambda r: r.hold_s).alias("hold_s"))
+    # one row per window and scope: a key grows with time, not with samples
+    out = pending(out, ["rule", "scope"], "bucket", "breached", F.col("hold_s"), hot_rows=None)
+    return out.drop("arrival", "hold_s")

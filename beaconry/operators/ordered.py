@@ -86,12 +86,15 @@ def stored(df: DataFrame, name: str = "rows") -> DataFrame:
 
 
 def per_key(df: DataFrame, keys: list[str], order: str, logic: Callable[[DataFrame, "Keys"], DataFrame],
-            basis: DataFrame | None = None, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            basis: DataFrame | None = None, hot_rows: int | None = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Run ``logic`` over ordinary keys and over chunks of hot keys, and put both together.
 
     ``basis`` may name a cheaper frame that holds at least the rows of ``df``. With the same keys and order column it
-    is counted instead of ``df``; with some of the keys it only tells whether any key can be hot at all.
+    is counted instead of ``df``; with some of the keys it only tells whether any key can be hot at all. Give
+    ``hot_rows=None`` where the caller knows that keys stay small.
     """
+    if hot_rows is None:
+        return logic(df, Keys(keys, False))
     count_in = df
     if basis is not None:
         coarse = [k for k in keys if k in basis.columns]

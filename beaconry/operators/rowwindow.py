@@ -204,13 +204,13 @@ def counter_rate(df: DataFrame, keys: list[str], window: str, window_s: float) -
         (F.sum("_rise") / F.lit(float(one)) / F.lit(float(window_s))).alias("rate"))
 
 
-def histogram_quantile(df: DataFrame, q: float, keys: list[str]) -> DataFrame:
+def histogram_quantile(df: DataFrame, q: float | Column, keys: list[str]) -> DataFrame:
     """Quantile from cumulative buckets (``le`` double, infinity last; ``value`` count), linear inside a bucket."""
     spec = Window.partitionBy(*keys).orderBy("le")
     top = Window.partitionBy(*keys)
     rows = df.withColumns({
         "_lo": F.coalesce(F.lag("le").over(spec), F.lit(0.0)), "_below": F.coalesce(F.lag("value").over(spec), F.lit(0)),
-        "_rank": F.max("value").over(top) * F.lit(float(q))})
+        "_rank": F.max("value").over(top) * (q if isinstance(q, Column) else F.lit(float(q)))})
     hit = rows.where((F.col("value") >= F.col("_rank")) & (F.col("value") > 0)).groupBy(*keys).agg(
         F.min_by(F.struct("le", "_lo", "_below", "value", "_rank"), "le").alias("b"))
     inside = F.col("b._lo") + (F.col("b.le") - F.col("b._lo")) * (

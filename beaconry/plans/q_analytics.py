@@ -217,7 +217,11 @@ def run_alerts(spark, sf):
     return H.run_alerts(_doubled(spark, sf)).select("arrival", "rule_no", "severity", "disposition")
 
 
-@query("H6")
+@query("H6", sql("metrics", """SELECT substr(sha256(node_id || '|' || CAST(ts AS VARCHAR) || '|' || arrival || '|' || rule_no), 1, 32) AS alert_id,
+      '{"attachments":[{"color":"' || CASE severity WHEN 'critical' THEN '#EF4444' ELSE '#F59E0B' END || '","blocks":[{"type":"section",'
+      || '"text":{"type":"mrkdwn","text":"🚨 *' || upper(severity) || '*: ' || message || '"}},{"type":"context","elements":'
+      || '[{"type":"mrkdwn","text":"Node: `' || node_id || '` | Time: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}]}]}]}' AS payload
+    FROM fired""", _M, _FIRED))
 def dispatch_payload(spark, sf):
     return H.dispatch_payload(H.evaluate_rules(_doubled(spark, sf)))
 
@@ -247,7 +251,30 @@ def pending_alerts(spark, sf):
     return H.pending(m, ["node_id"], "time", "bad", 60).select("arrival", "state")
 
 
-@query("H9")
+_SERIES = """s AS (SELECT metric, metric || '/' || user_id AS series, time_bucket(INTERVAL '5 minutes', time) AS bucket, us, arrival,
+      CAST(value * 200000 AS DECIMAL(14,2)) AS v FROM (SELECT user_id, value, event_id AS arrival, (epoch_us(ts) - 1704067200000000) // 720
+        + 1704067200000000 AS us, make_timestamp((epoch_us(ts) - 1704067200000000) // 720 + 1704067200000000) AS time,
+        CASE event_type WHEN 'view' THEN 'dashboard_cache_hits_total' WHEN 'click' THEN 'dashboard_cache_misses_total'
+          WHEN 'error' THEN 'log_dropped_total' WHEN 'signup' THEN 'dlq_size_bytes' ELSE 'aggregate_fallback_total' END AS metric FROM events)),
+    rates AS (SELECT series, metric, bucket, CAST(sum(CASE WHEN old IS NULL THEN 0 WHEN c >= old THEN c - old ELSE c END) AS DOUBLE)
+      / 100.0::DOUBLE / 300.0::DOUBLE AS rate FROM (SELECT *, lag(c) OVER (PARTITION BY series, bucket ORDER BY us, arrival) AS old
+        FROM (SELECT *, CAST(v * 100 AS BIGINT) AS c FROM s)) GROUP BY 1, 2, 3),
+    vals AS (
+      SELECT 'AggregateFallbackHigh' AS rule, 'warning' AS severity, series AS scope, bucket, rate AS value, rate > 0.1 AS breached, 120 AS hold
+        FROM rates WHERE metric = 'aggregate_fallback_total'
+      UNION ALL SELECT 'LogsDropped', 'warning', series, bucket, rate, rate > 10, 120 FROM rates WHERE metric = 'log_dropped_total'
+      UNION ALL SELECT 'DLQFilling', 'critical', series, bucket, x, x > 50000000, 0 FROM (
+        SELECT series, bucket, CAST(arg_max(v, (us, arrival)) AS DOUBLE) AS x FROM s WHERE metric = 'dlq_size_bytes' GROUP BY 1, 2)
+      UNION ALL SELECT 'CacheMissRateHigh', 'info', 'api', bucket, x, x > 0.5, 300 FROM (
+        SELECT bucket, coalesce(sum(rate) FILTER (WHERE metric = 'dashboard_cache_misses_total'), 0) / nullif(sum(rate), 0) AS x
+        FROM rates WHERE metric LIKE 'dashboard_cache%' GROUP BY 1)),
+    edges AS (SELECT *, epoch_us(bucket) AS us, breached AND NOT coalesce(lag(breached) OVER w, false) AS rose FROM vals
+      WINDOW w AS (PARTITION BY rule, scope ORDER BY bucket))"""
+
+
+@query("H9", sql("", """SELECT rule, severity, scope, bucket, round(value, 9) AS value, breached, CASE WHEN NOT breached THEN 'inactive'
+      WHEN (us - max(CASE WHEN rose THEN us END) OVER (PARTITION BY rule, scope ORDER BY bucket)) / 1e6::DOUBLE >= hold
+      THEN 'firing' ELSE 'pending' END AS state FROM edges""", _SERIES))
 def metric_rules(spark, sf):
     name = (F.when(F.col("event_type") == "view", "dashboard_cache_hits_total")
             .when(F.col("event_type") == "click", "dashboard_cache_misses_total")
@@ -258,8 +285,8 @@ def metric_rules(spark, sf):
         F.concat(name, F.lit("/"), F.col("user_id")).alias("series"), name.alias("metric"),
         F.create_map(F.lit("service"), F.lit("api")).alias("labels"),
         A.from_micros(F.lit(A.EPOCH_US) + F.floor((A.micros("ts") - A.EPOCH_US) / 720).cast("long")).alias("ts"),
-        F.col("event_id").alias("arrival"), (F.col("value") * 1000).alias("value"))
-    return H.metric_rules(samples)
+        F.col("event_id").alias("arrival"), (F.col("value") * 200000).cast("decimal(14,2)").alias("value"))
+    return H.metric_rules(samples).withColumn("value", F.round("value", 9))
 
 
 # --- logs, audit, quality ---------------------------------------------------------------------------------------

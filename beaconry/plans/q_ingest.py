@@ -97,17 +97,21 @@ def enrich_provenance(spark, sf):
     return B.enrich_provenance(df, F.col("received_at"), "central").select("arrival", "_meta.*")
 
 
-@query("B9", sql("metrics", """SELECT arrival, allowed, round(filled - allowed::INTEGER, 6) AS remaining FROM run""",
-                 """req AS (SELECT *, epoch_us(time) / 1000000.0::DOUBLE AS s,
+BUCKET_RUN = (
+    """req AS (SELECT *, epoch_us(time) / 1000000.0::DOUBLE AS s,
       row_number() OVER (PARTITION BY node_id ORDER BY time, arrival) AS rn FROM metrics)""",
-                 """run AS (
+    """run AS (
       SELECT node_id, rn, arrival, 3.0::DOUBLE AS filled, true AS allowed, 2.0::DOUBLE AS tokens, s AS last FROM req WHERE rn = 1
       UNION ALL
       SELECT node_id, rn, arrival, level, level >= 1, CASE WHEN level >= 1 THEN level - 1 ELSE tokens END,
              CASE WHEN level >= 1 THEN s ELSE last END
       FROM (SELECT q.node_id, q.rn, q.arrival, q.s, r.tokens, r.last,
                    least(3.0::DOUBLE, r.tokens + greatest(0, q.s - r.last) * 0.01::DOUBLE) AS level
-            FROM run r JOIN req q ON q.node_id = r.node_id AND q.rn = r.rn + 1))""", recursive=True))
+            FROM run r JOIN req q ON q.node_id = r.node_id AND q.rn = r.rn + 1))""")
+
+
+@query("B9", sql("metrics", "SELECT arrival, allowed, round(filled - allowed::INTEGER, 6) AS remaining FROM run", *BUCKET_RUN,
+                 recursive=True))
 def token_bucket(spark, sf):
     out = B.token_bucket(A.metrics(spark, sf), ["node_id"], "time", 0.01, 3, ["arrival"])
     return out.select("arrival", "allowed", F.round("remaining", 6).alias("remaining"))
@@ -245,7 +249,8 @@ def normalize_metrics(spark, sf):
                       F.col("time").cast("timestamp_ntz").alias("time"))
 
 
-@query("C1 C2 C5 C17")
+@query("C1 C2 C5 C17", """SELECT event_id AS arrival, 'probe-' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS node_id,
+    CAST(CAST(json_extract(props, '$.k') AS DOUBLE) AS VARCHAR) AS k_count FROM events WHERE event_type <> 'error'""")
 def parse_metadata(spark, sf):
     k = F.get_json_object("props", "$.k")
     meta = F.create_map(F.lit("k_count"), k, F.lit("type"), F.when(F.col("event_type") == "error", "health").otherwise("ping"))

@@ -73,9 +73,14 @@ def daily_availability(spark, sf):
     return R.daily_availability(A.metrics(spark, sf, "native"))
 
 
-@query("F11")
+@query("F11", sql("metrics", "SELECT node_id, count(*) AS samples, true AS close FROM metrics GROUP BY node_id"))
 def merged_sketch_p95(spark, sf):
-    return R.merge_percentile(R.rollup_5m_node(A.metrics(spark, sf)), 0.95, "node_id")
+    """Percentile from merged sketches, judged against the exact ranks three points below and above."""
+    m = A.metrics(spark, sf)
+    lat = F.col("latency_ms").cast("double")
+    exact = m.groupBy("node_id").agg(F.percentile(lat, 0.92).alias("low"), F.percentile(lat, 0.98).alias("high"))
+    out = R.merge_percentile(R.rollup_5m_node(m), 0.95, "node_id").join(exact, "node_id")
+    return out.select("node_id", "samples", F.col("latency_quantile").between(F.col("low"), F.col("high")).alias("close"))
 
 
 @query("K3", sql("metrics", """SELECT * REPLACE (CASE WHEN bucket >= TIMESTAMP '2024-01-01 00:45:00'

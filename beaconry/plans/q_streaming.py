@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from beaconry.plans.q_analytics import _FIRED, _H5, _M, _ROLL, _doubled  # noqa: F401
+from beaconry.plans.q_analytics import _H5, _ROLL
+from beaconry.plans.q_ingest import BUCKET_RUN
 from beaconry.plans.q_rollups import node_rollup_sql
 from beaconry.plans.registry import query
 from beaconry.plans.views import sql
@@ -70,13 +71,16 @@ def stream_alerts(spark, sf):
     return run_to_end(state.stream_alerts(rows), "alerts").select("arrival", "rule_no", "disposition")
 
 
-@query("K7")
+@query("K7", sql("metrics", "SELECT arrival, allowed FROM run", *BUCKET_RUN, recursive=True))
 def stream_token_bucket(spark, sf):
     rows = _metrics(spark, sf).select("node_id", "time", "arrival")
     return run_to_end(state.stream_token_bucket(rows, ["node_id"], "time", 0.01, 3), "bucket").select("arrival", "allowed")
 
 
-@query("K8")
+@query("K8", sql("metrics", """SELECT node_id, probe_type AS active_target, time AS at, true AS live FROM last
+    UNION ALL SELECT node_id, probe_type, time + INTERVAL '60 seconds', false FROM last
+    WHERE epoch_us(time) // 1000 + 60000 <= (SELECT max(epoch_us(time)) // 1000 - 10000 FROM metrics)""",
+                 "last AS (SELECT * FROM metrics QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY time DESC, arrival DESC) = 1)"))
 def stream_heartbeats(spark, sf):
     e = table_stream(prepare(spark), sf, "events")
     rows = A.as_metrics(e).select("node_id", F.col("probe_type").alias("active_target"), F.col("time").alias("timestamp"), "arrival")
