@@ -24,7 +24,9 @@ def rollup(df: DataFrame, width: str, *, sketch: bool = False) -> DataFrame:
     ]
     if sketch:
         aggs.append(F.kll_sketch_agg_double(F.col("latency_ms").cast("double")).alias("latency_sketch"))
-    # grouped by the window itself, so that streams keep its watermark
+    if not df.isStreaming:
+        return df.groupBy(bucket("time", width).alias("bucket"), "node_id").agg(*aggs)
+    # a stream keeps the watermark only on the window itself
     out = df.groupBy(F.window("time", width).alias("_w"), "node_id").agg(*aggs)
     return out.select(F.col("_w.start").alias("bucket"), *out.columns[1:])
 

@@ -40,11 +40,12 @@ _K = "cast(get_json_object(props, '$.k') as int)"
 def as_metrics(events: DataFrame, calendar: str = "dense") -> DataFrame:
     """Map event rows to metric rows; also used on event streams."""
     time = _DENSE if calendar == "dense" else "ts"
-    return events.selectExpr(
+    # the JSON is read once per row; Spark keeps the two projections apart because the value is used several times
+    return events.selectExpr("ts", "user_id", "value", "event_type", "event_id", f"{_K} as k").selectExpr(
         f"cast({time} as timestamp_ntz) as time", f"{_NODE} as node_id", "cast(value as decimal(10,2)) as latency_ms",
-        f"cast(if(event_type = 'error', 100 - {_K} / 4.0D, 100.0D) as decimal(5,2)) as uptime_pct",
-        f"cast(if(event_type in ('error', 'click'), ({_K} % 16) / 2.0D, 0.0D) as decimal(5,2)) as packet_loss",
-        "event_type as probe_type", f"map('k', cast({_K} as string)) as metadata", "event_id as arrival")
+        "cast(if(event_type = 'error', 100 - k / 4.0D, 100.0D) as decimal(5,2)) as uptime_pct",
+        "cast(if(event_type in ('error', 'click'), (k % 16) / 2.0D, 0.0D) as decimal(5,2)) as packet_loss",
+        "event_type as probe_type", "map('k', cast(k as string)) as metadata", "event_id as arrival")
 
 
 def metrics(spark: SparkSession, sf_dir: str, calendar: str = "dense") -> DataFrame:

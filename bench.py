@@ -33,7 +33,8 @@ def main() -> int:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     times: dict[str, float] = {}
