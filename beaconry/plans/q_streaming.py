@@ -29,9 +29,15 @@ def run_to_end(df: DataFrame, name: str) -> DataFrame:
     spark = prepare(df.sparkSession)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     path = scratch_dir(spark, name)
-    q = (df.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint")
-         .trigger(availableNow=True).start(f"{path}-rows"))
-    q.awaitTermination()
+    # state is cut into this many parts for good and adaptive execution cannot merge them: one per core is enough
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), spark.sparkContext.defaultParallelism)))
+    try:
+        q = (df.writeStream.format("parquet").option("checkpointLocation", f"{path}-checkpoint")
+             .trigger(availableNow=True).start(f"{path}-rows"))
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     return spark.read.schema(df.schema).parquet(f"{path}-rows")
 
 
