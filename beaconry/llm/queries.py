@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from beaconry.llm import quality, simhash
+from beaconry.llm import decontam, quality, simhash
 from beaconry.llm.common import table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,9 +12,32 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_quality_classifier)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op6_benchmark_decontamination, op7_quality_classifier)}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP6_SQL = f"""
+WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+        FROM iw, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+cand AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+         FROM dw, lens, LATERAL (SELECT unnest(range(1, greatest(len(w) - n + 2, 1))) AS i)),
+hit AS (SELECT r, c.n, i, item_id FROM cand c JOIN win USING (win)),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, sha256(string_agg(t, ',' ORDER BY t COLLATE "C")) AS h
+        FROM (SELECT DISTINCT r, item_id::VARCHAR AS t FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)"""
+
+ORACLES: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
