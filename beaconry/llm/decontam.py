@@ -70,11 +70,13 @@ def _runs(short: list[int]) -> Column:
     runs = F.when(F.size(w) >= SPAN, F.transform(heads, lambda i, t: F.struct(
         m[i].alias("fp"), i.alias("from"), (F.coalesce(F.get(heads, t + 1), F.size(m)) - 1).alias("to"),
         F.lit(SPAN).alias("n"))).cast(kind)).otherwise(_empty(kind))
-    more = [
-        F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.struct(
+
+    def grams(n: int) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(
             F.xxhash64(F.lit(n), F.slice(w, i + 1, n)).alias("fp"), i.alias("from"), i.alias("to"), F.lit(n).alias("n")))
-            .cast(kind)).otherwise(_empty(kind)) for n in short]
-    return F.concat(runs, *more) if more else runs
+            .cast(kind)).otherwise(_empty(kind))
+
+    return F.concat(runs, *[grams(n) for n in short])
 
 
 def _exploded(docs: DataFrame, short: list[int]) -> DataFrame:

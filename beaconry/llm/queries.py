@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from beaconry.llm import decontam, quality, simhash
+from beaconry.llm import decontam, pii, quality, simhash
 from beaconry.llm.common import table
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -20,7 +24,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op6_benchmark_decontamination, op7_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op6_benchmark_decontamination, op7_quality_classifier)}
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
