@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from beaconry.llm import decontam, pii, quality, simhash
+import public_tokenizers
+
+from beaconry.llm import decontam, packing, pii, quality, simhash, token_output
 from beaconry.llm.common import table
+from beaconry.session import scratch_dir
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -16,6 +19,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,7 +31,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op6_benchmark_decontamination, op7_quality_classifier)}
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "tokens")
+    token_output.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_output.digests(token_output.read(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_packing, op6_benchmark_decontamination, op7_quality_classifier,
+                                  op8_token_output)}
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
