@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from beaconry.llm import decontam, packing, pii, quality, simhash, token_output
+from beaconry.llm import decontam, packing, pii, quality, simhash, token_output, topk, warc
 from beaconry.llm.common import table
 from beaconry.session import scratch_dir
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,8 +41,14 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(token_output.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_packing, op6_benchmark_decontamination, op7_quality_classifier,
-                                  op8_token_output)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).drop("url", "payload")
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_packing, op5_exact_top_k, op6_benchmark_decontamination,
+                                  op7_quality_classifier, op8_token_output, op10_warc)}
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -58,4 +68,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)"""
 
-ORACLES: dict[str, str] = {"op6_benchmark_decontamination": OP6_SQL}
+OP5_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f"""
+
+ORACLES: dict[str, str] = {"op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op6_benchmark_decontamination": OP6_SQL}
