@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from beaconry.llm import decontam, packing, pii, quality, simhash, token_output, topk, warc
+from beaconry.llm import decontam, packing, pii, quality, simhash, token_output, topk, toxicity, warc
 from beaconry.llm.common import table
 from beaconry.session import scratch_dir
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -41,6 +41,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digests(token_output.read(spark, path))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.archive(table(spark, sf_dir, "pages"), path)
@@ -48,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_packing, op5_exact_top_k, op6_benchmark_decontamination,
-                                  op7_quality_classifier, op8_token_output, op10_warc)}
+                                  op7_quality_classifier, op8_token_output, op9_toxicity, op10_warc)}
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
