@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from beaconry.llm import decontam, packing, pii, quality, simhash, token_output, topk, toxicity, warc
+from beaconry.llm import decontam, packing, pii, quality, simhash, suffixes, token_output, topk, toxicity, warc
 from beaconry.llm.common import table
 from beaconry.session import scratch_dir
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +23,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).drop("url", "payload")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_packing, op5_exact_top_k, op6_benchmark_decontamination,
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_packing, op4_suffix_array_dedup, op5_exact_top_k, op6_benchmark_decontamination,
                                   op7_quality_classifier, op8_token_output, op9_toxicity, op10_warc)}
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
