@@ -5,8 +5,8 @@ a window of ``least - k + 1`` k-grams, so every passage of ``least`` words holds
 its copies. Kept suffixes whose k-gram occurs once have no partner and go. For the rest the words after and before the
 k-gram (``CONTEXT`` each) are the extension: suffixes with equal extensions repeat as they are and share one row; the
 distinct ones are sorted by k-gram and following words, and once more by k-gram and preceding words. Neighbours in
-either order are compared and their match is extended to both sides; ``least`` words or more are a repeat. The gap
-between kept suffixes is shorter than ``CONTEXT``, so matches of neighbouring suffixes cover a long passage together.
+either order are compared and their match is extended to both sides; ``least`` words or more are a repeat. An exact check
+of the windows around k-grams with three or more contexts adds partners hidden from both orders. The gap between kept suffixes is shorter than ``CONTEXT``, so matches of neighbouring suffixes cover a long passage together.
 
 Both orders are global range sorts whose keys are distinct, so no k-gram, however frequent, has to fit one task.
 Neighbours in different partitions are compared from the first and last row of each partition.
@@ -192,6 +192,35 @@ def neighbour_matches(contexts: DataFrame, side: str, least: int = LEAST, k: int
     return found.where("not edge").select(*keep).union(across.where("not edge").select(*keep))
 
 
+def hidden_matches(contexts: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
+    """Exact check after the neighbours: windows of ``least`` words around a k-gram that several contexts share.
+
+    A partner can hide from both orders behind others that match longer on one side only. That takes at least three
+    contexts of a k-gram, so only those are looked at; counting windows is a sum, whatever their frequency.
+    """
+    need = least - k
+    crowded = contexts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 2").select("gram")
+    digest = xxhash.xxh64_intdigest
+
+    def run(batches):
+        for b in slices(batches):
+            win, row, left = [], [], []
+            for i, (gram, after, before) in enumerate(zip(*[c.to_pylist() for c in b.columns[3:]])):
+                for n in range(max(0, need - len(after) // 4), min(need, len(before) // 4) + 1):
+                    win.append(digest(before[: 4 * n] + b"|" + after[: 4 * (need - n)], gram & 0xFFFFFFFFFFFFFFFF))
+                    row.append(i)
+                    left.append(n)
+            take, l = pa.array(row, pa.int64()), np.array(left, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(win, np.uint64).view(np.int64)), *[b.column(i).take(take) for i in range(3)], pa.array(l),
+                 pa.array((need - l).astype(np.int32))], names=["win", "gram", "ctx", "who", "l", "r"])
+
+    windows = contexts.join(crowded, "gram", "left_semi").select("gram", "ctx", "who", F.col("gram").alias("g"), "after", "before")
+    windows = windows.mapInArrow(run, "win long, gram long, ctx long, who long, l int, r int")
+    shared = windows.groupBy("win").agg(F.count("*").alias("n"), F.min("who").alias("other")).where("n > 1").drop("n")
+    return windows.join(shared, "win").select("gram", "ctx", "l", "r", "other")
+
+
 def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, context: int = CONTEXT) -> DataFrame:
     """Per passage: doc_id, k1, k2, start_word, end_word (exclusive), first_doc_id (smallest id known to hold a part)."""
     kept = stored(kept_suffixes(docs, least, k, context), "suffixes")
@@ -203,7 +232,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, context:
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"), F.min("doc_id").alias("who"))
     groups = stored(groups, "contexts")
     contexts = stored(extensions(docs, groups.select("gram", "ctx", "who", "one.*"), k, context), "extensions")
-    pairs = neighbour_matches(contexts, "after", least, k).union(neighbour_matches(contexts, "before", least, k))
+    pairs = (neighbour_matches(contexts, "after", least, k).union(neighbour_matches(contexts, "before", least, k))
+             .union(hidden_matches(contexts, least, k)))
     pairs = pairs.groupBy("gram", "ctx").agg(F.collect_set(F.struct("l", "r")).alias("m"), F.min("other").alias("other"))
     same = groups.where("n > 1").select("gram", "ctx", F.col("who").alias("same"))
     marks = pairs.join(same, ["gram", "ctx"], "full")
