@@ -137,7 +137,7 @@ class Model:
 
 
 def train_network(x: np.ndarray, y: np.ndarray, p: Params, vectors: np.ndarray) -> Model:
-    """Adam on the logistic loss; a fifth of the rows is kept back for the temperature."""
+    """Adam on the logistic loss; a fifth of the rows is kept back to choose the epoch and the temperature."""
     rng = np.random.default_rng(p.seed)
     mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(2 * p.dim + 2), np.ones(2 * p.dim + 2))
     w = [rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], p.hidden)), np.zeros(p.hidden),
@@ -149,7 +149,7 @@ def train_network(x: np.ndarray, y: np.ndarray, p: Params, vectors: np.ndarray)
     back, fit = order[: len(x) // 5], order[len(x) // 5 :]
     xs = (x - mean) / scale
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
-    step = 0
+    step, kept, lowest = 0, w, np.inf
     for _ in range(p.epochs):
         rng.shuffle(fit)
         for i in range(0, len(fit), 128):
@@ -164,8 +164,14 @@ def train_network(x: np.ndarray, y: np.ndarray, p: Params, vectors: np.ndarray)
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 w[k] = w[k] - 3e-3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        if len(back):  # the weights of the epoch that does best on the rows kept back
+            z = np.clip(np.maximum(xs[back] @ w[0] + w[1], 0) @ w[2] + w[3], -40, 40)
+            now = float(np.mean(np.logaddexp(0, z) - y[back] * z))
+            if now < lowest:
+                kept, lowest = [a.copy() for a in w], now
+    w = kept if len(back) else w
     z = np.maximum(xs[back] @ w[0] + w[1], 0) @ w[2] + w[3]
-    grid = np.geomspace(0.25, 8, 60)
+    grid = np.geomspace(1, 8, 60)  # a small sample must not sharpen the scores
 
     def loss(t):
         s = np.clip(z / t, -40, 40)
