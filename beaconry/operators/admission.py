@@ -238,7 +238,12 @@ def shared_bucket(df: DataFrame, ts: str, rate: float, capacity: float, ties: li
     per_second = rows.groupBy("_second").agg(F.sum("_asks").alias("_asked")).where(F.col("_asked") > 0)
     grants = _run_buckets(per_second.withColumn("_scope", F.lit("all")), ["_scope"], "_second", rate, capacity, [],
                           **split).select("_second", "_granted")
-    spec = Window.partitionBy("_second").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_rank", F.sum("_asks").over(spec)).join(grants, "_second", "left")
-    granted = (F.col("_asks") == 1) & F.coalesce(F.col("_rank") <= F.col("_granted"), F.lit(False))
-    return out.withColumn("allowed", granted).drop("_second", "_asks", "_rank", "_granted")
+    # At most ``capacity`` requests of a second can win: ranking stops there before the shuffle, and the last winner
+    # tells all rows of its second whether they won.
+    place = F.struct(ts, *ties)
+    ranked = rows.where("_asks = 1").select("_second", place.alias("_last")).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_second").orderBy("_last"))).where(F.col("_rank") <= int(capacity))
+    last = ranked.join(grants, "_second").where(F.col("_rank") <= F.col("_granted")).groupBy("_second").agg(
+        F.max("_last").alias("_last"))
+    granted = (F.col("_asks") == 1) & F.coalesce(place <= F.col("_last"), F.lit(False))
+    return rows.join(last, "_second", "left").withColumn("allowed", granted).drop("_second", "_asks", "_last")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconry.functions import exact
-from beaconry.functions.timeutil import Instant, age_seconds, instant
+from beaconry.functions.timeutil import Instant, age_seconds, instant, since
 from beaconry.operators import admission, ordered
 from beaconry.operators.rowwindow import breach, counter_rate, histogram_quantile
 
@@ -131,16 +131,25 @@ def dispatch_payload(alerts: DataFrame) -> DataFrame:
     return alerts.select("alert_id", body.alias("payload"))
 
 
-def dispatch(alerts: DataFrame, sink: Callable[[DataFrame], None], dlq_path: str, attempts: int = 3) -> bool:
-    """Give the payloads to ``sink`` (log, webhook, queue); after failing ``attempts`` times store them as dead letters."""
-    payloads = dispatch_payload(alerts)
+def dispatch(alerts: DataFrame, sink: Callable[[DataFrame], DataFrame | None], dlq_path: str, attempts: int = 3) -> bool:
+    """Give the payloads to ``sink`` (log, webhook, queue) until all are delivered; what is left goes to the dead letters.
+
+    Payloads are written once. A sink returns the ``alert_id`` of what it delivered, or None if that is everything;
+    later attempts get the rest only, so an alert that went out is not sent again. A sink that fails in the middle
+    and cannot say what went out counts as having delivered nothing.
+    """
+    left = ordered.stored(dispatch_payload(alerts), "payloads")
     for _ in range(attempts):
         try:
-            sink(payloads)
-            return True
+            done = sink(left)
         except Exception:  # noqa: BLE001 - a sink may fail in any way
             continue
-    alerts.join(payloads, "alert_id").write.mode("append").json(dlq_path)
+        if done is None:
+            return True
+        left = ordered.stored(left.join(done.select("alert_id").distinct(), "alert_id", "left_anti"), "payloads")
+        if left.isEmpty():
+            return True
+    alerts.join(left, "alert_id").write.mode("append").json(dlq_path)
     return False
 
 
@@ -149,7 +158,7 @@ def log_sink(path: str) -> Callable[[DataFrame], None]:
 
     def write(payloads: DataFrame) -> None:
         payloads.select(F.to_json(F.struct(
-            F.lit("alert_fired").alias("event"), F.lit("LogDispatcher").alias("source"),
+            F.lit("alert_fired").alias("event"), F.lit("alert log").alias("source"),
             F.col("payload").alias("alert"))).alias("value")).write.mode("append").text(path)
 
     return write
@@ -171,7 +180,7 @@ def window_rules(df: DataFrame, nodes: DataFrame, now: Instant, countries: dict[
     """
     countries = COUNTRY_LATENCY if countries is None else countries
     at = instant(df, "time", now)
-    ten = df.where(F.col("time") > at - F.expr("INTERVAL 10 minutes"))
+    ten = since(df, "time", now, "10 minutes")
     recent = F.col("time") > at - F.expr("INTERVAL 5 minutes")
     lat, loss = exact.units(df, "latency_ms"), exact.units(df, "packet_loss")
 

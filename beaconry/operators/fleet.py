@@ -237,13 +237,13 @@ def list_nodes(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def recent_rollups_by_region(rollups: DataFrame, nodes: DataFrame, now: Instant, span: str = "7 days") -> DataFrame:
-    df = rollups.where(F.col("bucket") > instant(rollups, "bucket", now) - F.expr(f"INTERVAL {span}"))
+    df = since(rollups, "bucket", now, span)
     return df.join(nodes.select("node_id", "region"), "node_id").select(
         "bucket", "region", "avg_latency", "avg_uptime")
 
 
 def node_average(metrics: DataFrame, nodes: DataFrame, now: Instant, span: str = "24 hours") -> DataFrame:
-    df = metrics.where(F.col("time") > instant(metrics, "time", now) - F.expr(f"INTERVAL {span}"))
+    df = since(metrics, "time", now, span)
     return (
         node_states(df).join(nodes.select("node_id", "node_name", "region"), "node_id")
         .groupBy("node_name", "region").agg(
@@ -387,7 +387,7 @@ def panel_problem_nodes(metrics: DataFrame, nodes: DataFrame, now: Instant, span
     dim = nodes
     if region != "All":
         dim = nodes.where(SLUG(F.col("country"), F.col("region")) == region)
-    scored = _scored(metrics.where(F.col("time") > instant(metrics, "time", now) - F.expr(f"INTERVAL {span}")), dim)
+    scored = _scored(since(metrics, "time", now, span), dim)
     return scored.orderBy(F.desc(F.round("raw_score", 2)), "node_id").limit(n).select(
         "node_id", scalar.region_slug_display(F.col("country"), F.col("region")).alias("region"),
         F.round("lat", 1).alias("avg_latency"), F.round("loss", 2).alias("avg_loss"),

@@ -9,8 +9,8 @@ their rows aside and cuts them into chunks along the order column. An operator i
 * :meth:`Keys.last_known` carries the last known values (running state);
 * :meth:`Keys.greedy` composes per-chunk summaries of a cooldown chain.
 
-The hot-key list is cut at ``HOT_KEYS`` rows, which bounds what reaches the driver and its broadcast. The cut only
-picks which keys are chunked, never which rows are kept: a key outside it holds at most 1/HOT_KEYS of all rows.
+Every key above the limit is chunked. The list of such keys has at most one row per ``HOT_ROWS`` rows of input; it
+stays a stored table that Spark joins, and broadcasts only if it is small.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from beaconry.session import scratch_dir
 
 HOT_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
-HOT_KEYS = 10_000
 
 _FIRST_INSTANT = -(2**63 - 1)
 
@@ -52,20 +51,16 @@ def hot_keys(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROW
     pos = _position(df, order)
     counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-    hot = (
-        counts.where((F.col("_n") > hot_rows) & (F.col("_hi") > F.col("_lo")))
-        .orderBy(F.desc("_n"), *keys).limit(HOT_KEYS))
-    found = hot.collect()  # at most HOT_KEYS small rows
-    if not found:
+    # a key whose rows all have one time (or none) has no cut point; its rows stay together
+    known = stored(counts.where((F.col("_n") > hot_rows) & (F.col("_hi") > F.col("_lo"))), "hot-keys")
+    if known.isEmpty():
         return None
-    known = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
     steps = [i / SEGMENTS for i in range(1, SEGMENTS)]
     cuts = df.join(known.select(*keys), keys).groupBy(*keys).agg(
         F.percentile_approx(pos, steps, 1000).alias("_cuts"))
     edges = F.array_distinct(F.array_sort(F.concat(F.array("_lo"), "_cuts", F.array(F.col("_hi") + 1))))
-    out = known.join(cuts, keys).select(
-        *keys, edges.alias("_edges"), F.ceil(F.col("_n") / F.lit(chunk_rows * SEGMENTS)).alias("_parts"))
-    return df.sparkSession.createDataFrame(out.collect(), out.schema)
+    return stored(known.join(cuts, keys).select(
+        *keys, edges.alias("_edges"), F.ceil(F.col("_n") / F.lit(chunk_rows * SEGMENTS)).alias("_parts")), "hot-cuts")
 
 
 def _chunk(df: DataFrame, order: str) -> Column:
@@ -105,7 +100,6 @@ def per_key(df: DataFrame, keys: list[str], order: str, logic: Callable[[DataFra
     hot = hot_keys(count_in, keys, order, hot_rows, chunk_rows)
     if hot is None:
         return logic(df, Keys(keys, False))
-    hot = F.broadcast(hot)
     heavy = stored(df.join(hot, keys).withColumn("_chunk", _chunk(df, order)).drop("_edges", "_parts"), "hot")
     rest = df.join(hot.select(*keys), keys, "left_anti")
     done = logic(heavy, Keys(keys, True)).drop("_chunk")
@@ -174,16 +168,20 @@ class Keys:
         rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
         if self.chunked:
             rows = stored(rows)
-            rows = rows.withColumn("_allowed", F.lit(None).cast("long")).unionByName(self._entries(rows, gap))
+            entries = self._entries(rows, gap).withColumn("_entry", F.lit(True))
+            rows = rows.withColumn("_allowed", F.lit(None).cast("long")).withColumn("_entry", F.lit(False)).unionByName(entries)
         else:
-            rows = rows.withColumn("_allowed", F.lit(None).cast("long"))
-        spec = Window.partitionBy(*self.part).orderBy(F.asc_nulls_first("_us"), *ties)
+            rows = rows.withColumn("_allowed", F.lit(None).cast("long")).withColumn("_entry", F.lit(False))
+        spec = Window.partitionBy(*self.part).orderBy(F.desc("_entry"), F.asc_nulls_first("_us"), *ties)
         rows = rows.withColumn("_first", F.row_number().over(spec) == 1)
         rows = rows.withColumn("_us", F.coalesce("_us", F.lit(_FIRST_INSTANT)))
         schema = StructType([*rows.schema.fields, StructField("kept", BooleanType()), StructField("_at", LongType())])
-        out = rows.mapInArrow(_keep_kernel(gap), schema).where(F.col("_us") > F.lit(_FIRST_INSTANT))
-        anchor = F.timestamp_micros("_at").cast(df.schema[ts].dataType)
-        return out.withColumn("anchor", anchor).drop("_us", "_allowed", "_first", "_at")
+        out = rows.mapInArrow(_keep_kernel(gap), schema).where(~F.col("_entry"))
+        # a row without a time is kept, starts no cooldown and has no anchor
+        timed = F.col("_us") > F.lit(_FIRST_INSTANT)
+        anchor = F.when(timed, F.timestamp_micros("_at")).cast(df.schema[ts].dataType)
+        out = out.withColumn("kept", F.col("kept") | ~timed)
+        return out.withColumn("anchor", anchor).drop("_us", "_allowed", "_first", "_at", "_entry")
 
     def _entries(self, rows: DataFrame, gap: int) -> DataFrame:
         """One row per chunk that tells from when on a row may be kept; it sorts before the chunk's own rows."""
@@ -198,7 +196,7 @@ class Keys:
             return out
 
         schema = StructType([*fields, chunk, StructField("_upto", LongType()), StructField("_exit", LongType())])
-        maps = rows.select(*self.part, "_us").distinct().groupBy(*self.part).applyInPandas(maps_of, schema)
+        maps = rows.where("_us is not null").select(*self.part, "_us").distinct().groupBy(*self.part).applyInPandas(maps_of, schema)
         schema = StructType([*fields, chunk, StructField("_allowed", LongType())])
         entry = maps.groupBy(*keys).applyInPandas(_walk(keys, gap), schema)
         return entry.select(*[
@@ -256,7 +254,7 @@ def _keep_kernel(gap: int):
             n = batch.num_rows
             us = batch.column("_us").to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
-            entry = batch.column("_allowed")
+            entry, none = batch.column("_allowed"), us == _FIRST_INSTANT
             kept, last = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
             opens = set(starts.tolist())
             edges = np.unique(np.concatenate(([0], starts, [n]))).tolist()
@@ -264,7 +262,7 @@ def _keep_kernel(gap: int):
                 if lo in opens:
                     given = entry[lo].as_py()
                     allowed = low if given is None else given
-                at = lo
+                at = lo + int(none[lo:hi].sum())  # rows without a time come first
                 while at < hi:  # one step per kept row
                     i = at + int(np.searchsorted(us[at:hi], allowed, side="left"))
                     last[at:i] = allowed - gap if allowed != low else 0
@@ -283,7 +281,7 @@ def greedy_keep(df: DataFrame, keys: list[str], ts: str, seconds: float, ties: l
     """Add ``kept``: true when at least ``seconds`` passed since the last kept row of the key.
 
     This is set-if-absent with a time to live; exactly ``seconds`` later counts as expired. Rows of one time are
-    ordered by ``ties``. ``anchor`` is the time of the last kept row. Hot keys run in chunks: each chunk gives a
+    ordered by ``ties``. ``anchor`` is the time of the last kept row. Rows without a time are kept and start no cooldown. Hot keys run in chunks: each chunk gives a
     step map from its earliest allowed time to its last kept time, the maps are followed per key, and every chunk
     then runs with its own entry time.
     """

@@ -15,7 +15,8 @@ def quality_report(df: DataFrame, now: Instant, min_nodes: int = 3, max_lag_s: f
 
     Rows shrink to one per (node, time), then one per node, so copies combine before every shuffle.
     """
-    day = F.col("time") > instant(df, "time", now) - F.expr("INTERVAL 24 hours")
+    at = instant(df, "time", now)
+    day = (F.col("time") > at - F.expr("INTERVAL 24 hours")) & (F.col("time") <= at)
     keys = df.groupBy("node_id", "time").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if((F.col("latency_ms") < 0) | (F.col("packet_loss") < 0)).alias("neg"),

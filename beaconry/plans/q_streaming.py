@@ -83,10 +83,11 @@ def stream_token_bucket(spark, sf):
     return run_to_end(state.stream_token_bucket(rows, ["node_id"], "time", 0.01, 3), "bucket").select("arrival", "allowed")
 
 
-@query("K8", sql("metrics", """SELECT node_id, probe_type AS active_target, time AS at, true AS live FROM last
-    UNION ALL SELECT node_id, probe_type, time + INTERVAL '60 seconds', false FROM last
-    WHERE epoch_us(time) // 1000 + 60000 <= (SELECT max(epoch_us(time)) // 1000 - 10000 FROM metrics)""",
-                 "last AS (SELECT * FROM metrics QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY time DESC, arrival DESC) = 1)"))
+@query("K8", sql("metrics", """SELECT node_id, probe_type AS active_target, time AS at, true AS live FROM metrics
+    UNION ALL SELECT node_id, probe_type, time + INTERVAL '60 seconds', false FROM beats
+    WHERE (following IS NULL OR epoch_us(following) - epoch_us(time) > 60000000)
+      AND epoch_us(time) // 1000 + 60000 <= (SELECT max(epoch_us(time)) // 1000 - 10000 FROM metrics)""",
+                 "beats AS (SELECT *, lead(time) OVER (PARTITION BY node_id ORDER BY time, arrival) AS following FROM metrics)"))
 def stream_heartbeats(spark, sf):
     e = table_stream(prepare(spark), sf, "events")
     rows = A.as_metrics(e).select("node_id", F.col("probe_type").alias("active_target"), F.col("time").alias("timestamp"), "arrival")

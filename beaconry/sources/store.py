@@ -41,8 +41,8 @@ def read_dlq(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", name.alias("file"), date.alias("file_date"))
 
 
-def replay_dlq(lines: DataFrame, default_index: str = "fiber-logs-replay") -> tuple[DataFrame, DataFrame]:
-    """(documents to replay, quarantined lines). ``_index`` has a default; ``_source`` defaults to the whole document.
+def replay_dlq(lines: DataFrame, default_index: str) -> tuple[DataFrame, DataFrame]:
+    """(documents to replay, quarantined lines). ``default_index`` stands in for a missing ``_index``; ``_source`` defaults to the whole document.
 
     Both keep the file date; write or index in that order to replay chronologically.
     """

@@ -165,41 +165,59 @@ def stream_alerts(df: DataFrame, rules: tuple[H.Rule, ...] = H.DEFAULT_RULES) ->
 
 
 class _Live(StatefulProcessor):
-    """Latest target of a probe; an event-time timer expires it."""
+    """Heartbeats of a probe that may still get a successor; one event-time timer looks at the oldest of them.
+
+    A heartbeat expires if none follows within the TTL. That is certain once the watermark has passed its end, so the
+    result does not depend on how the input is cut into micro-batches.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([
-            StructField("us", LongType()), StructField("arrival", LongType()), StructField("target", StringType())]))
+        beat = StructType([StructField("us", LongType()), StructField("arrival", LongType()), StructField("target", StringType())])
+        self.open = handle.getValueState("open", StructType([StructField("beats", ArrayType(beat))]))
+
+    def _frame(self, key, beats, late_us: int, live: bool) -> pd.DataFrame:
+        return pd.DataFrame({"node_id": [key[0]] * len(beats), "active_target": [b[2] for b in beats],
+                             "us": [b[0] + late_us for b in beats], "live": [live] * len(beats)})
+
+    def _settle(self, key, beats: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Expiries that are certain by now; keeps the rest and sets the timer of the oldest."""
+        ttl_us = self.ttl_ms * 1000
+        done = 0
+        while done < len(beats) and beats[done][0] // 1000 + self.ttl_ms <= watermark_ms:
+            done += 1
+        gone = [b for i, b in enumerate(beats[:done]) if i + 1 == len(beats) or beats[i + 1][0] - b[0] > ttl_us]
+        left = beats[done:]
+        if left:
+            self.open.update((left,))
+            self.handle.registerTimer(left[0][0] // 1000 + self.ttl_ms)
+        else:
+            self.open.clear()
+        if gone:
+            yield self._frame(key, gone, ttl_us, False)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _rows(rows, ["us", "arrival"])
-        newest = pdf.iloc[-1]
-        mark = (int(newest["us"]), int(newest["arrival"]), newest["active_target"])
-        if self.last.exists():
-            before = self.last.get()
-            if (before[0], before[1]) >= mark[:2]:
-                return
-            self.handle.deleteTimer(before[0] // 1000 + self.ttl_ms)
-        self.last.update(mark)
-        self.handle.registerTimer(mark[0] // 1000 + self.ttl_ms)
-        yield pd.DataFrame({"node_id": [key[0]], "active_target": [mark[2]], "us": [mark[0]], "live": [True]})
+        new = [(int(u), int(a), t) for u, a, t in zip(pdf["us"], pdf["arrival"], pdf["active_target"])]
+        yield self._frame(key, new, 0, True)
+        past = [tuple(b) for b in self.open.get()[0]] if self.open.exists() else []
+        if past:
+            self.handle.deleteTimer(past[0][0] // 1000 + self.ttl_ms)
+        yield from self._settle(key, sorted(past + new, key=lambda b: b[:2]), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        us, _, target = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"node_id": [key[0]], "active_target": [target],
-                            "us": [us + self.ttl_ms * 1000], "live": [False]})
+        past = [tuple(b) for b in self.open.get()[0]] if self.open.exists() else []
+        yield from self._settle(key, past, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def stream_heartbeats(df: DataFrame, ttl_s: int = 60, lateness: str = "10 seconds") -> DataFrame:
-    """Changes of live probes: node, target, time, and whether it is live (a heartbeat) or expired (TTL passed)."""
+    """Life of probes: node, target, time, and whether it is live (every heartbeat) or expired (TTL passed without another)."""
     rows = df.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
     rows = rows.withColumn("us", F.unix_micros("timestamp"))
     schema = StructType([StructField("node_id", StringType()), StructField("active_target", StringType()),

@@ -102,8 +102,8 @@ def test_a8_partitioned_documents(spark, tmp_path):
 
 def test_a9_replay(spark, tmp_path):
     (tmp_path / "logs-2026-01-03.ndjson").write_text('{"a":1}\nnot json\n{"_index":"x","_source":{"b":2}}\n')
-    good, bad = S.replay_dlq(S.read_dlq(spark, str(tmp_path)))
-    assert {(r._index, r._source) for r in good.collect()} == {("fiber-logs-replay", '{"a":1}'), ("x", '{"b":2}')}
+    good, bad = S.replay_dlq(S.read_dlq(spark, str(tmp_path)), "logs-again")
+    assert {(r._index, r._source) for r in good.collect()} == {("logs-again", '{"a":1}'), ("x", '{"b":2}')}
     assert [(r.value, str(r.file_date)) for r in bad.collect()] == [("not json", "2026-01-03")]
     files = S.read_dlq(spark, str(tmp_path)).select("file", "file_date").distinct()
     assert S.retained_files(files, 7, "2026-01-10").count() == 1 and S.retained_files(files, 7, "2026-01-11").count() == 0

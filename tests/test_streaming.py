@@ -90,8 +90,25 @@ def test_heartbeats_expire(spark, tmp_path):
         "maxFilesPerTrigger", 1).parquet(path)
     out = run_to_end(state.stream_heartbeats(src), "hb")
     got = {(r.node_id, r.active_target, r.s, r.live) for r in out.withColumn("s", F.unix_seconds("at") - 1704067200).collect()}
-    assert got >= {("b", "regional", 60, False), ("a", "regional", 160, False), ("a", "regional", 50, True)}
-    assert ("a", "central", 60, False) not in got and not any(n == "c" and not live for n, _, _, live in got)
+    beats = {(n, t, s) for part in rows for n, t, s, _ in part}
+    assert {x[:3] for x in got if x[3]} == beats
+    # b from 0, a from 100 and nothing else: 0 -> 50 -> 100 are within the TTL, c's end lies beyond the watermark
+    assert {x for x in got if not x[3]} == {("b", "regional", 60, False), ("a", "regional", 160, False)}
+    whole = spark.readStream.schema(src.schema).parquet(path)
+    same(run_to_end(state.stream_heartbeats(whole), "hb"), out)
+
+
+def test_heartbeats_expire_in_every_gap(spark, tmp_path):
+    path = str(tmp_path / "gaps")
+    for i, s in enumerate((0, 100, 300, 330, 1000)):
+        df = spark.createDataFrame([("a", "central", s, i)], "node_id string, active_target string, s long, arrival long")
+        df.withColumn("timestamp", F.timestamp_seconds(F.col("s") + 1704067200)).drop("s").coalesce(1).write.mode("append").parquet(path)
+    schema = "node_id string, active_target string, arrival long, timestamp timestamp"
+    for files in (1, 3, 100):
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+        out = run_to_end(state.stream_heartbeats(src), "gaps").withColumn("s", F.unix_seconds("at") - 1704067200)
+        assert sorted((r.s, r.live) for r in out.collect()) == [
+            (0, True), (60, False), (100, True), (160, False), (300, True), (330, True), (390, False), (1000, True)]
 
 
 def test_first_use_stream_equals_batch(spark, sf, tmp_path):
