@@ -109,6 +109,38 @@ def check_limits(env: DataFrame) -> DataFrame:
         .when(largest > schemas.MAX_METRIC_BYTES, "metric_too_large"))
 
 
+def check_payload(env: DataFrame) -> DataFrame:
+    """Add ``payload_error``: invalid_payload if any metric breaks the schema; self-reports may lack measurements."""
+
+    def outside(v: Column, low: float, high: float) -> Column:
+        return v.isNull() | F.isnan(v) | (v < low) | (v > high)
+
+    def broken(m: Column) -> Column:
+        report = F.coalesce(m["metadata"]["type"] == "health", F.lit(False))
+        measured = outside(m["latency_ms"], 0, 10000) | outside(m["uptime_pct"], 0, 100) | outside(m["packet_loss"], 0, 100)
+        return (~F.coalesce(F.char_length(m["node_id"]).between(1, 50), F.lit(False))
+                | ~F.coalesce(m["country"].rlike("^[A-Z]{2}$"), F.lit(False)) | m["region"].isNull()
+                | m["timestamp"].try_cast("timestamp").isNull() | (~report & measured))
+
+    return env.withColumn("payload_error", F.when(F.exists("metrics", broken), "invalid_payload"))
+
+
+def single_checks(env: DataFrame, secret: str, allowed: tuple[str, ...] = ALLOWED_REGIONS, mode: str = "strict",
+                  role: str = "central") -> DataFrame:
+    """What one envelope alone tells: adds ``source_region``, ``early`` and ``late`` reasons, and ``fresh_nonce``.
+
+    Rows that never reach the nonce store have no ``fresh_nonce`` and so cannot burn one.
+    """
+    df = check_payload(check_limits(check_region(derive_region(env), allowed, mode, role)))
+    df = verify_signature(check_freshness(df, F.col("received_at")), secret)
+    early = F.when(F.col("batch_id").isNull(), "missing_batch_id").when(~F.col("fresh"), "stale_timestamp")
+    late = F.coalesce(F.when(~F.col("signature_ok"), "bad_signature"), F.col("limit_error"), F.col("payload_error"),
+                      F.when(F.col("region_rejected"), "invalid_region"))
+    df = df.withColumns({"early": early, "late": late}).withColumn(
+        "fresh_nonce", F.when(F.col("early").isNull() & _signed(), F.col("nonce")))
+    return df.drop("fresh", "signature_ok", "limit_error", "payload_error", "region_known", "region_rejected")
+
+
 def admit(env: DataFrame, secret: str, allowed: tuple[str, ...] = ALLOWED_REGIONS, mode: str = "strict",
           role: str = "central") -> DataFrame:
     """All checks of one batch of envelopes in their order; adds ``source_region`` and ``reason`` (null = accepted).
@@ -117,14 +149,9 @@ def admit(env: DataFrame, secret: str, allowed: tuple[str, ...] = ALLOWED_REGION
     passed every check before it. The replay checks run on a few columns and meet the envelopes again by ``arrival``,
     which must be unique, so bodies and metrics never leave the JVM.
     """
-    df = check_limits(check_region(derive_region(env), allowed, mode, role))
-    df = verify_signature(check_freshness(df, F.col("received_at")), secret)
-    early = F.when(F.col("batch_id").isNull(), "missing_batch_id").when(~F.col("fresh"), "stale_timestamp")
-    late = F.coalesce(F.when(~F.col("signature_ok"), "bad_signature"), F.col("limit_error"),
-                      F.when(F.col("region_rejected"), "invalid_region"))
-    # rows that never reach the nonce store get no nonce and so cannot burn one
-    slim = df.select("arrival", "received_at", "batch_id", early.alias("_early"), late.alias("_late"),
-                     F.when(early.isNull() & _signed(), F.col("nonce")).alias("_nonce"))
+    df = single_checks(env, secret, allowed, mode, role)
+    slim = df.select("arrival", "received_at", "batch_id", F.col("early").alias("_early"), F.col("late").alias("_late"),
+                     F.col("fresh_nonce").alias("_nonce"))
     slim = reject_replays(slim, "_nonce", basis=env.select(F.col("nonce").alias("_nonce"), "received_at"))
     slim = slim.withColumn("reason", F.coalesce(
         "_early", F.when(F.col("replayed"), "nonce_replay"), "_late")).drop("replayed", "_early", "_late", "_nonce")

@@ -346,7 +346,18 @@ def _audit_entries(spark, sf):
         F.create_map(F.lit("text"), F.col("text")).alias("details"))
 
 
-@query("L1")
+_JSON_TEXT = r"""array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\'
+    WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN unicode(c) > 127 THEN printf('\u%04x', unicode(c))
+    ELSE c END), '')"""
+
+
+@query("L1", f"""WITH RECURSIVE e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+    '{{"action": "POST", "details": {{"text": "' || {_JSON_TEXT} || '"}}, "prev_hash": "' AS head,
+    '", "resource": "conversation:' || conv_id || '", "role": "ADMIN", "ts": "' || strftime(make_timestamp((1704067200 + conv_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ')
+      || '", "user": "' || role || '"}}' AS tail FROM conversations),
+  c AS (SELECT conv_id, turn, n, 'GENESIS' AS prev_hash, substr(sha256(head || 'GENESIS' || tail || 'GENESIS'), 1, 16) AS hash FROM e WHERE n = 1
+    UNION ALL SELECT e.conv_id, e.turn, e.n, c.hash, substr(sha256(head || c.hash || tail || c.hash), 1, 16) FROM e JOIN c ON e.conv_id = c.conv_id AND e.n = c.n + 1)
+  SELECT conv_id, turn, prev_hash, hash FROM c""")
 def audit_chain(spark, sf):
     out = L.chain_build(_audit_entries(spark, sf), ["conv_id"], ["turn"])
     return out.select("conv_id", "turn", "prev_hash", "hash")

@@ -134,13 +134,13 @@ def check_limits(spark, sf):
 
 
 @query("B1 B2 B3 B4 B5 B7 B11", sql("env", """SELECT e.arrival, coalesce(e.reason, CASE WHEN n.arrival IS NULL THEN 'nonce_replay'
-      WHEN e.odd THEN 'bad_signature' WHEN NOT e.known THEN 'invalid_region' WHEN b.arrival IS NULL THEN 'already_processed' END) AS reason
+      WHEN e.odd THEN 'bad_signature' WHEN e.cents * e.n_metrics > 40000000 THEN 'invalid_payload' WHEN NOT e.known THEN 'invalid_region' WHEN b.arrival IS NULL THEN 'already_processed' END) AS reason
     FROM checked e LEFT JOIN burned n USING (arrival) LEFT JOIN batches b USING (arrival)""",
       f"""checked AS (SELECT *, CASE WHEN batch_id IS NULL THEN 'missing_batch_id'
           WHEN bad_ts OR abs(us - header_s * 1000000) > 300000000 THEN 'stale_timestamp' END AS reason,
           {_REGION} IN ('gh-accra', 'ac-low', 'ad-high', 'unknown') AS known FROM env)""",
       "fresh AS (SELECT * FROM checked WHERE reason IS NULL)", chain("burned", "fresh", "nonce", "us", 600),
-      "good AS (SELECT * FROM burned WHERE NOT odd AND known)", chain("batches", "good", "batch_id", "us", 600),
+      "good AS (SELECT * FROM burned WHERE NOT odd AND known AND cents * n_metrics <= 40000000)", chain("batches", "good", "batch_id", "us", 600),
       recursive=True))
 def admit_envelopes(spark, sf):
     return B.admit(order_envelopes(spark, sf), SECRET, _ALLOWED).select("arrival", "reason")

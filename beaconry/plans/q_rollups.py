@@ -28,9 +28,16 @@ def rollup_1m(spark, sf):
     return R.rollup_1m(A.metrics(spark, sf))
 
 
-@query("F2", sql("metrics", node_rollup_sql("metrics", "5 minutes")))
+@query("F2", sql("metrics", f"""SELECT * FROM ({node_rollup_sql("metrics", "5 minutes")}) JOIN (
+    SELECT time_bucket(INTERVAL '5 minutes', time) AS bucket, node_id, count(latency_ms) AS sketch_samples,
+      min(latency_ms)::DOUBLE AS sketch_low, max(latency_ms)::DOUBLE AS sketch_high FROM metrics GROUP BY 1, 2) USING (bucket, node_id)"""))
 def rollup_5m_node(spark, sf):
-    return R.rollup_5m_node(A.metrics(spark, sf)).drop("latency_sketch")
+    """With what the sketch keeps exactly: its number of values, the least and the greatest."""
+    out = R.rollup_5m_node(A.metrics(spark, sf))
+    return out.withColumns({
+        "sketch_samples": F.kll_sketch_get_n_double("latency_sketch"),
+        "sketch_low": F.kll_sketch_get_quantile_double("latency_sketch", F.lit(0.0)),
+        "sketch_high": F.kll_sketch_get_quantile_double("latency_sketch", F.lit(1.0))}).drop("latency_sketch")
 
 
 @query("F3", sql("metrics nodes", REGION_ROLLUP))

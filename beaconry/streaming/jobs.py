@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from beaconry.functions import exact
 from beaconry.functions.scalar import region_slug
-from beaconry.operators import admission, dedup, nodes as node_ops, normalize
+from beaconry.operators import admission, dedup, nodes as node_ops, normalize, ordered
 from beaconry.operators.rollups import rollup
 from beaconry.sources.envelopes import explode_batch
 from beaconry.sources.store import METRIC_TYPES
@@ -93,48 +93,66 @@ def route_late(df: DataFrame, main: str, late: str, progress: str, checkpoint: s
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def checked_envelopes(env: DataFrame, secret: str, allowed: tuple[str, ...], mode: str, role: str,
-                      ttl: str = "600 seconds") -> DataFrame:
-    """Envelope stream with ``reason`` for all checks of one envelope; repeated nonces and batch ids are gone.
+REPEAT_TTL_S = 600
 
-    A refused envelope keeps a key of its own, so it neither disappears nor uses up a batch id; a stale one does
-    not use up its nonce.
+
+def _mark_repeats(rows: DataFrame, key: str, kind: str, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``repeated``, first uses): uses of ``key`` within the TTL of a first use, earlier micro-batches included."""
+    slim = rows.select(F.col(key).alias("_key"), "received_at", F.col("_id"), F.lit(1).alias("_new")).where("_key is not null")
+    if seen is not None:
+        past = seen.where(F.col("kind") == kind).select(F.col("key").alias("_key"), "received_at", F.lit("").alias("_id"), F.lit(0).alias("_new"))
+        slim = slim.unionByName(past)
+    judged = ordered.greedy_keep(slim, ["_key"], "received_at", REPEAT_TTL_S, ["_new", "_id"], hot_rows=None).where("_new = 1")
+    first = judged.where("kept").select(F.lit(kind).alias("kind"), F.col("_key").alias("key"), "received_at")
+    return rows.join(judged.select("_id", (~F.col("kept")).alias("repeated")), "_id", "left"), first
+
+
+def judge_repeats(batch: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(micro-batch with ``reason``, first uses of nonces and batch ids to remember).
+
+    A nonce is burned by the first fresh use even if a later check fails, a batch id only by a batch that passed.
     """
-    df = admission.check_limits(admission.check_region(admission.derive_region(env), allowed, mode, role))
-    df = admission.verify_signature(admission.check_freshness(df, F.col("received_at")), secret)
-    own = F.concat(F.lit("#"), F.sha2(F.concat_ws("|", "body", F.col("received_at").cast("string")), 256))
-    early = F.when(F.col("batch_id").isNull(), "missing_batch_id").when(~F.col("fresh"), "stale_timestamp")
-    df = event_time(df.withColumn("reason", early), "received_at").withWatermark("received_at", ttl)
-    df = df.withColumn("_nonce", F.when(F.col("reason").isNull(), F.coalesce("nonce", own)).otherwise(own))
-    df = df.dropDuplicatesWithinWatermark(["_nonce"])
-    df = df.withColumn("reason", F.coalesce(
-        "reason", F.when(~F.col("signature_ok"), "bad_signature"), F.col("limit_error"),
-        F.when(F.col("region_rejected"), "invalid_region")))
-    df = df.withColumn("_batch", F.when(F.col("reason").isNull(), F.col("batch_id")).otherwise(own))
-    return df.dropDuplicatesWithinWatermark(["_batch"]).drop(
-        "_nonce", "_batch", "fresh", "signature_ok", "limit_error", "region_known", "region_rejected")
+    same = Window.partitionBy("_id").orderBy("received_at")
+    ident = F.sha2(F.concat_ws("|", "batch_id", "nonce", "timestamp", "signature", "body", F.col("received_at").cast("string")), 256)
+    rows = batch.withColumn("_id", ident)
+    rows = rows.withColumn("_id", F.concat_ws("#", "_id", F.row_number().over(same)))
+    rows, nonces = _mark_repeats(rows, "fresh_nonce", "nonce", seen)
+    rows = rows.withColumn("reason", F.coalesce("early", F.when(F.col("repeated"), "nonce_replay"), "late")).drop("repeated")
+    rows = rows.withColumn("_batch", F.when(F.col("reason").isNull(), F.col("batch_id")))
+    rows, batches = _mark_repeats(rows, "_batch", "batch", seen)
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("repeated"), "already_processed")))
+    return rows.drop("_id", "_batch", "repeated", "early", "late", "fresh_nonce"), nonces.union(batches)
 
 
 def ingest_stream(env: DataFrame, out: str, checkpoint: str, secret: str,
                   allowed: tuple[str, ...] = admission.ALLOWED_REGIONS, mode: str = "strict", role: str = "central",
                   once: bool = True) -> StreamingQuery:
-    """Envelope stream to tables below ``out``: metrics (by date), conflicts, rejected, health, nodes.
+    """Envelope stream to tables below ``out``: metrics (by date), conflicts, rejected, health, nodes, seen.
+
+    Every envelope is either stored or in ``rejected`` with its reason; ``seen`` holds the first uses of nonces and
+    batch ids, and a micro-batch reads those of the last ``REPEAT_TTL_S`` seconds.
 
     Every micro-batch writes into folders of its own number, so a replayed batch replaces itself, and
     (time, node_id) stays unique. Metric rows meet only stored rows of the dates they touch. The node table is
     written as one version per batch; read the newest.
     """
-    checked = checked_envelopes(env, secret, allowed, mode, role)
+    checked = admission.single_checks(env, secret, allowed, mode, role)
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        memory, seen = f"{out}/seen", None
+        since = batch.agg(F.min("received_at")).first()[0]
+        if since is not None and _exists(spark, memory):
+            seen = spark.read.parquet(memory).where(
+                (F.col("epoch") < epoch) & (F.col("received_at") > F.lit(since) - F.make_dt_interval(secs=F.lit(REPEAT_TTL_S))))
+        judged, first = judge_repeats(batch, seen)
+        batch = judged.persist()
         try:
+            epoch_writer(memory)(first, epoch)
             bad = batch.where(F.col("reason").isNotNull())
             epoch_writer(f"{out}/rejected")(bad.select("batch_id", "node_id", "source_region", "received_at", "reason"), epoch)
             good = explode_batch(batch.where(F.col("reason").isNull()), ("batch_id", "received_at", "source_region"))
-            ok = admission.validate_schema(good)
-            raw, health = normalize.split_health(ok.drop("bad_fields").where(F.size("bad_fields") == 0))
+            raw, health = normalize.split_health(good)
             epoch_writer(f"{out}/health")(health, epoch)
             rows = normalize.is_valid(normalize.normalize(raw, F.col("received_at")))
             rows = rows.withColumns({c: F.col(c).cast(t) for c, t in METRIC_TYPES.items()})

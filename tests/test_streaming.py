@@ -161,7 +161,7 @@ def test_ingest_stream_end_to_end(spark, tmp_path):
     files = [
         [env(1, 0, [m(0), m(1)]), env(2, 1, [m(2)], sig="bad"), env(3, 2, [m(0, 9.0)])],
         [env(4, 30, [m(1, 8.0), m(30)]), env(5, 31, [m(31)], batch="b1"), env(6, 32, [m(32, 99999.0)]), env(7, 33, [m(33)], nonce="n1")],
-        [env(8, 300, [m(1, 7.0)])],
+        [env(8, 300, [m(1, 7.0), m(300, None, metadata={"type": "health", "cpu_pct": "12.5"})])],
     ]
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
@@ -175,7 +175,10 @@ def test_ingest_stream_end_to_end(spark, tmp_path):
     # 9.0 and 8.0 repeat a second within its 180 s; 7.0 comes later and meets a stored row
     lost = sorted(json.loads(r.payload)["latency_ms"] for r in spark.read.parquet(f"{out}/conflicts").collect())
     assert lost == [7.0]
-    assert [(r.batch_id, r.reason) for r in spark.read.parquet(f"{out}/rejected").collect()] == [("b2", "bad_signature")]
+    refused = sorted((r.batch_id, r.reason) for r in spark.read.parquet(f"{out}/rejected").collect())
+    assert refused == [("b1", "already_processed"), ("b2", "bad_signature"), ("b6", "invalid_payload"), ("b7", "nonce_replay")]
+    reports = spark.read.parquet(f"{out}/health").collect()
+    assert [(r.node_id, r.cpu_pct) for r in reports] == [("n1", 12.5)]
     nodes = spark.read.parquet(f"{out}/nodes")
     newest = nodes.where(F.col("epoch") == nodes.agg(F.max("epoch")).first()[0]).collect()
     assert [(r.node_id, r.node_name, r.country, r.last_seen_at is not None) for r in newest] == [("n1", "probe-n1", "GH", True)]
