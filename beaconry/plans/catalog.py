@@ -5,6 +5,7 @@ from beaconry.plans import (  # noqa: F401
     q_fleet,
     q_ingest,
     q_rollups,
+    q_sources,
     q_streaming,
 )
 from beaconry.plans.registry import ENTRIES  # noqa: F401

@@ -217,11 +217,14 @@ def run_alerts(spark, sf):
     return H.run_alerts(_doubled(spark, sf)).select("arrival", "rule_no", "severity", "disposition")
 
 
-@query("H6", sql("metrics", """SELECT substr(sha256(node_id || '|' || CAST(ts AS VARCHAR) || '|' || arrival || '|' || rule_no), 1, 32) AS alert_id,
+PAYLOAD_SQL = """SELECT substr(sha256(node_id || '|' || CAST(ts AS VARCHAR) || '|' || arrival || '|' || rule_no), 1, 32) AS alert_id,
       '{"attachments":[{"color":"' || CASE severity WHEN 'critical' THEN '#EF4444' ELSE '#F59E0B' END || '","blocks":[{"type":"section",'
       || '"text":{"type":"mrkdwn","text":"🚨 *' || upper(severity) || '*: ' || message || '"}},{"type":"context","elements":'
       || '[{"type":"mrkdwn","text":"Node: `' || node_id || '` | Time: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z"}]}]}]}' AS payload
-    FROM fired""", _M, _FIRED))
+    FROM fired"""
+
+
+@query("H6", sql("metrics", PAYLOAD_SQL, _M, _FIRED))
 def dispatch_payload(spark, sf):
     return H.dispatch_payload(H.evaluate_rules(_doubled(spark, sf)))
 

@@ -26,7 +26,7 @@ _SIGNED = "batch_id IS NOT NULL"
 _REGION = f"coalesce(region_id, {_SLUG})"
 
 
-@query("A1 A2", sql("env", """SELECT batch_id, received_at, arrival, CAST(i - 1 AS INTEGER) AS pos, node_id,
+@query("A2", sql("env", """SELECT batch_id, received_at, arrival, CAST(i - 1 AS INTEGER) AS pos, node_id,
     country, region, CAST(cents AS DOUBLE) / 4000.0::DOUBLE * i AS latency_ms
     FROM env, unnest(generate_series(1, least(n_metrics, 2))) AS t(i)"""))
 def explode_batch_rows(spark, sf):

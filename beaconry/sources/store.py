@@ -80,5 +80,5 @@ def compact_old(spark: SparkSession, path: str, now: Instant, age_days: int = 3,
     old.repartitionByRange("date", "node_id", F.desc("time")).sortWithinPartitions("date", "node_id", F.desc("time")) \
         .write.partitionBy("date").parquet(copy)
     (
-        spark.read.parquet(copy).select(*columns).sortWithinPartitions("date", "node_id", F.desc("time"))
+        spark.read.schema(old.schema).parquet(copy).select(*columns).sortWithinPartitions("date", "node_id", F.desc("time"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
