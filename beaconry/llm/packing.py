@@ -70,6 +70,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) ->
     counts = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task and bucket
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return cut.join(bases, ["length", "task"]).select(
+    # At most log2(size) + 1 rows per task that wrote pieces, however many pieces: small enough to broadcast.
+    return cut.join(F.broadcast(bases), ["length", "task"]).select(
         "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", (F.col("base") + F.col("local")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"))

@@ -1,8 +1,8 @@
 """Token ids from a public tokenizer file, with a cache of words.
 
 A text without runs of blanks is cut before every blank: for the patterns of both supported files a cut there always
-is a boundary between pre-tokens, so the ids of the parts joined are the ids of the text. Parts that were seen before
-come from the cache; new ones are cut into pre-tokens and only unseen pre-tokens go through the merges. Texts with
+is a boundary between pre-tokens, so the ids of the parts joined are the ids of the text. Parts that were seen lately come
+from the cache; others are cut into pre-tokens, and only unseen pre-tokens go through the tokenizer's merges. Texts with
 runs of blanks, special tokens or characters outside the plain Latin ranges take the tokenizer's own ``encode``.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import regex
@@ -46,30 +47,43 @@ class Encoder:
         self.supported = {s["type"] for s in steps} <= {"Split", "ByteLevel"} and set(kinds) <= {"NFC", "Replace", "Lowercase"}
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        # Texts seen lately and their ids: two generations, so that frequent words outlive a full cache.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one pre-token from the tokenizer's merges."""
+        if piece.isascii() and (piece.isalpha() or piece[0] == " " and piece[1:].isalpha()):
+            mapped = piece.replace(" ", self.letters[32])
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(self.young) >= CACHE_PARTS:
+            self.old, self.young = self.young, {}
+        self.young[text] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.young.get(piece)
         if found is None:
-            mapped = word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.words) >= CACHE_PARTS:
-                self.words.clear()
-            self.words[word] = found
+            found = self.old.get(piece)
+            found = self._keep(piece, self._merged(piece) if found is None else found)
         return found
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a part that is not in the young generation."""
+        found = self.old.get(part)
+        if found is None:
+            text = part.lower() if self.lower else part
+            found = b"".join(map(self._piece, self.pattern.findall(text)))
+        return self._keep(part, found)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
-        text = part.lower() if self.lower else part
-        found = b"".join(map(self._word, self.pattern.findall(text)))
-        if len(self.parts) >= CACHE_PARTS:
-            self.parts.clear()
-        self.parts[part] = found
-        return found
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -77,11 +91,12 @@ class Encoder:
         if not plain or not PLAIN.fullmatch(text):
             return self._whole(text)
         first, *rest = text.split(" ")
-        get, make = self.parts.get, self._part
-        out = [get(first) or make(first)]
+        make = self._part
+        out = [make(first)]
         for r in rest:
             r = " " + r
-            out.append(get(r) or make(r))
+            found = self.young.get(r)
+            out.append(make(r) if found is None else found)
         return b"".join(out)
 
 
