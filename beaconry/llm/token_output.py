@@ -67,7 +67,7 @@ def read(spark: SparkSession, path: str, first: int | None = None, last: int | N
     if last is not None:
         rows = rows.where(F.col("doc_id") <= last)
     out = ["doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens"]
-    return rows.join(bases, "part").select(*out, *(["ids"] if tokens else []))
+    return rows.join(F.broadcast(bases), "part").select(*out, *(["ids"] if tokens else []))
 
 
 def digests(rows: DataFrame) -> DataFrame:
