@@ -21,7 +21,8 @@ HEADLINE = [
     "fleet_tier_one_hour", "cluster_summary", "regional_breakdown", "top_problem_nodes", "kpi_stats", "list_metrics_page",
     "list_nodes", "dedup_metrics", "insert_first_wins", "conflict_audit", "normalize_metrics", "latest_per_node",
     "rolling_anomaly", "evaluate_rules", "alert_cooldown", "alert_node_quota", "greedy_cooldown", "pending_alerts",
-    "debounce_levels", "token_bucket", "admit_envelopes", "log_volume", "quality_report",
+    "debounce_levels", "token_bucket", "admit_envelopes", "log_volume", "quality_report", "run_alerts", "metric_rules",
+    "dispatch_payload", "stream_rollup_1m",
 ]
 
 
