@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -250,19 +251,29 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, context:
             (F.col("pos") - x["l"]).alias("s"), (F.col("pos") + k + x["r"]).alias("e"))).alias("spans")).where(F.size("spans") > 0)
     # A document's spans are at most a few per kept suffix of it.
     docs_spans = spans.groupBy("doc_id", "k1", "k2").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.min("partner").alias("partner"))
-    kind = "array<struct<s:int,e:int>>"
-
-    def join(acc, x):
-        last = F.element_at(acc, -1)
-        longer = F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e")))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"]),
-                      F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, F.array(x)))
-
-    merged = docs_spans.withColumn("spans", F.aggregate("spans", F.array().cast(kind), join))
-    return merged.select("doc_id", "k1", "k2", F.explode("spans").alias("x"),
-                         F.least("partner", "doc_id").alias("first_doc_id")).select(
-        "doc_id", "k1", "k2", F.col("x.s").cast("long").alias("start_word"), F.col("x.e").cast("long").alias("end_word"), "first_doc_id")
+        F.flatten(F.collect_set("spans")).alias("spans"), F.min("partner").alias("partner"))
+    return merged_spans(docs_spans.select("doc_id", "k1", "k2", F.least("partner", "doc_id").alias("first_doc_id"), "spans"))
+
+
+def merged_spans(docs_spans: DataFrame) -> DataFrame:
+    """Overlapping and touching spans of each row joined: one sort and one running maximum of the ends."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(4)
+            flat, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            # The row in the upper bits keeps the rows apart in one sort and one maximum.
+            s, e = [(row << 32) + flat.field(i).to_numpy().astype(np.int64) for i in range(2)]
+            order = np.argsort(s, kind="stable")
+            s, e = s[order], np.maximum.accumulate(e[order])
+            first = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]])) if len(s) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(s)) - 1 if len(s) else first
+            own = [b.column(i).take(pa.array(s[first] >> 32)) for i in range(4)]
+            ends = [pa.array(x & 0xFFFFFFFF) for x in (s[first], e[last])]
+            yield pa.RecordBatch.from_arrays([*own[:3], *ends, own[3]],
+                                             names=["doc_id", "k1", "k2", "start_word", "end_word", "first_doc_id"])
+
+    return docs_spans.mapInArrow(run, "doc_id long, k1 long, k2 long, start_word long, end_word long, first_doc_id long")
 
 
 def report(docs: DataFrame) -> DataFrame:
