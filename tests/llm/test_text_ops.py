@@ -274,3 +274,25 @@ def test_contamination(spark, odd, empty, odd_texts, limit):
     assert kept.count() == sum(n for k, n in want.items() if k[2] == 0)
     assert decontam.report(empty, bench).count() == 0
     assert {r["n_hit"] for r in decontam.contamination(odd, bench.limit(0)).collect()} == {0}
+
+
+def test_spans_merge_like_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for doc in [None, *range(40)]:
+        starts = rng.integers(0, 400, rng.integers(1, 30))
+        rows.append((doc, 1, 2, 0, [(int(s), int(s + rng.integers(1, 40))) for s in starts]))
+    schema = "doc_id long, k1 long, k2 long, first_doc_id long, spans array<struct<s:int,e:int>>"
+    want = []
+    for doc, _, _, _, spans in rows:
+        held = []
+        for s, e in sorted(spans):
+            if held and held[-1][1] >= s:
+                held[-1][1] = max(held[-1][1], e)
+            else:
+                held.append([s, e])
+        want += [(doc, s, e) for s, e in held]
+    got = suffixes.merged_spans(spark.createDataFrame(rows, schema)).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.start_word, r.end_word) for r in got), key=key) == sorted(want, key=key)
+    assert suffixes.merged_spans(spark.createDataFrame([], schema)).count() == 0
