@@ -56,29 +56,51 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(h: np.ndarray, least: int = LEAST, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and k-gram hashes of the kept suffixes: the leftmost minimum of each window."""
+def anchors(h: np.ndarray, n: np.ndarray, least: int = LEAST, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and k-gram hashes of the kept suffixes: the leftmost minimum of each window.
+
+    ``h`` holds the words of several texts one after another, ``n`` the number of words of each; windows stay in a text.
+    """
     if len(h) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams, w = _rolled(h, k), least - k + 1
+    inside = np.arange(len(h)) + least <= np.repeat(np.cumsum(n), n)
     found = []
     for i in range(0, len(grams) - w + 1, 1 << 16):
         view = np.lib.stride_tricks.sliding_window_view(grams[i : i + (1 << 16) + w - 1], w)
-        found.append(np.unique(i + np.arange(len(view)) + view.argmin(axis=1)))
+        starts = np.flatnonzero(inside[i : i + len(view)])
+        found.append(i + starts + view[starts].argmin(axis=1))
     at = np.unique(np.concatenate(found))
     return at, grams[at]
 
 
-def _context_hashes(h: np.ndarray, at: np.ndarray, k: int, context: int) -> np.ndarray:
-    """Hash of each suffix's k-gram with its context, cut at the text's ends."""
+def _span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words of each span: differences of running sums of words times powers of an odd number."""
+    up, down = np.full(len(h) + 1, _MIX), np.full(len(h) + 1, np.uint64(pow(int(_MIX), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
+        return (sums[end] - sums[start]) * down[start]
+
+
+def _mixed(total: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        total = np.zeros(len(at), np.uint64)
-        for d in range(-context, k + context):
-            p = at + d
-            there = (p >= 0) & (p < len(h))
-            total = total * _MIX + np.where(there, h[np.clip(p, 0, len(h) - 1)], np.uint64(d + context + 1))
-        total ^= total >> np.uint64(31)
-        return total * _MIX
+        total = (total ^ (total >> np.uint64(31))) * _MIX + (left * 64 + right).astype(np.uint64)
+        total = (total ^ (total >> np.uint64(29))) * _MIX
+    return total ^ (total >> np.uint64(32))
+
+
+def text_groups(texts: list[str | None], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of neighbouring texts of about ``size`` characters, or one longer text."""
+    start = used = 0
+    for i, t in enumerate(texts):
+        if used and used + len(t or "") > size:
+            yield start, i
+            start, used = i, 0
+        used += len(t or "")
+    yield start, len(texts)
 
 
 def kept_suffixes(docs: DataFrame, least: int = LEAST, k: int = K, context: int = CONTEXT) -> DataFrame:
@@ -86,26 +108,26 @@ def kept_suffixes(docs: DataFrame, least: int = LEAST, k: int = K, context: int
 
     def run(batches):
         hashes = WordHashes()
-        for b in slices(batches, 500):
-            rows, pos, left, right, gram, ctx = [], [], [], [], [], []
-            for i, text in enumerate(b.column(3).to_pylist()):
-                h = hashes.of(text)
-                at, g = anchors(h, least, k)
+        for b in slices(batches):
+            texts = b.column(3).to_pylist()
+            for first, last in text_groups(texts):
+                parts = [hashes.of(t) for t in texts[first:last]]
+                n = np.array([len(x) for x in parts], np.int64)
+                h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+                at, gram = anchors(h, n, least, k)
                 if not len(at):
                     continue
-                rows.append(np.full(len(at), i))
-                pos.append(at)
-                left.append(np.minimum(at, context))
-                right.append(np.minimum(len(h) - k - at, context))
-                gram.append(g)
-                ctx.append(_context_hashes(h, at, k, context))
-            if not rows:
-                continue
-            take = pa.array(np.concatenate(rows))
-            own = [b.column(i).take(take) for i in range(3)]
-            small = [pa.array(np.concatenate(x).astype(np.int32)) for x in (pos, left, right)]
-            big = [pa.array(np.concatenate(x).view(np.int64)) for x in (gram, ctx)]
-            yield pa.RecordBatch.from_arrays([*own, *small, *big], names=["doc_id", "k1", "k2", "pos", "l", "r", "gram", "ctx"])
+                ends = np.cumsum(n)
+                row = np.searchsorted(ends, at, side="right")
+                pos = at - (ends - n)[row]
+                left, right = np.minimum(pos, context), np.minimum(n[row] - k - pos, context)
+                ctx = _mixed(_span_hashes(h, at - left, at + k + right), left, right)
+                take = pa.array(first + row)
+                own = [b.column(i).take(take) for i in range(3)]
+                small = [pa.array(x.astype(np.int32)) for x in (pos, left, right)]
+                big = [pa.array(x.view(np.int64)) for x in (gram, ctx)]
+                yield pa.RecordBatch.from_arrays([*own, *small, *big],
+                                                 names=["doc_id", "k1", "k2", "pos", "l", "r", "gram", "ctx"])
 
     k1, k2 = row_key(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"),
