@@ -2,11 +2,11 @@
 
 Candidates are dealt into tiles of about ``tile_rows`` rows and queries into blocks of at most ``query_rows``; a task
 holds one tile and one block, a query block visits each tile once. Per tile and component there is a list of the
-candidates sorted by value. For a query the lists are read from their best end, side by side; every candidate seen has
+candidates sorted by value. For a query the lists are read from their best end, side by side; every candidate has
 a lower bound (unread components at the worst end of their list) and an upper bound (unread components at the last
-value read). Candidates whose upper bound falls below the k-th lower bound are out, and reading stops when neither an
-unseen candidate nor more than a few seen ones can qualify; their final scores are then resolved. Tiles give their k
-best, a group-limited window merges them.
+value read). Candidates whose upper bound falls below the k-th lower bound are out, and a query stops reading when no more
+than a few can qualify; their final scores are then resolved. Queries of a task are looked at together, so the bounds of
+all candidates are products of matrices. Tiles give their k best, a group-limited window merges them.
 
 Defined results: vectors that are null or hold null, NaN or infinite components, and rows with null ids, take no part;
 shorter vectors count as zero beyond their end; equal ids of a query give one result (its smallest vector); rows with
@@ -20,12 +20,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from beaconry.llm.common import stored
 
 TILE_ROWS, QUERY_ROWS = 4_096, 4_096
-FIRST_DEPTH = 32
+#: Depth of the first look at the bounds, the factor to the next one, and the queries that are looked at together.
+FIRST_DEPTH, DEEPER, TOGETHER = 64, 4, 256
 
 
 def integers(vector: Column, scale: int = 1024) -> Column:
@@ -39,49 +41,50 @@ class Tile:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(x, self.order, axis=0).astype(np.float64)
+        self.values = x.astype(np.float64)
+        self.sorted = np.sort(self.values, axis=0)
+
+    def _bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Components for lower and upper bounds when every list is read to ``depth`` from its large and its small end.
+
+        What is read (ties of the last value included) is known; the rest lies between the last value read and the far end.
+        """
+        x, n = self.values, len(self.x)
+        front_large, front_small = self.sorted[n - depth], self.sorted[depth - 1]
+        low = np.hstack([np.where(x >= front_large, x, self.sorted[0]), np.where(x <= front_small, x, self.sorted[-1])])
+        return low, np.hstack([np.maximum(x, front_large), np.minimum(x, front_small)])
+
+    def tops(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of the k best per query, ties to smaller ids. All queries that still read do so to the same depth."""
+        n = len(self.x)
+        weight = np.hstack([np.maximum(q, 0), np.minimum(q, 0)]).astype(np.float64)  # positive weights read from the large end
+        slack = 1e-9 * (1 + np.abs(weight) @ np.tile(np.maximum(np.abs(self.sorted[0]), np.abs(self.sorted[-1])), 2))
+        found: list = [None] * len(q)
+        reading, depth = np.arange(len(q)), min(FIRST_DEPTH, n)
+        while len(reading):
+            low, high = (weight[reading] @ m.T for m in self._bounds(depth))
+            own = query_ids[reading][:, None] == self.ids
+            low[own] = high[own] = -np.inf
+            line = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(reading), -np.inf)
+            alive = (high + (slack[reading] - line)[:, None] >= 0) & ~own
+            done = (alive.sum(axis=1) <= 4 * k) | (depth == n)
+            for j in np.flatnonzero(done):
+                left = np.flatnonzero(alive[j])
+                scores = self.x[left] @ q[reading[j]]
+                best = np.lexsort((self.ids[left], -scores))[:k]
+                found[reading[j]] = self.ids[left][best], scores[best]
+            reading, depth = reading[~done], min(DEEPER * depth, n)
+        return found
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, ties to smaller ids."""
-        n, d = self.x.shape
-        use = np.flatnonzero(q)
-        weight = q[use].astype(np.float64)
-        down = weight > 0  # read from the large end
-        ends = self.sorted[0, use] * weight, self.sorted[-1, use] * weight
-        worst = np.where(down, *ends)
-        slack = 1e-9 * (1 + np.abs(ends[0]).sum() + np.abs(ends[1]).sum())
-        known, floor, seen = np.zeros(n), np.zeros(n), np.zeros((n, len(use)), bool)
-        alive = self.ids != query_id
-        if len(use):
-            depth, till = 0, FIRST_DEPTH
-            while depth < n:
-                till = min(till, n)
-                at = np.where(down, (n - 1 - np.arange(depth, till))[:, None], np.arange(depth, till)[:, None])
-                rows = self.order[at, use]
-                gain = self.sorted[at, use] * weight
-                known += np.bincount(rows.ravel(), gain.ravel(), n)
-                floor += np.bincount(rows.ravel(), np.broadcast_to(worst, rows.shape).ravel(), n)
-                seen[rows, np.arange(len(use))] = True
-                front = gain[-1]
-                low = known - floor + worst.sum()
-                high = known + (~seen).astype(np.float64) @ front
-                some = low[alive]
-                if len(some) > k:
-                    alive &= high + slack >= np.partition(some, len(some) - k)[len(some) - k]
-                if alive.sum() <= 4 * k and (seen[alive].any(axis=1).all() or len(some) <= k):
-                    break
-                depth, till = till, 2 * till
-        left = np.flatnonzero(alive)
-        scores = self.x[left] @ q
-        best = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][best], scores[best]
+        return self.tops(np.array([query_id]), q[None], k)[0]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of the list column, short ones filled with zeros."""
+    n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros((len(column), width), np.int64)
-    for i, v in enumerate(column.to_pylist()):
-        out[i, : len(v)] = v
+    out[np.arange(width) < n[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -99,12 +102,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_rows: int =
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not candidates.num_rows or not asked.num_rows:
             return schema.empty_table()
-        width = max(max(map(len, t.column("v").to_pylist())) for t in (candidates, asked))
-        tile = Tile(candidates.column("vec_id").to_numpy(), _matrix(candidates.column("v").combine_chunks(), width))
-        parts = []
-        for query_id, q in zip(asked.column("vec_id").to_pylist(), _matrix(asked.column("v").combine_chunks(), width)):
-            ids, scores = tile.top(query_id, q, k)
-            parts.append((np.full(len(ids), query_id), ids, scores))
+        rows, wanted = (pa.concat_arrays(t.column("v").chunks) for t in (candidates, asked))
+        width = max(pc.max(c.value_lengths()).as_py() for c in (rows, wanted))
+        tile = Tile(candidates.column("vec_id").to_numpy(), _matrix(rows, width))
+        query_ids, q, parts = asked.column("vec_id").to_numpy(), _matrix(wanted, width), []
+        for i in range(0, len(q), TOGETHER):
+            some = query_ids[i : i + TOGETHER]
+            for query_id, (ids, scores) in zip(some, tile.tops(some, q[i : i + TOGETHER], k)):
+                parts.append((np.full(len(ids), query_id), ids, scores))
         return pa.table([np.concatenate(x) for x in zip(*parts)], schema=schema)
 
     found = (left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block"))
