@@ -66,7 +66,7 @@ class Tile:
             own = query_ids[reading][:, None] == self.ids
             low[own] = high[own] = -np.inf
             line = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(reading), -np.inf)
-            alive = (high + (slack[reading] - line)[:, None] >= 0) & ~own
+            alive = (high + slack[reading][:, None] >= line[:, None]) & ~own
             done = (alive.sum(axis=1) <= 4 * k) | (depth == n)
             for j in np.flatnonzero(done):
                 left = np.flatnonzero(alive[j])
