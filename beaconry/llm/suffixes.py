@@ -222,7 +222,7 @@ def hidden_matches(contexts: DataFrame, least: int = LEAST, k: int = K) -> DataF
     contexts of a k-gram, so only those are looked at; counting windows is a sum, whatever their frequency.
     """
     need = least - k
-    crowded = contexts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 2").select("gram")
+    crowded = stored(contexts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 2").select("gram"), "crowded")
     digest = xxhash.xxh64_intdigest
 
     def run(batches):
@@ -241,6 +241,7 @@ def hidden_matches(contexts: DataFrame, least: int = LEAST, k: int = K) -> DataF
     windows = contexts.join(crowded, "gram", "left_semi").select("gram", "ctx", "who", F.col("gram").alias("g"), "after", "before")
     windows = windows.mapInArrow(run, "win long, gram long, ctx long, who long, l int, r int")
     shared = windows.groupBy("win").agg(F.count("*").alias("n"), F.min("who").alias("other")).where("n > 1").drop("n")
+    shared = stored(shared, "shared")
     return windows.join(shared, "win").select("gram", "ctx", "l", "r", "other")
 
 
@@ -249,7 +250,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, context:
     kept = stored(kept_suffixes(docs, least, k, context), "suffixes")
     grams = kept.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"),
                                      F.min("doc_id").alias("low"))
-    many = grams.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("varied"), "low")
+    # Written, so that both sides of the join are plain shuffles, whose hot partitions adaptive execution splits; so below.
+    many = stored(grams.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("varied"), "low"), "grams")
     live = stored(kept.join(many, "gram"), "repeated-suffixes")
     groups = live.where("varied").groupBy("gram", "ctx").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"), F.min("doc_id").alias("who"))
@@ -259,7 +261,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, context:
              .union(hidden_matches(contexts, least, k)))
     pairs = pairs.groupBy("gram", "ctx").agg(F.collect_set(F.struct("l", "r")).alias("m"), F.min("other").alias("other"))
     same = groups.where("n > 1").select("gram", "ctx", F.col("who").alias("same"))
-    marks = pairs.join(same, ["gram", "ctx"], "full")
+    marks = stored(pairs.join(same, ["gram", "ctx"], "full"), "marks")
     whole = F.col("l") + k + F.col("r") >= least
     varied = live.where("varied").join(marks, ["gram", "ctx"]).select(
         "doc_id", "k1", "k2", "pos", F.least("other", "same").alias("partner"),
