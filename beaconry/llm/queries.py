@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from beaconry.llm import decontam, packing, pii, quality, simhash, suffixes, token_output, topk, toxicity, warc
+from beaconry.llm import decontam, language, negatives, packing, periods, pii, quality, simhash, suffixes, token_output, topk, toxicity, warc
 from beaconry.llm.common import table
 from beaconry.session import scratch_dir
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -55,8 +55,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).drop("url", "payload")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(table(spark, sf_dir, "documents"), tails=True)
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash_near_dedup, op3_packing, op4_suffix_array_dedup, op5_exact_top_k, op6_benchmark_decontamination,
-                                  op7_quality_classifier, op8_token_output, op9_toxicity, op10_warc)}
+                                  op7_quality_classifier, op8_token_output, op9_toxicity, op10_warc, op11_hard_negatives, op12_language_id, op13_periodic_runs)}
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -94,4 +106,19 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
 FROM f"""
 
-ORACLES: dict[str, str] = {"op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op6_benchmark_decontamination": OP6_SQL}
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same,
+             list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, c AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5)
+SELECT p.a AS anchor_id, positive_id, row_number() OVER (PARTITION BY p.a, positive_id ORDER BY s.score DESC, s.c)::INTEGER AS rank,
+       s.c AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+ORACLES: dict[str, str] = {"op5_exact_top_k": OP5_SQL, "op10_warc": OP10_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_hard_negatives": OP11_SQL}
