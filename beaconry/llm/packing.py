@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from beaconry.llm.common import slices, stored
-from beaconry.llm.tokens import encoder
+from beaconry.llm.suffixes import text_groups
+from beaconry.llm.tokens import GROUP, encoder
 
 SIZE = 1024
 
@@ -39,25 +40,28 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) -
         raise ValueError("size must be a power of two")
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "task", "local"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_many
         task = TaskContext.get().partitionId()
         counts: dict[int, int] = {}
-        for b in slices(batches, 256):
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text) + end
-                n, at = len(ids) // 4, 0
-                for width in lengths(n, size):
-                    part = ids[4 * at : 4 * (at + width)]
-                    local = counts.get(width, 0)
-                    counts[width] = local + 1
-                    rows.append((doc_id, at, width, part, zlib.crc32(part), n, task, local))
-                    at += width
-            columns = list(zip(*rows)) or [()] * len(names)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        for b in slices(batches):
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i, j in text_groups(texts, GROUP):
+                flat, sizes = encode(texts[i:j])
+                flat, rows, first = flat.astype("<u4", copy=False).tobytes(), [], 0
+                for doc_id, n in zip(ids[i:j], sizes.tolist()):
+                    whole, at = flat[4 * first : 4 * (first + n)] + end, 0
+                    first += n
+                    for width in lengths(n + 1, size):
+                        part = whole[4 * at : 4 * (at + width)]
+                        local = counts.get(width, 0)
+                        counts[width] = local + 1
+                        rows.append((doc_id, at, width, part, zlib.crc32(part), n + 1, task, local))
+                        at += width
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, "

@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from beaconry.llm.common import slices, text_or_empty
-from beaconry.llm.tokens import encoder
+from beaconry.llm.suffixes import text_groups
+from beaconry.llm.tokens import GROUP, encoder
 
 SCHEMA = "doc_id long, n_tokens long, file_start long, part int, ids array<int>"
 
@@ -28,22 +29,25 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of the file format, in ascending order of doc_id within and across partitions."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").drop("tie")
-    end = np.array([end_id], "<u4").tobytes()
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        make = encoder(tokenizer).encode
+        make = encoder(tokenizer).encode_many
         before = 0
-        for b in slices(batches, 256):
-            texts = [make(t) + end for t in b.column(1).to_pylist()]
-            n = np.array([len(x) // 4 for x in texts], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(texts), "<i4")))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(before + offsets[:-1]), pa.array(np.full(len(n), part, np.int32)), ids],
-                names=["doc_id", "n_tokens", "file_start", "part", "ids"])
-            before += int(offsets[-1])
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            for i, j in text_groups(texts, GROUP):
+                flat, sizes = make(texts[i:j])
+                ends = np.cumsum(sizes)
+                flat = np.insert(flat.astype("<i4"), ends, end_id)  # the end id after each text
+                n = sizes + 1
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(n), pa.array(before + offsets[:-1]), pa.array(np.full(len(n), part, np.int32)), ids],
+                    names=["doc_id", "n_tokens", "file_start", "part", "ids"])
+                before += int(offsets[-1])
 
     return rows.mapInArrow(run, SCHEMA)
 

@@ -1,8 +1,9 @@
 """Token ids from a public tokenizer file, with a cache of words.
 
 A text without runs of blanks is cut before every blank: for the patterns of both supported files a cut there always
-is a boundary between pre-tokens, so the ids of the parts joined are the ids of the text. Parts that were seen lately come
-from the cache; others are cut into pre-tokens, and only unseen pre-tokens go through the tokenizer's merges. Texts with
+is a boundary between pre-tokens, so the ids of the parts joined are the ids of the text. The texts of a batch are cut and their parts
+numbered by Arrow; each distinct part is cut into pre-tokens once a batch, and only pre-tokens that were not seen lately go through
+the tokenizer's merges. Texts with
 runs of blanks, special tokens or characters outside the plain Latin ranges take the tokenizer's own ``encode``.
 """
 
@@ -13,10 +14,14 @@ from functools import lru_cache
 from struct import pack
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-CACHE_PARTS = 250_000
+CACHE_PIECES = 300_000
+#: Characters that are encoded together.
+GROUP = 12 << 20
 #: Characters on which normalisation is lower-casing alone and all pattern engines agree.
 PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
 #: The pre-token pattern of byte-level tokenizers whose file only names it (fixed value).
@@ -45,59 +50,89 @@ class Encoder:
         kinds = [n["type"] for n in norm.get("normalizers", [norm])] if norm else []
         self.lower = "Lowercase" in kinds
         self.supported = {s["type"] for s in steps} <= {"Split", "ByteLevel"} and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+        self.bare = bool(split)  # pre-tokens come without their blank
         self.letters = _byte_letters()
+        self.blank = self.letters[32]
         self.model = self.tokenizer.model
-        # Texts seen lately and their ids: two generations, so that frequent words outlive a full cache.
+        self.merge = self.model.tokenize
+        # Pre-tokens seen lately and their ids: two generations, so that frequent words outlive a full cache.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _merged(self, piece: str) -> bytes:
         """Ids of one pre-token from the tokenizer's merges."""
         if piece.isascii() and (piece.isalpha() or piece[0] == " " and piece[1:].isalpha()):
-            mapped = piece.replace(" ", self.letters[32])
+            mapped = piece.replace(" ", self.blank)
         else:
             mapped = piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(mapped)]
+        ids = [t.id for t in self.merge(mapped)]
         return pack(f"<{len(ids)}I", *ids)
 
-    def _keep(self, text: str, ids: bytes) -> bytes:
-        if len(self.young) >= CACHE_PARTS:
-            self.old, self.young = self.young, {}
-        self.young[text] = ids
-        return ids
-
     def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-token, from the cache if it was seen lately."""
         found = self.young.get(piece)
         if found is None:
             found = self.old.get(piece)
-            found = self._keep(piece, self._merged(piece) if found is None else found)
+            if found is None:
+                found = self._merged(piece)
+            if len(self.young) >= CACHE_PIECES:
+                self.old, self.young = self.young, {}
+            self.young[piece] = found
         return found
 
     def _part(self, part: str) -> bytes:
-        """Ids of a part that is not in the young generation."""
-        found = self.old.get(part)
-        if found is None:
-            text = part.lower() if self.lower else part
-            found = b"".join(map(self._piece, self.pattern.findall(text)))
-        return self._keep(part, found)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        """Ids of a part: a blank (but for the first of a text) and what follows to the next blank."""
+        text = part.lower() if self.lower else part
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():  # one pre-token, with its blank or without
+            return self._piece(word if self.bare else text)
+        return b"".join(map(self._piece, self.pattern.findall(text)))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _plain(self, text: str) -> bool:
+        return (self.supported and "  " not in text and not any(s in text.lower() for s in self.special)
+                and PLAIN.fullmatch(text) is not None)
+
+    def _parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids per text) of plain texts."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        starts = np.concatenate([[0], ends[:-1]])
+        parts = lists.flatten().dictionary_encode()
+        codes, words = parts.indices.to_numpy().astype(np.int64), parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        table = [self._part(" " + w) for w in words]
+        firsts, place = np.unique(codes[starts], return_inverse=True)
+        codes[starts] = len(words) + place
+        table += [self._part(words[i]) for i in firsts]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(table), "<u4")))
+        return rows.take(pa.array(codes)).flatten().to_numpy(), np.add.reduceat(sizes[codes], starts)
+
+    def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids per text)."""
+        plain = [i for i, t in enumerate(texts) if t and self._plain(t)]
+        other = {i: self._whole(texts[i]) for i in sorted(set(range(len(texts))) - set(plain)) if texts[i]}
+        n = np.zeros(len(texts), np.int64)
+        flat, found = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if plain:
+            flat, found = self._parts([texts[i] for i in plain])
+            n[plain] = found
+        if not other:
+            return flat, n
+        pieces, at, offsets = [], 0, dict(zip(plain, np.cumsum(found) - found))
+        for i in range(len(texts)):
+            if i in other:
+                n[i] = len(other[i])
+                pieces.append(other[i])
+            elif i in offsets:
+                pieces.append(flat[offsets[i] : offsets[i] + n[i]])
+        return np.concatenate(pieces), n
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        plain = self.supported and "  " not in text and not any(s in text.lower() for s in self.special)
-        if not plain or not PLAIN.fullmatch(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        make = self._part
-        out = [make(first)]
-        for r in rest:
-            r = " " + r
-            found = self.young.get(r)
-            out.append(make(r) if found is None else found)
-        return b"".join(out)
+        return self.encode_many([text])[0].astype("<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
