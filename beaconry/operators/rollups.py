@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from beaconry.functions import exact
 from beaconry.functions.scalar import region_slug
 from beaconry.functions.timeutil import Instant, bucket, instant
+from beaconry.operators import states
 
 
 def rollup(df: DataFrame, width: str, *, sketch: bool = False) -> DataFrame:
@@ -53,25 +54,22 @@ def rollup_5m_region(metrics: DataFrame, nodes: DataFrame, width: str = "5 minut
     The join then handles one row per node and bucket, so neither a hot node nor a large
     node table shuffles raw samples.
     """
-    lat = F.col("latency_ms").cast("double")
+    scale = exact.scale_of(metrics, "latency_ms")
+    if scale is not None and scale == exact.scale_of(metrics, "uptime_pct") == exact.scale_of(metrics, "packet_loss"):
+        return states.finished_region(states.by_region(states.from_samples(metrics, width), nodes), scale)
+    lat = F.col("latency_ms").cast("double")  # samples of other types: sums of doubles
     per_node = metrics.groupBy(bucket("time", width).alias("bucket"), "node_id").agg(
-        *exact.partial(metrics, "latency_ms", "lat"),
-        F.sum(lat * lat).alias("lat_sq"),
-        *exact.partial(metrics, "packet_loss", "loss"),
-        *exact.partial(metrics, "uptime_pct", "up"),
-        F.count(F.lit(1)).alias("n"),
-    )
+        *exact.partial(metrics, "latency_ms", "lat"), F.sum(lat * lat).alias("lat_sq"), *exact.partial(metrics, "packet_loss", "loss"),
+        *exact.partial(metrics, "uptime_pct", "up"), F.count(F.lit(1)).alias("n"))
     dim = nodes.select("node_id", region_slug(F.col("country"), F.col("region")).alias("region"))
-    scale = 10 ** (exact.scale_of(metrics, "latency_ms") or 0)
-    total, n = F.sum("lat_sum") / F.lit(scale), F.sum("lat_n")
+    total, n = F.sum("lat_sum") / F.lit(10 ** (scale or 0)), F.sum("lat_n")
     spread = F.sum("lat_sq") - total * total / n
     return per_node.join(dim, "node_id").groupBy("bucket", "region").agg(
         exact.merged_mean(metrics, "latency_ms", "lat").alias("avg_latency"),
         F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n - 1))).alias("std_latency"),
         exact.merged_mean(metrics, "packet_loss", "loss").alias("avg_loss"),
         exact.merged_mean(metrics, "uptime_pct", "up").alias("avg_uptime"),
-        F.sum("n").alias("samples"),
-    )
+        F.sum("n").alias("samples"))
 
 
 def _percentile(p: float):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
-from beaconry.operators import fleet as Q, rollups as R
+from beaconry.operators import fleet as Q
+from beaconry.plans import stored
 from beaconry.plans.q_rollups import NOW, REGION_ROLLUP, node_rollup_sql
 from beaconry.plans.registry import query
-from beaconry.plans.tiers import query_fleet
+from beaconry.plans.tiers import fleet_percentiles, query_fleet
 from beaconry.plans.views import mean, sql
 from beaconry.sources import adapters as A
+from beaconry.sources.rollup_store import TIERS
 
 START, END = "2024-01-01 00:00:00", "2024-01-01 01:00:00"
 _RANGE = f"time >= TIMESTAMP '{START}' AND time <= TIMESTAMP '{END}'"
@@ -70,28 +74,24 @@ def _round_estimates(df):
 
 @query("F9", sql("native", _rollup_fleet_sql("node_id", "min_latency", "max_latency", "hourly"), _HOURLY))
 def fleet_from_hourly(spark, sf):
-    tier = R.rollup_hourly(A.metrics(spark, sf, "native"))
+    tier = stored.tier(spark, sf, "hourly", "native", "2024-01-01", "2024-02-01")
     return _round_estimates(Q.fleet_from_node_rollup(tier, "2024-01-01", "2024-02-01"))
 
 
 @query("F9", sql("native", _rollup_fleet_sql("node_id", "min_latency", "max_latency", "daily"), _DAILY))
 def fleet_from_daily(spark, sf):
-    tier = R.rollup_daily(A.metrics(spark, sf, "native"))
+    tier = stored.tier(spark, sf, "daily", "native", "2024-01-01", "2024-02-01")
     return _round_estimates(Q.fleet_from_node_rollup(tier, "2024-01-01", "2024-02-01"))
 
 
 @query("F10", sql("metrics nodes", _rollup_fleet_sql("region", "avg_latency", "avg_latency", "region5"), _REGION5))
 def fleet_from_region_rollup(spark, sf):
-    tier = R.rollup_5m_region(A.metrics(spark, sf), A.nodes(spark, sf))
+    tier = stored.tier(spark, sf, "5m_region", "dense", START, END)
     return _round_estimates(Q.fleet_from_region_rollup(tier, START, END))
 
 
 def _tiers(spark, sf, calendar):
-    raw = A.metrics(spark, sf, calendar)
-    return {
-        "1m": lambda: R.rollup_1m(raw), "5m_node": lambda: R.rollup(raw, "5 minutes"),
-        "5m_region": lambda: R.rollup_5m_region(raw, A.nodes(spark, sf)),
-        "hourly": lambda: R.rollup_hourly(raw), "daily": lambda: R.rollup_daily(raw)}
+    return {name: partial(stored.tier, spark, sf, name, calendar) for name in TIERS}
 
 
 @query("K10", sql("metrics", _rollup_fleet_sql("node_id", "min_latency", "max_latency", "five"), _FIVE))
@@ -110,6 +110,27 @@ def fleet_tier_month_by_region(spark, sf):
     return _round_estimates(out)
 
 
+def _quantile_sql(key: str, source: str) -> str:
+    return f"""SELECT coalesce({key}, 'Unknown') AS dimension, {mean('lat_c')} AS avg_latency, min(latency_ms) AS min_latency,
+    max(latency_ms) AS max_latency, quantile_disc(CAST(latency_ms AS DOUBLE), 0.95) AS latency_quantile, count(*) AS reporting_count
+    FROM {source} GROUP BY 1"""
+
+
+@query("K10 F11", sql("native", _quantile_sql("node_id", "native")))
+def fleet_p95_from_daily_sketches(spark, sf):
+    """A month per node: the 95th percentile from sketches of the daily tier, made of hours made of five minutes."""
+    return fleet_percentiles(lambda name, start, end: stored.tier_states(spark, sf, name, "native", start, end), A.nodes(spark, sf),
+                             "node", "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+
+
+@query("K10 F11", sql("native", f"{_quantile_sql('node_id', 'native')}".replace(
+    "FROM native", "FROM native WHERE time >= TIMESTAMP '2024-01-10 00:00:00' AND time < TIMESTAMP '2024-01-11 01:00:00'")))
+def fleet_p95_from_hourly_sketches(spark, sf):
+    """A day and an hour per node from the hourly tier."""
+    return fleet_percentiles(lambda name, start, end: stored.tier_states(spark, sf, name, "native", start, end), A.nodes(spark, sf),
+                             "node", "2024-01-10 00:00:00", "2024-01-11 00:00:00")
+
+
 def half_up(total: str, n: str, digits: int, scale: int = 2) -> str:
     up, down = 10 ** max(digits - scale, 0), 10 ** max(scale - digits, 0)
     return (f"CAST(((sum({total}) * {2 * up} + {n} * {down}) // ({n} * {2 * down})) AS DOUBLE) "
@@ -126,7 +147,7 @@ def cluster_summary(spark, sf):
 @query("F12", sql("metrics", """SELECT count(DISTINCT node_id) AS total_nodes, round(avg(avg_latency), 2) AS avg_latency_ms,
     round(avg(avg_uptime), 2) AS avg_uptime_pct, round(avg(avg_loss), 3) AS avg_loss_pct FROM five""", _FIVE))
 def cluster_summary_from_rollup(spark, sf):
-    return Q.cluster_summary_from_rollup(R.rollup(A.metrics(spark, sf), "5 minutes"), START, END)
+    return Q.cluster_summary_from_rollup(stored.tier(spark, sf, "5m_node", "dense", START, END), START, END)
 
 
 @query("F13 E3", sql("metrics nodes", f"""SELECT slug AS region, count(DISTINCT node_id) AS nodes,
@@ -141,7 +162,7 @@ def regional_breakdown(spark, sf):
     FROM five JOIN nodes USING (node_id) GROUP BY slug""", _FIVE))
 def regional_breakdown_from_rollup(spark, sf):
     return Q.regional_breakdown_from_rollup(
-        R.rollup(A.metrics(spark, sf), "5 minutes"), A.nodes(spark, sf), START, END)
+        stored.tier(spark, sf, "5m_node", "dense", START, END), A.nodes(spark, sf), START, END)
 
 
 _SCORED = f"""scored AS (SELECT *, lat / 50.0::DOUBLE + loss * 10.0::DOUBLE + (100.0::DOUBLE - up) * 2.0::DOUBLE AS raw FROM (
@@ -161,7 +182,7 @@ def top_problem_nodes(spark, sf):
           FROM five JOIN nodes USING (node_id) GROUP BY ALL)) ORDER BY raw DESC, node_id LIMIT 5""", _FIVE))
 def top_problem_nodes_from_rollup(spark, sf):
     return Q.top_problem_nodes_from_rollup(
-        R.rollup(A.metrics(spark, sf), "5 minutes"), A.nodes(spark, sf), START, END)
+        stored.tier(spark, sf, "5m_node", "dense", START, END), A.nodes(spark, sf), START, END)
 
 
 @query("C14", sql("metrics nodes", "SELECT node_id, raw AS score FROM scored", _SCORED))
@@ -199,8 +220,8 @@ def unseen_nodes(spark, sf):
 @query("E6", sql("native nodes", """SELECT bucket, region, avg_latency, avg_uptime FROM hourly JOIN nodes USING (node_id)
     WHERE bucket > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '7 days'""", _HOURLY))
 def recent_rollups_by_region(spark, sf):
-    return Q.recent_rollups_by_region(
-        R.rollup_hourly(A.metrics(spark, sf, "native")), A.nodes(spark, sf), "2024-01-31 00:00:00")
+    tier = stored.tier(spark, sf, "hourly", "native", "2024-01-24 00:00:00", "2024-01-31 00:00:00")
+    return Q.recent_rollups_by_region(tier, A.nodes(spark, sf), "2024-01-31 00:00:00")
 
 
 @query("E6", sql("metrics nodes", f"""SELECT node_name, region, {mean('lat_c')} AS avg_latency, {mean('up_c')} AS avg_uptime
@@ -310,13 +331,13 @@ def panel_problem_nodes(spark, sf):
 @query("F23", sql("metrics nodes", """SELECT region, round(avg(avg_latency), 1) AS latency FROM region5
     WHERE bucket > TIMESTAMP '2024-01-01 00:00:00' GROUP BY region""", _REGION5))
 def panel_region_bar(spark, sf):
-    return Q.panel_region_bar(R.rollup_5m_region(A.metrics(spark, sf), A.nodes(spark, sf)), START)
+    return Q.panel_region_bar(stored.tier(spark, sf, "5m_region", "dense", START), START)
 
 
 @query("F23", sql("metrics nodes", """SELECT bucket AS time, region, avg_uptime AS uptime FROM region5
     WHERE bucket > TIMESTAMP '2024-01-01 00:00:00'""", _REGION5))
 def panel_uptime_trend(spark, sf):
-    return Q.panel_uptime_trend(R.rollup_5m_region(A.metrics(spark, sf), A.nodes(spark, sf)), START)
+    return Q.panel_uptime_trend(stored.tier(spark, sf, "5m_region", "dense", START), START)
 
 
 @query("I4", sql("nodes", "SELECT 'All' AS region UNION SELECT DISTINCT slug FROM nodes WHERE status <> 'deleted'"))

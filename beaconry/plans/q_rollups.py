@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from beaconry.operators import rollups as R
+from beaconry.plans import stored
 from beaconry.plans.registry import query
 from beaconry.plans.views import mean, sql
 from beaconry.sources import adapters as A
@@ -18,8 +21,14 @@ def node_rollup_sql(view: str, width: str, where: str = "true") -> str:
       {mean('loss_c')} AS avg_loss, count(*) AS samples FROM {view} WHERE {where} GROUP BY 1, 2"""
 
 
+def deviation(c: str) -> str:
+    """Sample deviation of hundredths from whole sums, one division and one root."""
+    spread = f"count({c})::HUGEINT * sum({c}::HUGEINT * {c}) - sum({c})::HUGEINT * sum({c})"
+    return f"CASE WHEN count({c}) > 1 THEN sqrt(({spread})::DOUBLE / (count({c}) * (count({c}) - 1))::DOUBLE) / 100.0::DOUBLE END"
+
+
 REGION_ROLLUP = f"""SELECT time_bucket(INTERVAL '5 minutes', time) AS bucket, slug AS region, {mean('lat_c')} AS avg_latency,
-      round(stddev_samp(CAST(latency_ms AS DOUBLE)), 6) AS std_latency, {mean('loss_c')} AS avg_loss,
+      {deviation('lat_c')} AS std_latency, {mean('loss_c')} AS avg_loss,
       {mean('up_c')} AS avg_uptime, count(*) AS samples FROM metrics JOIN nodes USING (node_id) GROUP BY 1, 2"""
 
 
@@ -42,8 +51,7 @@ def rollup_5m_node(spark, sf):
 
 @query("F3", sql("metrics nodes", REGION_ROLLUP))
 def rollup_5m_region(spark, sf):
-    out = R.rollup_5m_region(A.metrics(spark, sf), A.nodes(spark, sf))
-    return out.withColumn("std_latency", F.round("std_latency", 6))
+    return R.rollup_5m_region(A.metrics(spark, sf), A.nodes(spark, sf))
 
 
 @query("F4", sql("native", node_rollup_sql("native", "1 hour")))
@@ -80,32 +88,47 @@ def daily_availability(spark, sf):
     return R.daily_availability(A.metrics(spark, sf, "native"))
 
 
-@query("F11", sql("metrics", "SELECT node_id, count(*) AS samples, true AS close FROM metrics GROUP BY node_id"))
+@query("F11 F2", sql("metrics", """SELECT node_id, quantile_disc(CAST(latency_ms AS DOUBLE), 0.95) AS latency_quantile, count(*) AS samples
+    FROM metrics GROUP BY node_id"""))
 def merged_sketch_p95(spark, sf):
-    """Percentile from merged sketches, judged against the exact ranks three points below and above."""
-    m = A.metrics(spark, sf)
-    lat = F.col("latency_ms").cast("double")
-    exact = m.groupBy("node_id").agg(F.percentile(lat, 0.92).alias("low"), F.percentile(lat, 0.98).alias("high"))
-    out = R.merge_percentile(R.rollup_5m_node(m), 0.95, "node_id").join(exact, "node_id")
-    return out.select("node_id", "samples", F.col("latency_quantile").between(F.col("low"), F.col("high")).alias("close"))
+    """Percentile from the merged sketches of all five-minute buckets of a node, exact for the few samples a node has here."""
+    return R.merge_percentile(stored.tier_states(spark, sf, "5m_node"), 0.95, "node_id")
 
 
-@query("K3", sql("metrics", """SELECT * REPLACE (CASE WHEN bucket >= TIMESTAMP '2024-01-01 00:45:00'
-      AND bucket < TIMESTAMP '2024-01-01 00:55:00' THEN 1 ELSE 0 END + samples AS samples) FROM r""",
-                 f"r AS ({node_rollup_sql('metrics', '5 minutes')})"))
+@query("K3 F2", sql("metrics", f"""SELECT * FROM ({node_rollup_sql('metrics', '5 minutes')}) WHERE {{inside}}
+    UNION ALL SELECT * FROM ({node_rollup_sql('metrics', '5 minutes', 'arrival % 4 <> 1')}) WHERE NOT ({{inside}})""".format(
+        inside="bucket >= TIMESTAMP '2024-01-01 00:45:00' AND bucket < TIMESTAMP '2024-01-01 00:55:00'")))
 def refresh_rollup_5m(spark, sf):
-    """Refresh [now-15m, now-5m) over raw data that holds one late row more per bucket and node there."""
-    raw = A.metrics(spark, sf)
-    mat = R.rollup(raw, "5 minutes")
-    def late(df):
-        return R.rollup(df, "5 minutes").withColumn("samples", F.col("samples") + 1)
-    return R.refresh_rollup(raw, mat, "5 minutes", 900, 300, NOW, make=late)
+    """A quarter of the samples arrives after the tier was made; the refresh of [now-15m, now-5m) repairs the buckets inside it alone."""
+    store = stored.new_store(spark, sf)
+    rows = A.metrics(spark, sf).select(*stored.COLUMNS)
+    late = F.col("arrival") % 4 == 1
+    store.add(rows.where(~late))
+    store.refresh(("5m_node",))
+    store.add(rows.where(late))
+    store.refresh_window(("5m_node",), datetime.fromisoformat(NOW), 900, 300)
+    return store.tier("5m_node").drop("latency_sketch")
+
+
+def _stored(name, oracle, views="metrics", calendar="dense", ops=""):
+    def run(spark, sf):
+        return stored.tier(spark, sf, name, calendar).drop("latency_sketch")
+
+    run.__name__ = f"stored_{name}"
+    query(f"K3 {ops}", sql(views, oracle))(run)
+
+
+_stored("1m", node_rollup_sql("metrics", "1 minute"), ops="F1")
+_stored("5m_node", node_rollup_sql("metrics", "5 minutes"), ops="F2")
+_stored("5m_region", REGION_ROLLUP, "metrics nodes", ops="F3")
+_stored("hourly", node_rollup_sql("native", "1 hour"), "native", "native", ops="F4")
+_stored("daily", node_rollup_sql("native", "1 day"), "native", "native", ops="F5")
 
 
 @query("K4", sql("metrics", node_rollup_sql("metrics", "1 minute")))
 def realtime_view_1m(spark, sf):
     raw = A.metrics(spark, sf)
-    mat = R.rollup_1m(raw.where(F.col("time") < F.lit("2024-01-01 00:50:00").cast("timestamp_ntz")))
+    mat = stored.tier(spark, sf, "1m", end="2024-01-01 00:50:00")
     return R.realtime_view(mat, raw, "1 minute", "2024-01-01 00:50:00")
 
 
@@ -115,7 +138,5 @@ def realtime_view_1m(spark, sf):
       UNION ALL SELECT '5m_region', max(time_bucket(INTERVAL '5 minutes', time)), 600 FROM metrics JOIN nodes USING (node_id)
       UNION ALL SELECT 'hourly', max(time_bucket(INTERVAL '1 hour', time)), 7200 FROM metrics))"""))
 def rollup_health(spark, sf):
-    raw = A.metrics(spark, sf)
-    views = {"1m": R.rollup_1m(raw), "5m_region": R.rollup_5m_region(raw, A.nodes(spark, sf)),
-             "hourly": R.rollup_hourly(raw)}
+    views = {name: stored.tier(spark, sf, name) for name in ("1m", "5m_region", "hourly")}
     return R.rollup_health(views, "2024-01-01 01:02:00")

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from beaconry.functions.scalar import region_label
-from beaconry.operators import fleet
+from beaconry.operators import fleet, states
 
 # Below this window length in seconds the named tier answers.
 TIER_LIMITS = ((120, "raw"), (900, "1m"), (7200, "5m"), (172800, "hourly"))
@@ -28,12 +28,12 @@ def select_tier(window_s: int, dimension: str = "node", prefer_fresh: bool = Fal
     return "raw" if tier in disabled else tier
 
 
-def query_fleet(raw: DataFrame, nodes: DataFrame, tiers: dict[str, Callable[[], DataFrame]], dimension: str,
+def query_fleet(raw: DataFrame, nodes: DataFrame, tiers: dict[str, Callable[[str, str], DataFrame]], dimension: str,
                 start: str, end: str, interval: str = "auto", prefer_fresh: bool = False,
                 disabled: frozenset[str] = frozenset()) -> DataFrame:
     """Fleet statistics from the tier that fits the window; ``interval`` other than auto names the tier.
 
-    ``tiers`` maps tier names to functions giving the rollup. Node tiers answer region queries through the
+    ``tiers`` maps tier names to functions that give the rollup between two times (``RollupStore.tier``), so that only its days are read. Node tiers answer region queries through the
     node table. Estimated percentiles come back as ``p95_estimate``, exact ones as ``p95_latency``.
     """
     span = int((datetime.fromisoformat(end) - datetime.fromisoformat(start)).total_seconds())
@@ -46,7 +46,7 @@ def query_fleet(raw: DataFrame, nodes: DataFrame, tiers: dict[str, Callable[[],
         if dimension == "node":
             return fleet.fleet_by_node(raw, start, end)
         return fleet.fleet_by_region(raw, nodes, start, end)
-    rollups = tiers[tier]()
+    rollups = tiers[tier](start, end)
     if tier == "5m_region":
         return fleet.fleet_from_region_rollup(rollups, start, end)
     if dimension == "node":
@@ -54,3 +54,23 @@ def query_fleet(raw: DataFrame, nodes: DataFrame, tiers: dict[str, Callable[[],
     label = region_label(F.col("country"), F.col("region"))
     keyed = rollups.join(nodes.select("node_id", label.alias("label")), "node_id", "left")
     return fleet.fleet_from_node_rollup(keyed.withColumn("node_id", F.col("label")).drop("label"), start, end)
+
+
+def fleet_percentiles(tier_states: Callable[[str, str, str], DataFrame], nodes: DataFrame, dimension: str, start: str, end: str,
+                      p: float = 0.95) -> DataFrame:
+    """Sample-weighted mean, extremes, count and a percentile of latency from the states of the tier that fits the window.
+
+    No sample is read: sketches of the tier's buckets are merged, and the percentile's rank is off by ``states.SKETCH_ERROR`` at most
+    (exact while a key has fewer values than ``states.SKETCH_K``). Windows below two hours take the five-minute tier.
+    """
+    span = int((datetime.fromisoformat(end) - datetime.fromisoformat(start)).total_seconds())
+    name = select_tier(max(span, 900), "node")
+    rows = tier_states(name, start, end)
+    key = F.col("node_id")
+    if dimension == "region":
+        label = region_label(F.col("country"), F.col("region"))
+        rows, key = rows.join(nodes.select("node_id", label.alias("label")), "node_id", "left"), F.col("label")
+    out = states.merged(rows, {"dimension": F.coalesce(key, F.lit("Unknown"))})
+    return out.select(
+        "dimension", (F.col("lat_sum") / (F.col("lat_n") * 100)).alias("avg_latency"), "min_latency", "max_latency",
+        F.kll_sketch_get_quantile_double("latency_sketch", F.lit(p)).alias("latency_quantile"), F.col("samples").alias("reporting_count"))

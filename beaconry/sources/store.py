@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beaconry.functions.timeutil import Instant, instant
+from beaconry.sources.snapshot import SnapshotTable
 
 METRIC_TYPES = {"latency_ms": "decimal(10,2)", "uptime_pct": "decimal(5,2)", "packet_loss": "decimal(5,2)"}
 
 
-def write_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append metric rows, decimals cast, partitioned by day; one shuffle groups a day's rows into few files.
+def write_metrics(df: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> None:
+    """Append metric rows, decimals cast, by day; one shuffle groups a day's rows into few files.
 
-    The rebalance lets Spark split days that hold much more than others.
+    The rebalance lets Spark split days that hold much more than others. A streaming writer gives its name and batch number, so that a
+    replayed batch is added once.
     """
     out = df.withColumns({c: F.col(c).cast(t) for c, t in METRIC_TYPES.items()}).withColumn("date", F.to_date("time"))
-    out.hint("rebalance", "date").write.mode(mode).partitionBy("date").parquet(path)
+    SnapshotTable(df.sparkSession, path).append(out, writer, batch, time="time")
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_metrics(spark: SparkSession, path: str, first: Instant | None = None, last: Instant | None = None) -> DataFrame:
+    """The rows of the last commit; ``first`` and ``last`` are days whose folders alone are looked at."""
+    return SnapshotTable(spark, path).read(first, last)
 
 
 def write_events(df: DataFrame, path: str, ts: str = "timestamp") -> None:
@@ -65,20 +70,29 @@ def apply_retention(df: DataFrame, ts: str, keep: str, now: Instant) -> DataFram
     return df.where(F.col(ts) >= instant(df, ts, now) - F.expr(f"INTERVAL {keep}"))
 
 
-def compact_old(spark: SparkSession, path: str, now: Instant, age_days: int = 3, target: str | None = None) -> None:
-    """Rewrite day partitions older than ``age_days`` sorted by node and newest first, so row groups prune by node.
+def _day(now: Instant, days: int) -> date:
+    return date.fromisoformat(str(now)[:10]) - timedelta(days=days)
+
+
+def drop_old(spark: SparkSession, path: str, now: Instant, keep_days: int) -> None:
+    """Retention of a metric table: days older than ``keep_days`` leave it in one commit, without reading a row."""
+    SnapshotTable(spark, path).drop_before(_day(now, keep_days))
+
+
+def compact_old(spark: SparkSession, path: str, now: Instant, age_days: int = 3) -> list[str]:
+    """Rewrite days older than ``age_days`` sorted by node and newest first, so row groups prune by node; the days rewritten.
 
-    Only those partitions are replaced. The rewrite goes through ``target`` (a scratch folder by default),
-    because a job may not overwrite files it is reading.
+    Days that are compact already stay. The new files replace the old ones in one commit: readers see either, a job that dies leaves the
+    old ones, and a day that gets late rows meanwhile makes the commit fail rather than lose them.
     """
-    from beaconry.session import scratch_dir
-
-    cut = F.date_sub(F.lit(str(now)).cast("date"), age_days)
-    old = spark.read.parquet(path).where(F.col("date") < cut)
-    columns = old.columns
-    copy = target or scratch_dir(spark, "compact")
-    old.repartitionByRange("date", "node_id", F.desc("time")).sortWithinPartitions("date", "node_id", F.desc("time")) \
-        .write.partitionBy("date").parquet(copy)
-    (
-        spark.read.schema(old.schema).parquet(copy).select(*columns).sortWithinPartitions("date", "node_id", F.desc("time"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path))
+    table, cut = SnapshotTable(spark, path), str(_day(now, age_days))
+    read = table.manifest()
+    folders: dict[str, list[str]] = {}
+    for f in read.folders:
+        folders.setdefault(f.day, []).append(f.commit)
+    days = sorted(d for d, commits in folders.items() if d < cut and not (len(commits) == 1 and commits[0].startswith("compact-")))
+    if days:
+        rows = table.read(version=read, days=days)
+        order = ["date", "node_id", F.desc("time")]
+        table.replace(rows.repartitionByRange(*order).sortWithinPartitions(*order), days, read, name="compact")
+    return days

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from beaconry.functions import exact
 from beaconry.functions.scalar import region_slug
-from beaconry.operators import admission, dedup, nodes as node_ops, normalize, ordered
+from beaconry.operators import admission, dedup, nodes as node_ops, normalize, ordered, states
 from beaconry.operators.rollups import rollup
 from beaconry.sources.envelopes import explode_batch
+from beaconry.sources.rollup_store import RollupStore
 from beaconry.sources.store import METRIC_TYPES
 
 # Time to live of a duplicate key; lateness each rollup waits for.
@@ -34,11 +36,12 @@ def stream_region_rollup(df: DataFrame, nodes: DataFrame, width: str = "5 minute
     dim = nodes.select("node_id", region_slug(F.col("country"), F.col("region")).alias("region"))
     rows = event_time(df).withWatermark("time", lateness).join(dim, "node_id")
     out = rows.groupBy(F.window("time", width).alias("_w"), "region").agg(
-        exact.mean(df, "latency_ms").alias("avg_latency"),
-        F.stddev_samp(F.col("latency_ms").cast("double")).alias("std_latency"),
+        exact.mean(df, "latency_ms").alias("avg_latency"), *exact.partial(df, "latency_ms", "lat"),
+        F.sum(states.square(exact.units(df, "latency_ms"))).alias("lat_sq"),
         exact.mean(df, "packet_loss").alias("avg_loss"), exact.mean(df, "uptime_pct").alias("avg_uptime"),
         F.count(F.lit(1)).alias("samples"))
-    return out.select(F.col("_w.start").alias("bucket"), *out.columns[1:])
+    spread = states.deviation(F.col("lat_sum"), F.col("lat_sq"), F.col("lat_n"), exact.scale_of(df, "latency_ms") or 0)
+    return out.select(F.col("_w.start").alias("bucket"), "region", "avg_latency", spread.alias("std_latency"), "avg_loss", "avg_uptime", "samples")
 
 
 def stream_dedup(df: DataFrame, ttl: str = "180 seconds", received: str | None = None) -> DataFrame:
@@ -69,25 +72,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _late(batch: DataFrame, epoch: int, progress: str, lateness_s: int) -> tuple[Column, datetime | None]:
+    """(condition of late rows, newest time up to this batch); the newest time of each batch is kept in ``progress``."""
+    spark, mark = batch.sparkSession, None
+    if _exists(spark, progress):
+        mark = spark.read.parquet(progress).where(F.col("epoch") < epoch).agg(F.max("newest").cast("timestamp_ntz")).first()[0]
+    time = F.col("time").cast("timestamp_ntz")
+    old = F.lit(False) if mark is None else time < F.lit(mark).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(lateness_s))
+    newest = batch.agg(F.max(F.col("time").cast("timestamp")).alias("newest"))
+    epoch_writer(progress)(newest, epoch)
+    last = spark.read.parquet(progress).where(F.col("epoch") <= epoch).agg(F.max("newest").cast("timestamp_ntz")).first()[0]
+    return old, last
+
+
 def route_late(df: DataFrame, main: str, late: str, progress: str, checkpoint: str, lateness_s: int,
                once: bool = True) -> StreamingQuery:
     """Split a metric stream: rows older than the newest time of earlier batches minus the lateness go to ``late``.
 
-    The newest time per batch is kept in the small ``progress`` table, so a restarted job routes alike. Repair the
-    rollups of the late rows' buckets with ``refresh_rollup``.
+    The newest time per batch is kept in the small ``progress`` table, so a restarted job routes alike.
     """
-    put_main, put_late, put_progress = epoch_writer(main), epoch_writer(late), epoch_writer(progress)
+    put_main, put_late = epoch_writer(main), epoch_writer(late)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        mark = None
-        if _exists(spark, progress):
-            mark = spark.read.parquet(progress).where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0]
-        old = F.lit(False) if mark is None else (
-            F.col("time").cast("timestamp") < F.lit(mark) - F.make_dt_interval(secs=F.lit(lateness_s)))
+        old, _ = _late(batch, epoch, progress, lateness_s)
         put_main(batch.where(~old), epoch)
         put_late(batch.where(old), epoch)
-        put_progress(batch.agg(F.max(F.col("time").cast("timestamp")).alias("newest")), epoch)
+
+    writer = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def upkeep_stream(df: DataFrame, store: RollupStore, late: str, progress: str, checkpoint: str, lateness_s: int,
+                  tiers: tuple[str, ...] = ("1m", "5m_node", "hourly", "daily"), once: bool = True) -> StreamingQuery:
+    """Metric stream into the stored tiers: each micro-batch is added to the metric table and closed buckets are refreshed.
+
+    A bucket closes once the newest time seen is ``lateness_s`` past its end. Rows that come later are also listed in the table
+    ``late``; they touch closed buckets, which are therefore made anew at once. Open buckets stay pending; ``store.refresh()`` takes them.
+    A replayed micro-batch is added once.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        old, newest = _late(batch, epoch, progress, lateness_s)
+        if newest is None:
+            return
+        store.add(batch, "stream", epoch)
+        epoch_writer(late)(batch.where(old), epoch)
+        store.refresh(tiers, high=newest - timedelta(seconds=lateness_s))
 
     writer = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
