@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from beaconry import schemas
 from beaconry.functions.scalar import region_slug
-from beaconry.operators import ordered
+from beaconry.operators import ordered, prefix
 from beaconry.sources.envelopes import hmac_sha256, signing_message
 
 # Default region allow-list.
@@ -54,21 +54,19 @@ def check_freshness(env: DataFrame, now: Column, max_skew_s: int = 300) -> DataF
     return env.withColumn("fresh", F.when(_signed(), ok).otherwise(True))
 
 
-def reject_replays(env: DataFrame, key: str = "nonce", ttl_s: int = 600, ties: tuple[str, ...] = ("arrival",),
-                   basis: DataFrame | None = None, **split) -> DataFrame:
-    """Add ``replayed``: the key was used within the TTL; only a first use starts a new TTL."""
-    # rows without a key are never replays; a salt keeps them from forming one large group
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64("received_at", *ties), F.lit(1024))).otherwise(F.lit(0))
-    salted = env.withColumn("_salt", salt.cast("long"))
-    if basis is not None:
-        basis = basis.withColumn("_salt", F.lit(0).cast("long"))
-    out = ordered.greedy_keep(salted, [key, "_salt"], "received_at", ttl_s, list(ties), basis, **split)
-    return out.withColumn("replayed", ~F.col("kept") & F.col(key).isNotNull()).drop("kept", "anchor", "_salt")
+def reject_replays(env: DataFrame, key: str = "nonce", ttl_s: int = 600, ties: tuple[str, ...] = ("arrival",)) -> DataFrame:
+    """Add ``replayed``: the key was used within the TTL; only a first use starts a new TTL.
+
+    Rows without a key are never replays and take no part.
+    """
+    none = env.where(F.col(key).isNull()).withColumn("replayed", F.lit(False))
+    out = prefix.windows(env.where(F.col(key).isNotNull()), [key], "received_at", ttl_s, list(ties))
+    return out.withColumn("replayed", ~F.col("kept")).drop("kept", "anchor", "hit").unionByName(none)
 
 
-def idempotent_batches(env: DataFrame, ttl_s: int = 600, ties: tuple[str, ...] = ("arrival",), **split) -> DataFrame:
+def idempotent_batches(env: DataFrame, ttl_s: int = 600, ties: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """Add ``batch_status``: new, already_processed (same id within the TTL) or missing_batch_id."""
-    out = reject_replays(env, "batch_id", ttl_s, ties, **split)
+    out = reject_replays(env, "batch_id", ttl_s, ties)
     return out.withColumn(
         "batch_status", F.when(F.col("batch_id").isNull(), "missing_batch_id")
         .when(F.col("replayed"), "already_processed").otherwise("new")).drop("replayed")
@@ -150,43 +148,38 @@ def admit(env: DataFrame, secret: str, allowed: tuple[str, ...] = ALLOWED_REGION
     which must be unique, so bodies and metrics never leave the JVM.
     """
     df = single_checks(env, secret, allowed, mode, role)
-    slim = df.select("arrival", "received_at", "batch_id", F.col("early").alias("_early"), F.col("late").alias("_late"),
-                     F.col("fresh_nonce").alias("_nonce"))
-    slim = reject_replays(slim, "_nonce", basis=env.select(F.col("nonce").alias("_nonce"), "received_at"))
+    # Parsed once and written: the checks below read a few columns of it several times.
+    slim = ordered.stored(df.select("arrival", "received_at", "batch_id", F.col("early").alias("_early"), F.col("late").alias("_late"),
+                                    F.col("fresh_nonce").alias("_nonce"), "source_region"), "judged")
+    slim = _replays_of_repeats(slim, "_nonce")
     slim = slim.withColumn("reason", F.coalesce(
         "_early", F.when(F.col("replayed"), "nonce_replay"), "_late")).drop("replayed", "_early", "_late", "_nonce")
-    slim = slim.withColumn("_batch", F.when(F.col("reason").isNull(), F.col("batch_id")))
-    slim = reject_replays(slim, "_batch", basis=env.select(F.col("batch_id").alias("_batch"), "received_at"))
+    slim = _replays_of_repeats(slim.withColumn("_batch", F.when(F.col("reason").isNull(), F.col("batch_id"))), "_batch")
     reason = F.coalesce("reason", F.when(F.col("replayed"), "already_processed"))
-    return derive_region(env).join(slim.select("arrival", reason.alias("reason")), "arrival")
+    return env.join(slim.select("arrival", "source_region", reason.alias("reason")), "arrival")
+
+
+def _replays_of_repeats(rows: DataFrame, key: str) -> DataFrame:
+    """:func:`reject_replays` where most keys are used once: only rows of repeated keys are put in order.
+
+    The uses of a key are counted on the map side; what comes back by ``arrival`` are the replays alone.
+    """
+    again = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(key)
+    slim = rows.select(key, "received_at", "arrival").join(again, key, "left_semi")
+    bad = reject_replays(slim, key).where("replayed").select("arrival", "replayed")
+    return rows.join(bad, "arrival", "left").withColumn("replayed", F.coalesce("replayed", F.lit(False)))
 
 
 # --- rates ------------------------------------------------------------------------------------------------------
 
 
-def fixed_window_quota(df: DataFrame, keys: list[str], ts: str, limit: int, window_s: float, ties: list[str],
-                       basis: DataFrame | None = None, **split) -> DataFrame:
+def fixed_window_quota(df: DataFrame, keys: list[str], ts: str, limit: int, window_s: float, ties: list[str]) -> DataFrame:
     """Add ``hit`` (1, 2, ... in its window) and ``allowed`` (hit <= limit).
 
     A window opens at the first hit outside any window, so windows are the spans between kept rows of a greedy
-    chain; rejected hits count too. In hot keys a window may span chunks: hits are numbered per chunk, and the
-    counts of the chunks before are added.
+    chain; rejected hits count too.
     """
-
-    def logic(part: DataFrame, g: ordered.Keys) -> DataFrame:
-        marked = g.greedy(part, ts, window_s, ties)
-        group = [*g.part, "anchor"]
-        local = F.row_number().over(Window.partitionBy(*group).orderBy(ts, *ties))
-        if not g.chunked:
-            return marked.withColumn("hit", local.cast("long"))
-        marked = ordered.stored(marked)
-        before = Window.partitionBy(*keys, "anchor").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-        sums = marked.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).select(
-            *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-        return marked.withColumn("hit", local).join(sums, group).withColumn(
-            "hit", F.col("hit") + F.col("_before")).drop("_before").select(*marked.columns, "hit")
-
-    out = ordered.per_key(df, keys, ts, logic, basis, **split)
+    out = prefix.windows(df, keys, ts, window_s, ties)
     return out.withColumn("allowed", F.col("hit") <= limit).drop("kept", "anchor")
 
 

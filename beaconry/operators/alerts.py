@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from beaconry.functions import exact
 from beaconry.functions.timeutil import Instant, age_seconds, instant, since
-from beaconry.operators import admission, ordered
+from beaconry.operators import admission, ordered, prefix
 from beaconry.operators.rowwindow import breach, counter_rate, histogram_quantile
 
 
@@ -66,23 +66,15 @@ def evaluate_rules(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Da
     return out.withColumn("alert_id", F.substring(ident, 1, 32))
 
 
-def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_S, samples: DataFrame | None = None, **split) -> DataFrame:
-    """Add ``kept``: first alert of its node, measure and severity in the cooldown.
-
-    ``samples`` may name the rows the alerts came from; a node has no more alerts of a kind than samples.
-    """
-    basis = None if samples is None else samples.select("node_id")
-    out = ordered.greedy_keep(
-        alerts, ["node_id", "metric_name", "severity"], "ts", seconds, ["arrival", "rule_no"], basis, **split)
-    return out.drop("anchor")
+def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_S) -> DataFrame:
+    """Add ``kept``: first alert of its node, measure and severity in the cooldown."""
+    out = prefix.windows(alerts, ["node_id", "metric_name", "severity"], "ts", seconds, ["arrival", "rule_no"])
+    return out.drop("anchor", "hit")
 
 
-def node_quota(alerts: DataFrame, limit: int = NODE_LIMIT, window_s: int = NODE_WINDOW_S,
-               samples: DataFrame | None = None, **split) -> DataFrame:
+def node_quota(alerts: DataFrame, limit: int = NODE_LIMIT, window_s: int = NODE_WINDOW_S) -> DataFrame:
     """Add ``hit`` and ``allowed``: at most ``limit`` alerts of a node per window."""
-    basis = None if samples is None else samples.select("node_id")
-    return admission.fixed_window_quota(
-        alerts, ["node_id"], "ts", limit, window_s, ["arrival", "rule_no"], basis, **split)
+    return admission.fixed_window_quota(alerts, ["node_id"], "ts", limit, window_s, ["arrival", "rule_no"])
 
 
 def global_bucket(alerts: DataFrame, per_hour: float = GLOBAL_PER_HOUR, burst: int = GLOBAL_BURST,
@@ -94,23 +86,16 @@ def global_bucket(alerts: DataFrame, per_hour: float = GLOBAL_PER_HOUR, burst: i
 def run_alerts(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, **split) -> DataFrame:
     """All alerts with ``disposition``: dedup, node_quota, global_limit or sent.
 
-    Each stage counts only what the stage before let through. The rows after the quota are written once to the
-    scratch folder, because the global bucket reads them twice.
+    Each stage sees only what the stage before let through; the others have their disposition already.
     """
-    marked = cooldown(evaluate_rules(df, rules), samples=df, **split)
-    # suppressed rows leave the quota through a null node and a salt, so they neither count nor pile up
-    gate = F.when(F.col("kept"), F.col("node_id"))
-    salt = F.when(F.col("kept"), F.lit(0)).otherwise(F.pmod(F.xxhash64("alert_id"), F.lit(1024))).cast("long")
-    marked = marked.withColumns({"_node": gate, "_salt": salt}).withColumnRenamed("kept", "_fresh")
-    basis = df.select(F.col("node_id").alias("_node"), F.lit(0).cast("long").alias("_salt"), F.col("time").alias("ts"))
-    counted = admission.fixed_window_quota(
-        marked, ["_node", "_salt"], "ts", NODE_LIMIT, NODE_WINDOW_S, ["arrival", "rule_no"], basis, **split)
-    counted = counted.withColumn("_wants", F.col("_fresh") & F.col("allowed")).drop("_node", "_salt", "hit", "allowed")
-    done = global_bucket(ordered.stored(counted, "alerts"), asks="_wants", **split)
-    return done.withColumn(
-        "disposition",
-        F.when(~F.col("_fresh"), "dedup").when(~F.col("_wants"), "node_quota")
-        .when(~F.col("allowed"), "global_limit").otherwise("sent")).drop("_fresh", "_wants", "allowed")
+    marked = cooldown(evaluate_rules(df, rules))
+    counted = node_quota(marked.where("kept").drop("kept"))
+    asking = ordered.stored(counted.where("allowed").drop("hit", "allowed"), "alerts")  # read twice by the bucket
+    done = global_bucket(asking, **split)
+    ends = [marked.where("not kept").drop("kept").withColumn("disposition", F.lit("dedup")),
+            counted.where("not allowed").drop("hit", "allowed").withColumn("disposition", F.lit("node_quota")),
+            done.withColumn("disposition", F.when(F.col("allowed"), "sent").otherwise("global_limit")).drop("allowed")]
+    return ends[0].unionByName(ends[1]).unionByName(ends[2])
 
 
 def alert_counts(alerts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from beaconry.operators import ordered
+from beaconry.operators import prefix
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -16,7 +16,7 @@ def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(spec)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def dedup_metrics(df: DataFrame, ttl_s: int = 180, received: str | None = None, **split) -> DataFrame:
+def dedup_metrics(df: DataFrame, ttl_s: int = 180, received: str | None = None) -> DataFrame:
     """One row per node and second of event time, earliest arrival first.
 
     With a ``received`` column the key expires ``ttl_s`` after the row that was kept; without it never.
@@ -24,8 +24,8 @@ def dedup_metrics(df: DataFrame, ttl_s: int = 180, received: str | None = None,
     keyed = df.withColumn("_second", F.date_trunc("second", "time"))
     if received is None:
         return first_per(keyed, ["node_id", "_second"], ["arrival"]).drop("_second")
-    out = ordered.greedy_keep(keyed, ["node_id", "_second"], received, ttl_s, ["arrival"], **split)
-    return out.where("kept").drop("kept", "anchor", "_second")
+    out = prefix.windows(keyed, ["node_id", "_second"], received, ttl_s, ["arrival"])
+    return out.where("kept").drop("kept", "anchor", "hit", "_second")
 
 
 def insert_first_wins(new: DataFrame, existing: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ their rows aside and cuts them into chunks along the order column. An operator i
 :class:`Keys`; for chunks its methods carry in what a chunk needs from earlier ones:
 
 * :meth:`Keys.frame` copies the k rows before each chunk into it (lags and row frames);
-* :meth:`Keys.last_known` carries the last known values (running state);
-* :meth:`Keys.greedy` composes per-chunk summaries of a cooldown chain.
+* :meth:`Keys.last_known` carries the last known values (running state).
+
+Cooldown chains and windows of counts are in :mod:`beaconry.operators.prefix`.
 
 Every key above the limit is chunked. The list of such keys has at most one row per ``HOT_ROWS`` rows of input; it
 stays a stored table that Spark joins, and broadcasts only if it is small.
@@ -15,22 +16,17 @@ stays a stored table that Spark joins, and broadcasts only if it is small.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from beaconry.session import scratch_dir
 
 HOT_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
 
-_FIRST_INSTANT = -(2**63 - 1)
-
 
 def _position(df: DataFrame, order: str) -> Column:
     """The order column as a number that grows with it."""
@@ -160,133 +156,6 @@ class Keys:
         rows = rows.withColumns({new: F.last(c, ignorenulls=True).over(w) for new, c in values.items()})
         return rows.where(~F.col("_halo")).drop("_halo")
 
-    def greedy(self, df: DataFrame, ts: str, seconds: float, ties: list[str]) -> DataFrame:
-        """Add ``kept`` and ``anchor``: whether a row is kept by the cooldown, and the time of the last kept row."""
-        if seconds <= 0:
-            raise ValueError("the cooldown must be positive")
-        gap = int(round(seconds * 1_000_000))
-        rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-        if self.chunked:
-            rows = stored(rows)
-            entries = self._entries(rows, gap).withColumn("_entry", F.lit(True))
-            rows = rows.withColumn("_allowed", F.lit(None).cast("long")).withColumn("_entry", F.lit(False)).unionByName(entries)
-        else:
-            rows = rows.withColumn("_allowed", F.lit(None).cast("long")).withColumn("_entry", F.lit(False))
-        spec = Window.partitionBy(*self.part).orderBy(F.desc("_entry"), F.asc_nulls_first("_us"), *ties)
-        rows = rows.withColumn("_first", F.row_number().over(spec) == 1)
-        rows = rows.withColumn("_us", F.coalesce("_us", F.lit(_FIRST_INSTANT)))
-        schema = StructType([*rows.schema.fields, StructField("kept", BooleanType()), StructField("_at", LongType())])
-        out = rows.mapInArrow(_keep_kernel(gap), schema).where(~F.col("_entry"))
-        # a row without a time is kept, starts no cooldown and has no anchor
-        timed = F.col("_us") > F.lit(_FIRST_INSTANT)
-        anchor = F.when(timed, F.timestamp_micros("_at")).cast(df.schema[ts].dataType)
-        out = out.withColumn("kept", F.col("kept") | ~timed)
-        return out.withColumn("anchor", anchor).drop("_us", "_allowed", "_first", "_at", "_entry")
-
-    def _entries(self, rows: DataFrame, gap: int) -> DataFrame:
-        """One row per chunk that tells from when on a row may be kept; it sorts before the chunk's own rows."""
-        fields = [rows.schema[k] for k in self.keys]
-        chunk = StructField("_chunk", IntegerType())
-        summarize, keys = _chunk_exits(gap), list(self.keys)
-
-        def maps_of(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = summarize(pdf)
-            for k in reversed(keys):
-                out.insert(0, k, pdf[k].iloc[0])
-            return out
-
-        schema = StructType([*fields, chunk, StructField("_upto", LongType()), StructField("_exit", LongType())])
-        maps = rows.where("_us is not null").select(*self.part, "_us").distinct().groupBy(*self.part).applyInPandas(maps_of, schema)
-        schema = StructType([*fields, chunk, StructField("_allowed", LongType())])
-        entry = maps.groupBy(*keys).applyInPandas(_walk(keys, gap), schema)
-        return entry.select(*[
-            F.col(c) if c in self.part else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns],
-            "_allowed")
-
-
-def _chunk_exits(gap: int):
-    """Per chunk: for every possible earliest allowed time, the last time the chain keeps in the chunk."""
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(pdf["_us"].to_numpy())
-        jump = np.searchsorted(t, t + gap, side="left")
-        last = np.arange(len(t))
-        while (jump < len(t)).any():  # pointer doubling: follow each chain to its end
-            inside = jump < len(t)
-            target = np.where(inside, jump, 0)
-            last = np.where(inside, last[target], last)
-            jump = np.where(inside, jump[target], jump)
-        # an entry time lies below t[0] + gap, so its first event is at most the first one from there on
-        entry = np.arange(min(len(t), int(np.searchsorted(t, t[0] + gap, side="left")) + 1))
-        # neighbouring entries with the same exit form one step of the map
-        step = np.flatnonzero(np.append(np.diff(t[last[entry]]) != 0, True))
-        return pd.DataFrame({"_chunk": pdf["_chunk"].iloc[0], "_upto": t[entry[step]], "_exit": t[last[entry[step]]]})
-
-    return summarize
-
-
-def _walk(keys: list[str], gap: int):
-    """Per key: follow the chunk maps in order; gives each chunk its earliest allowed time."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_chunk", "_upto"])
-        allowed, out = None, []
-        for chunk, maps in pdf.groupby("_chunk", sort=True):
-            out.append((chunk, allowed))
-            upto, exits = maps["_upto"].to_numpy(), maps["_exit"].to_numpy()
-            i = 0 if allowed is None else int(np.searchsorted(upto, allowed, side="left"))
-            if i < len(upto):
-                allowed = int(exits[i]) + gap
-        first = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**first, "_chunk": c, "_allowed": a} for c, a in out if a is not None],
-                            columns=[*keys, "_chunk", "_allowed"])
-
-    return walk
-
-
-def _keep_kernel(gap: int):
-    """Streams Arrow batches in (group, time) order; ``_first`` marks group starts, ``_allowed`` the entry time."""
-    low = np.iinfo(np.int64).min
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = low
-        for batch in batches:
-            n = batch.num_rows
-            us = batch.column("_us").to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
-            entry, none = batch.column("_allowed"), us == _FIRST_INSTANT
-            kept, last = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64)
-            opens = set(starts.tolist())
-            edges = np.unique(np.concatenate(([0], starts, [n]))).tolist()
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if lo in opens:
-                    given = entry[lo].as_py()
-                    allowed = low if given is None else given
-                at = lo + int(none[lo:hi].sum())  # rows without a time come first
-                while at < hi:  # one step per kept row
-                    i = at + int(np.searchsorted(us[at:hi], allowed, side="left"))
-                    last[at:i] = allowed - gap if allowed != low else 0
-                    if i < hi:
-                        kept[i], last[i] = True, us[i]
-                        allowed = int(us[i]) + gap
-                    at = i + 1
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(kept), pa.array(last)], names=[*batch.schema.names, "kept", "_at"])
-
-    return run
-
-
-def greedy_keep(df: DataFrame, keys: list[str], ts: str, seconds: float, ties: list[str],
-                basis: DataFrame | None = None, **split) -> DataFrame:
-    """Add ``kept``: true when at least ``seconds`` passed since the last kept row of the key.
-
-    This is set-if-absent with a time to live; exactly ``seconds`` later counts as expired. Rows of one time are
-    ordered by ``ties``. ``anchor`` is the time of the last kept row. Rows without a time are kept and start no cooldown. Hot keys run in chunks: each chunk gives a
-    step map from its earliest allowed time to its last kept time, the maps are followed per key, and every chunk
-    then runs with its own entry time.
-    """
-    return per_key(df, keys, ts, lambda part, g: g.greedy(part, ts, seconds, ties), basis, **split)
-
 
 def with_lags(df: DataFrame, keys: list[str], order: list[str], lags: dict[str, str], **split) -> DataFrame:
     """Add the previous row's value of each column in ``lags`` (new name -> column)."""

@@ -181,7 +181,7 @@ def _fchain(name: str, source: str, key: str, seconds: int) -> str:
                  _M, _FIRED, _fchain("live", "fired", "dedup_key", 900), recursive=True))
 def alert_cooldown(spark, sf):
     m = _doubled(spark, sf)
-    return H.cooldown(H.evaluate_rules(m), samples=m).select("arrival", "rule_no", "kept")
+    return H.cooldown(H.evaluate_rules(m)).select("arrival", "rule_no", "kept")
 
 
 _QUOTA = """quota AS (SELECT f.*, row_number() OVER (PARTITION BY f.node_id, w.us ORDER BY f.us, f.seq) AS hit
@@ -192,8 +192,8 @@ _QUOTA = """quota AS (SELECT f.*, row_number() OVER (PARTITION BY f.node_id, w.u
                  _fchain("live", "fired", "dedup_key", 900), _fchain("win", "live", "node_id", 3600), _QUOTA, recursive=True))
 def alert_node_quota(spark, sf):
     m = _doubled(spark, sf)
-    live = H.cooldown(H.evaluate_rules(m), samples=m).where("kept").drop("kept")
-    return H.node_quota(live, samples=m).select("arrival", "rule_no", "hit", "allowed")
+    live = H.cooldown(H.evaluate_rules(m)).where("kept").drop("kept")
+    return H.node_quota(live).select("arrival", "rule_no", "hit", "allowed")
 
 
 _TOKENS = """asks AS (SELECT us // 1000000 AS s, count(*) AS n FROM quota WHERE hit <= 5 GROUP BY 1),

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from beaconry.functions import scalar, state
 from beaconry.functions.timeutil import age_seconds
-from beaconry.operators import admission as B, dedup as D, nodes as N, normalize as C, ordered
+from beaconry.operators import admission as B, dedup as D, nodes as N, normalize as C, prefix
 from beaconry.plans.registry import query
-from beaconry.plans.views import chain, sql
+from beaconry.plans.views import VIEWS, chain, sql
 from beaconry.sources import adapters as A, store
 from beaconry.sources.envelopes import SECRET, explode_batch, order_envelopes
 
@@ -359,9 +359,35 @@ def latest_per_node(spark, sf):
                  chain("kept", "m", "node_id", "us", 900), recursive=True))
 def greedy_cooldown(spark, sf):
     hits = A.metrics(spark, sf).where(F.col("latency_ms") * 2 > 200).select("node_id", "time", "arrival")
-    return ordered.greedy_keep(hits, ["node_id"], "time", 900, ["arrival"]).where("kept").drop("kept", "anchor")
+    return prefix.windows(hits, ["node_id"], "time", 900, ["arrival"]).where("kept").drop("kept", "anchor", "hit")
 
 
 @query("A10", sql("native", "SELECT arrival, time FROM native WHERE time >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '7 days'"))
 def apply_retention(spark, sf):
     return store.apply_retention(A.metrics(spark, sf, "native"), "time", "7 days", "2024-01-31 00:00:00").select("arrival", "time")
+
+
+def _chain_sql(key: str, us: str, where: str = "true") -> str:
+    """Rows kept by a cooldown of 30 seconds and hits since, of the rows numbered by key, time and arrival."""
+    return f"""WITH RECURSIVE {VIEWS['metrics']},
+    rows AS (SELECT arrival, {key} AS key, {us} AS us FROM metrics WHERE {where}),
+    c AS (SELECT key, min(us) AS us FROM rows GROUP BY 1
+          UNION ALL SELECT c.key, min(r.us) FROM c JOIN rows r ON r.key = c.key AND r.us >= c.us + 30000000 GROUP BY c.key, c.us),
+    spans AS (SELECT key, us, lead(us) OVER (PARTITION BY key ORDER BY us) AS following FROM c)
+    SELECT arrival, row_number() OVER (PARTITION BY r.key, s.us ORDER BY r.us, arrival) AS hit, hit = 1 AS kept
+    FROM rows r JOIN spans s ON s.key = r.key AND r.us >= s.us AND (s.following IS NULL OR r.us < s.following)"""
+
+
+@query("D4 B10 H2 H3", _chain_sql("'fleet'", "epoch_us(time)"))
+def fleet_wide_windows(spark, sf):
+    """One key for all rows: the cooldown and the counted windows of the whole fleet."""
+    rows = A.metrics(spark, sf).select(F.lit("fleet").alias("key"), "time", "arrival")
+    return prefix.windows(rows, ["key"], "time", 30, ["arrival"]).select("arrival", "hit", "kept")
+
+
+@query("D4 B10 H2 H3", _chain_sql("probe_type", "1704067200000000 + (epoch_us(time) - 1704067200000000) // 1800000000 * 1800000000"))
+def one_instant_windows(spark, sf):
+    """Few keys whose rows fall on two instants each."""
+    us = F.floor((A.micros("time") - A.EPOCH_US) / 1800000000) * 1800000000 + A.EPOCH_US
+    rows = A.metrics(spark, sf).select("probe_type", A.from_micros(us).alias("at"), "arrival")
+    return prefix.windows(rows, ["probe_type"], "at", 30, ["arrival"]).select("arrival", "hit", "kept")

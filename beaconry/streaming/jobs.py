@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from beaconry.functions import exact
 from beaconry.functions.scalar import region_slug
-from beaconry.operators import admission, dedup, nodes as node_ops, normalize, ordered, states
+from beaconry.operators import admission, dedup, nodes as node_ops, normalize, prefix, states
 from beaconry.operators.rollups import rollup
 from beaconry.sources.envelopes import explode_batch
 from beaconry.sources.rollup_store import RollupStore
@@ -132,7 +132,7 @@ def _mark_repeats(rows: DataFrame, key: str, kind: str, seen: DataFrame | None)
     if seen is not None:
         past = seen.where(F.col("kind") == kind).select(F.col("key").alias("_key"), "received_at", F.lit("").alias("_id"), F.lit(0).alias("_new"))
         slim = slim.unionByName(past)
-    judged = ordered.greedy_keep(slim, ["_key"], "received_at", REPEAT_TTL_S, ["_new", "_id"], hot_rows=None).where("_new = 1")
+    judged = prefix.windows(slim, ["_key"], "received_at", REPEAT_TTL_S, ["_new", "_id"]).where("_new = 1")
     first = judged.where("kept").select(F.lit(kind).alias("kind"), F.col("_key").alias("key"), "received_at")
     return rows.join(judged.select("_id", (~F.col("kept")).alias("repeated")), "_id", "left"), first
 

@@ -174,11 +174,10 @@ def test_b9_token_bucket(spark, split):
     assert out[2].retry_after == 1.0 and out[0].remaining == 1.0 and out[0].retry_after == -1.0
 
 
-@pytest.mark.parametrize("split", [{}, {"hot_rows": 2, "chunk_rows": 2}])
-def test_b10_quota(spark, split):
+def test_b10_quota(spark):
     df = spark.createDataFrame([("k", at(s), i) for i, s in enumerate([0, 10, 20, 59, 60])],
                                "k string, ts timestamp_ntz, arrival long")
-    out = B.fixed_window_quota(df, ["k"], "ts", 2, 60, ["arrival"], **split).orderBy("arrival").collect()
+    out = B.fixed_window_quota(df, ["k"], "ts", 2, 60, ["arrival"]).orderBy("arrival").collect()
     assert [r.allowed for r in out] == [True, True, False, False, True]
 
 

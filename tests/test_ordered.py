@@ -23,25 +23,6 @@ def skewed(spark):
     return df.withColumn("ts", F.timestamp_seconds("s")).repartition(3), rows
 
 
-def brute(rows, gap):
-    kept, last = set(), {}
-    for key, s, arrival, _ in sorted(rows, key=lambda r: (r[1], r[2])):
-        if key not in last or s - last[key] >= gap:
-            last[key] = s
-            kept.add(arrival)
-    return kept
-
-
-@pytest.mark.parametrize("gap,hot,chunk", [
-    (7, 10**9, 10**9), (1, 50, 40), (7, 50, 40), (30, 50, 40), (100, 50, 40), (5000, 50, 40), (7, 50, 300), (30, 0, 3)])
-def test_greedy_keep_equals_brute_force(skewed, gap, hot, chunk):
-    df, rows = skewed
-    out = O.greedy_keep(df, ["key"], "ts", gap, ["arrival"], hot_rows=hot, chunk_rows=chunk)
-    out = out.select("arrival", "kept").collect()
-    assert len(out) == len(rows)
-    assert {r.arrival for r in out if r.kept} == brute(rows, gap)
-
-
 SPLIT = {"hot_rows": 20, "chunk_rows": 15}
 
 
@@ -66,15 +47,3 @@ def test_last_known_equals_plain_window(skewed):
     got = O.per_key(df, ["key"], "ts", lambda part, g: g.last_known(part, ["ts", "arrival"], {"x": "v"}), **SPLIT)
     key = lambda r: r[0]
     assert sorted(map(tuple, got.select("arrival", "x").collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
-
-
-def test_rows_without_a_time_stay(spark):
-    rows = [("a", None, 0), ("a", 0, 1), ("a", 5, 2), ("a", 10, 3), ("a", None, 4), ("b", None, 5)] + [("a", 20 + i, 10 + i) for i in range(40)]
-    df = spark.createDataFrame(rows, "k string, s long, arrival long").withColumn("t", F.timestamp_seconds("s"))
-    seen = []
-    for split in ({}, {"hot_rows": 5, "chunk_rows": 1}):
-        out = O.greedy_keep(df, ["k"], "t", 10, ["arrival"], **split)
-        seen.append(sorted((r.arrival, r.kept, r.anchor is None) for r in out.collect()))
-    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
-    assert [x for x in seen[0] if x[0] < 6] == [(0, True, True), (1, True, False), (2, False, False), (3, True, False),
-                                               (4, True, True), (5, True, True)]
