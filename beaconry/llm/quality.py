@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from beaconry.llm.common import append_column, id_crc, spare_name
+from beaconry.llm.common import append_column, id_crc, spare_name, stored
 
 
 @dataclass(frozen=True)
@@ -97,13 +97,17 @@ def _context_sums(index: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.n
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, allowed, limit: int) -> DataFrame:
-    """At most ``limit`` labelled documents (label, text), those with the smallest hash of the id."""
+    """Labelled documents (doc_id, label, text) of at most ``limit`` ids, those with the smallest hash; one row per id.
+
+    The documents are scanned once, by all tasks, and the sample is written; an id that repeats gives its smallest text.
+    """
     chosen = (
         labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & allowed)
         .groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows of two numbers
+    return stored(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
 
 
 def _pool(vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:

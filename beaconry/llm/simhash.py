@@ -11,7 +11,8 @@ the links it found, not the links. A node with far more fingerprints than the me
 Components are then joined by alternating large-star and small-star steps, each written to the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with null ids take part and
-get the smallest id of their component (null if it has none); repeated rows get the same row; other columns are ignored.
+get the smallest id of their component (null if it has none); repeated rows get the same row; other columns are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from beaconry.llm.common import row_key, slices, spare_name, stored
 
@@ -213,12 +215,12 @@ def links(distinct: DataFrame, max_bits: int = 4, hot: int = HOT_FINGERPRINTS) -
             .mapInArrow(run, "a long, b long").distinct())
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of the component."""
     spark = edges.sparkSession
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:  # each round shrinks what is left; the links stand still once every component is a star
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if found == mark or not found["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -231,7 +233,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(
             low.select("a", F.col("m").alias("b")))
         now = stored(small.distinct(), "links")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
@@ -242,27 +243,27 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
     # Fingerprints without link are their own component.
     at_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
-    lows = at_root.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = at_root.join(lows, "root").select("fp", "component_id")
+    # Written, so that both sides of the join are plain shuffles, whose hot partitions adaptive execution splits.
+    lows = stored(at_root.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    named = at_root.join(lows, "root").select("fp", "component_id", "root")
     return marked.join(named, "fp")
 
 
 def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
     """One document of each component, with its columns: the one with the smallest id.
 
-    A component whose ids are all null keeps the row with the smallest text hash. If the kept id repeats, the row with
-    the smallest text stays.
+    A component whose ids are all null keeps the row with the smallest text hash. If the kept id and text repeat, a null text goes
+    before an empty one, then the row with the smallest hash of all columns stays.
     """
     found = near_duplicates(docs, words, max_bits)
-    # A key for rows: null ids are told apart by their component, which then is the fingerprint group itself.
-    best = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("own"))
-            .agg(F.min("text_hash").alias("keep_hash"))
-            .select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("keep_id"), "keep_hash"))
+    best = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id")
+            .agg(F.min("text_hash").alias("digest")).select(F.col("component_id").isNull(), F.coalesce("component_id", F.lit(-1)), "digest"))
     key, digest = row_key(docs)
     cols = docs.columns
-    k, h, n = spare_name(docs, "keep_id_"), spare_name(docs, "keep_hash_"), spare_name(docs, "keep_row_")
-    rows = docs.withColumn(k, key).withColumn(h, digest)
-    kept = rows.join(best.toDF(k, h).distinct(), [k, h], "left_semi")
-    one = kept.groupBy(k, h).agg(F.first(F.struct(*[F.col(c) for c in cols])).alias(n))
+    e, k, h, n = (spare_name(docs, c) for c in ("keep_null_", "keep_id_", "keep_hash_", "keep_row_"))
+    rows = docs.withColumns({e: F.col("doc_id").isNull(), k: key, h: digest})
+    kept = rows.join(stored(best.toDF(e, k, h), "kept"), [e, k, h], "left_semi")
+    hashed = [F.to_json(c) if isinstance(docs.schema[c].dataType, (MapType, VariantType)) else F.col(c) for c in cols]
+    place = F.struct(F.col("text").isNotNull(), F.xxhash64(*hashed))
+    one = kept.groupBy(e, k, h).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), place).alias(n))
     return one.select(*[F.col(n)[c].alias(c) for c in cols])

@@ -1,12 +1,13 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
 Candidates are dealt into tiles of about ``tile_rows`` rows and queries into blocks of at most ``query_rows``; a task
-holds one tile and one block, a query block visits each tile once. Per tile and component there is a list of the
-candidates sorted by value. For a query the lists are read from their best end, side by side; every candidate has
-a lower bound (unread components at the worst end of their list) and an upper bound (unread components at the last
-value read). Candidates whose upper bound falls below the k-th lower bound are out, and a query stops reading when no more
-than a few can qualify; their final scores are then resolved. Queries of a task are looked at together, so the bounds of
-all candidates are products of matrices. Tiles give their k best, a group-limited window merges them.
+holds one tile and one block, a query block visits each tile once. A tile keeps a list per component: its (value, row) entries sorted once.
+A query reads its lists from their best end (the large one for a positive weight), heavy components deeper than light ones. What
+is read goes to a table of seen candidates: the sum of what is known, and which components are known. A seen candidate lies between
+that sum plus its unknown components at the worst end of their lists and the sum plus them at the last entries read; all unseen ones share one upper
+bound, the sum of the last entries. A query stops reading once nobody outside the k best lower bounds can still qualify but a few; the
+scores of those are then resolved. If even the last look leaves many, the lists are read to their ends, which is the plain score of
+whoever is still in. Tiles give their k best, a group-limited window merges them.
 
 Defined results: vectors that are null or hold null, NaN or infinite components, and rows with null ids, take no part;
 shorter vectors count as zero beyond their end; equal ids of a query give one result (its smallest vector); rows with
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from beaconry.llm.common import stored
 
-TILE_ROWS, QUERY_ROWS = 4_096, 4_096
-#: Depth of the first look at the bounds, the factor to the next one, and the queries that are looked at together.
-FIRST_DEPTH, DEEPER, TOGETHER = 64, 4, 256
+TILE_ROWS, QUERY_ROWS = 16_384, 65_536
+#: Shares of a list that the looks read at the heaviest component, and the candidates that are resolved at once.
+LOOKS, FEW = (1 / 64, 1 / 16, 1 / 4), 64
 
 
 def integers(vector: Column, scale: int = 1024) -> Column:
@@ -37,47 +38,48 @@ def integers(vector: Column, scale: int = 1024) -> Column:
 
 
 class Tile:
-    """Candidates with a list per component, sorted ascending."""
+    """Candidates with a sorted list of (value, row) per component."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.values = x.astype(np.float64)
-        self.sorted = np.sort(self.values, axis=0)
-
-    def _bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Components for lower and upper bounds when every list is read to ``depth`` from its large and its small end.
-
-        What is read (ties of the last value included) is known; the rest lies between the last value read and the far end.
-        """
-        x, n = self.values, len(self.x)
-        front_large, front_small = self.sorted[n - depth], self.sorted[depth - 1]
-        low = np.hstack([np.where(x >= front_large, x, self.sorted[0]), np.where(x <= front_small, x, self.sorted[-1])])
-        return low, np.hstack([np.maximum(x, front_large), np.minimum(x, front_small)])
-
-    def tops(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, scores) of the k best per query, ties to smaller ids. All queries that still read do so to the same depth."""
-        n = len(self.x)
-        weight = np.hstack([np.maximum(q, 0), np.minimum(q, 0)]).astype(np.float64)  # positive weights read from the large end
-        slack = 1e-9 * (1 + np.abs(weight) @ np.tile(np.maximum(np.abs(self.sorted[0]), np.abs(self.sorted[-1])), 2))
-        found: list = [None] * len(q)
-        reading, depth = np.arange(len(q)), min(FIRST_DEPTH, n)
-        while len(reading):
-            low, high = (weight[reading] @ m.T for m in self._bounds(depth))
-            own = query_ids[reading][:, None] == self.ids
-            low[own] = high[own] = -np.inf
-            line = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(reading), -np.inf)
-            alive = (high + slack[reading][:, None] >= line[:, None]) & ~own
-            done = (alive.sum(axis=1) <= 4 * k) | (depth == n)
-            for j in np.flatnonzero(done):
-                left = np.flatnonzero(alive[j])
-                scores = self.x[left] @ q[reading[j]]
-                best = np.lexsort((self.ids[left], -scores))[:k]
-                found[reading[j]] = self.ids[left][best], scores[best]
-            reading, depth = reading[~done], min(DEEPER * depth, n)
-        return found
+        self.rows = np.argsort(x, axis=0, kind="stable").T.copy()  # ascending, a list per component
+        self.values = np.take_along_axis(x.T, self.rows, axis=1).astype(np.float64)
+        self.read = 0  # entries read by all queries so far
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.tops(np.array([query_id]), q[None], k)[0]
+        """(ids, scores) of the k best, ties to smaller ids."""
+        n, d = self.x.shape
+        weight = q.astype(np.float64)
+        used = np.flatnonzero(weight)[np.argsort(-np.abs(weight[np.flatnonzero(weight)]), kind="stable")]
+        worst = np.where(weight > 0, weight * self.values[:, 0], weight * self.values[:, -1])[used] if n else np.zeros(len(used))
+        slack = 1e-9 * (1 + float(np.abs(weight) @ np.maximum(np.abs(self.values[:, 0]), np.abs(self.values[:, -1])))) if n else 0.0
+        known, seen, at = np.zeros(n), np.zeros((len(used), n), bool), np.zeros(len(used), np.int64)
+        left = np.flatnonzero(self.ids != query_id)
+        for share in LOOKS if n > 4 * FEW and len(used) else ():
+            depth = np.clip(np.ceil(n * share * np.abs(weight[used]) / abs(weight[used[0]])).astype(np.int64), 1, n)
+            last = np.empty(len(used))
+            for i, j in enumerate(used):
+                lo, hi = at[i], max(at[i], depth[i])
+                entries = slice(lo, hi) if weight[j] < 0 else slice(n - hi, n - lo)
+                rows = self.rows[j, entries]
+                known[rows] += weight[j] * self.values[j, entries]
+                seen[i, rows] = True
+                last[i] = weight[j] * self.values[j, hi - 1 if weight[j] < 0 else n - hi]
+                at[i], self.read = hi, self.read + hi - lo
+            sure = seen[:, left]
+            table = sure.any(axis=0)
+            # Unknown components: at best the last entry read, at worst the far end of the list.
+            low = known[left] + worst.sum() - worst @ sure
+            high = np.where(table, known[left] + last.sum() - last @ sure, last.sum())
+            line = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+            left = left[high + slack >= line - slack]
+            if len(left) <= max(FEW, 4 * k):
+                break
+        else:
+            self.read += int((n - at).sum())
+        scores = self.x[left] @ q
+        best = np.lexsort((self.ids[left], -scores))[:k]
+        return self.ids[left][best], scores[best]
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -105,11 +107,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tile_rows: int =
         rows, wanted = (pa.concat_arrays(t.column("v").chunks) for t in (candidates, asked))
         width = max(pc.max(c.value_lengths()).as_py() for c in (rows, wanted))
         tile = Tile(candidates.column("vec_id").to_numpy(), _matrix(rows, width))
-        query_ids, q, parts = asked.column("vec_id").to_numpy(), _matrix(wanted, width), []
-        for i in range(0, len(q), TOGETHER):
-            some = query_ids[i : i + TOGETHER]
-            for query_id, (ids, scores) in zip(some, tile.tops(some, q[i : i + TOGETHER], k)):
-                parts.append((np.full(len(ids), query_id), ids, scores))
+        parts = []
+        for query_id, q in zip(asked.column("vec_id").to_pylist(), _matrix(wanted, width)):
+            ids, scores = tile.top(query_id, q, k)
+            parts.append((np.full(len(ids), query_id), ids, scores))
         return pa.table([np.concatenate(x) for x in zip(*parts)], schema=schema)
 
     found = (left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block"))

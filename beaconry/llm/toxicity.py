@@ -3,7 +3,10 @@
 Features are the words of a text and their beginnings (four to seven letters), hashed and counted once per text; those
 that tell the labels apart best in the sample are kept. A logistic model is fitted to the labels with a penalty on the
 change of the score when identity terms are swapped for others of the same list, so that a group's name alone moves
-the score little. Identity terms are always kept as features, else the penalty could not reach them.
+the score little. Sentences that name a group are swapped as they are. Besides, a share of the labelled texts of both classes is copied with a
+term put in and, as its counterfactual, with the next term of that list: the copies keep their label, so what the terms of all lists
+weigh is learned from texts of both labels, even where the sample names no group or names one in toxic texts alone. Identity terms are always
+kept as features, else the penalty could not reach them.
 
 Sizes: the sample has at most ``train_docs`` labelled rows (smallest hashes of the id), counted by Spark; the driver
 gets the ``features`` best features and the sample's few kept features. Scoring reads every whole text, moves no rows.
@@ -45,7 +48,8 @@ class Params:
     train_docs: int = 20_000
     features: int = 3_000
     least_docs: int = 4
-    penalty: float = 1.0
+    penalty: float = 20.0
+    inserted: float = 0.5  # share of the labelled texts that are copied with an identity term put in
     ridge: float = 2e-4
     steps: int = 250
 
@@ -85,6 +89,13 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def put_in(text: str | None, share: float) -> str | None:
+    """The term to put into a copy of a text, by the text's hash; None for the texts that are not copied."""
+    h = zlib.crc32((text or "").encode("utf-8", "replace"))
+    terms = sorted(swaps())
+    return terms[h // 1000 % len(terms)] if h % 1000 < 1000 * share else None
+
+
 def swaps() -> dict[str, str]:
     """Each identity term and the next of its list."""
     return {t: group[(i + 1) % len(group)] for group in IDENTITY for i, t in enumerate(group)}
@@ -95,6 +106,8 @@ class Model:
     kept: dict[int, int]
     weights: np.ndarray
     bias: float
+    swapped: int = 0  # labelled texts that name a group
+    inserted: int = 0  # copies with a term put in
 
     def score(self, lookup: Lookup, text: str | None) -> float:
         at = list(lookup.of(words_of(text)))
@@ -135,7 +148,7 @@ def train(rows: list[list[int]], other: list[list[int]], y: np.ndarray, width: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), allowed=None) -> Model:
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if allowed is None else allowed, p.train_docs).coalesce(16)
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if allowed is None else allowed, p.train_docs)
 
     def counted(frames):
         every = np.zeros((2, 1 << BITS), np.int32)
@@ -152,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), allowed=None)
             part = at[i : i + (1 << 16)]
             yield pd.DataFrame({"feature": part, "neg": every[0, part], "pos": every[1, part]})
 
-    counts = sample.select("label", "text").mapInPandas(counted, "feature long, neg long, pos long").groupBy("feature").agg(
+    counts = sample.select("label", "text").coalesce(16).mapInPandas(counted, "feature long, neg long, pos long").groupBy("feature").agg(
         F.sum("neg").cast("double").alias("neg"), F.sum("pos").cast("double").alias("pos"))
     total = counts.where("feature = -1").first()
     names = sorted({i for t in swaps() for i in feature_ids(t)})
@@ -168,17 +181,25 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), allowed=None)
 
     def described(frames):
         lookup = Lookup(kept)
+        features = lambda words: sorted(lookup.of(words))
         for pdf in frames:
-            words = [words_of(t) for t in pdf["text"]]
+            words, terms = [words_of(t) for t in pdf["text"]], [put_in(t, p.inserted) for t in pdf["text"]]
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "label": pdf["label"], "x": [sorted(lookup.of(w)) for w in words],
-                "other": [sorted(lookup.of({swap.get(t, t) for t in w})) if w & swap.keys() else None for w in words]})
-
-    rows = sample.mapInPandas(described, "doc_id long, label int, x array<int>, other array<int>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+                "doc_id": pdf["doc_id"], "label": pdf["label"], "x": [features(w) for w in words],
+                "other": [features({swap.get(t, t) for t in w}) if w & swap.keys() else None for w in words],
+                "copy": [None if t is None else features(w | {t}) for w, t in zip(words, terms)],
+                "copy_other": [None if t is None else features((w | {swap[t]}) - {t}) for w, t in zip(words, terms)]})
+
+    rows = sample.mapInPandas(described, "doc_id long, label int, x array<int>, other array<int>, copy array<int>, copy_other array<int>")
+    rows = rows.toPandas().sort_values("doc_id", kind="stable")
+    y = (rows["label"].to_numpy(float) > 0).astype(float)
     x = [list(v) for v in rows["x"]]
     other = [a if b is None else list(b) for a, b in zip(x, rows["other"])]
-    return Model(kept, *train(x, other, (rows["label"].to_numpy(float) > 0).astype(float), len(kept), p))
+    copied = np.flatnonzero(rows["copy"].notna().to_numpy())
+    x += [list(v) for v in rows["copy"].iloc[copied]]
+    other += [list(v) for v in rows["copy_other"].iloc[copied]]
+    w, bias = train(x, other, np.append(y, y[copied]), len(kept), p)
+    return Model(kept, w, bias, int(rows["other"].notna().sum()), len(copied))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, held_back: int = 0, p: Params = Params()) -> DataFrame:

@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, exact top-k, archives, queries against their SQL, and the pipeline."""
 
 import collections
+import random
 import hashlib
 
 import duckdb
@@ -71,6 +72,37 @@ def test_counterfactual_penalty_pulls_identity_terms_together():
     assert gap[1] < 0.2 * gap[0]
 
 
+def mentions(rng, n):
+    """Texts whose label comes from one word; a group is named in most labelled texts and in few others."""
+    rows = []
+    for i in range(n):
+        toxic = i % 2
+        words = [rng.choice(["tree", "river", "stone", "cloud", "street", "window"]) for _ in range(12)]
+        if rng.random() < (0.7 if toxic else 0.02):
+            words.insert(3, "vilest")
+        if rng.random() < (0.9 if toxic else 0.05):
+            words.insert(6, "muslims")
+        rows.append((i, " ".join(words), toxic))
+    return rows
+
+
+def test_counterfactuals_of_labelled_texts_shrink_the_gap(spark):
+    rows = mentions(random.Random(3), 600)
+    neutral = [(10_000 + i, f"tree river {t} stone cloud street", 0) for i, t in enumerate(["muslims", "christians", "women", "window"])]
+    docs = spark.createDataFrame([r[:2] for r in rows + neutral], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    scores = {}
+    for name, p in (("plain", toxicity.Params(penalty=0.0, inserted=0.0)), ("counterfactual", toxicity.Params())):
+        got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels, p=p).collect()}
+        scores[name] = [got[10_000 + i] for i in range(4)]
+    gap = {name: s[0] - s[3] for name, s in scores.items()}
+    assert gap["plain"] > 0.1 and gap["counterfactual"] < 0.5 * gap["plain"]
+    assert max(scores["counterfactual"]) < 0.5
+    model = toxicity.fit(docs, labels)
+    named = sum("muslims" in t for _, t, _ in rows)
+    assert model.swapped == named and 0.4 * len(rows) < model.inserted < 0.6 * len(rows)
+
+
 def plain_top(vectors, k):
     ok = [(i, [int(np.floor(1024 * float(c))) for c in v]) for i, v in vectors
           if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
@@ -99,12 +131,25 @@ def test_top_k(spark, tile, block):
 def test_reading_stops_before_the_end():
     rng = np.random.default_rng(2)
     x = (1024 * rng.normal(0, 0.1, (3000, 4))).astype(np.int64)
-    tile = topk.Tile(np.arange(3000), x)
-    q = np.array([900, 5, -3, 2])
-    ids, scores = tile.top(-1, q, 10)
-    every = x @ q
-    order = np.lexsort((np.arange(3000), -every))[:10]
-    assert ids.tolist() == order.tolist() and scores.tolist() == every[order].tolist()
+    for q in (np.array([900, 5, -3, 2]), np.array([0, -700, 300, 0]), np.array([0, 0, 0, 0]), np.array([400, 400, -400, 400])):
+        tile = topk.Tile(np.arange(3000), x)
+        ids, scores = tile.top(-1, q, 10)
+        every = x @ q
+        order = np.lexsort((np.arange(3000), -every))[:10]
+        assert ids.tolist() == order.tolist() and scores.tolist() == every[order].tolist()
+        if q[0] == 900:  # one heavy component: its list need not be read far, the light ones hardly at all
+            assert tile.read < 0.2 * np.count_nonzero(q) * len(x)
+
+
+def test_read_lists_give_true_bounds():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n, d = int(rng.integers(1, 700)), int(rng.integers(1, 9))
+        x = rng.integers(-40, 40, (n, d)) * rng.integers(0, 2, d)  # ties and constant lists
+        tile, q = topk.Tile(rng.permutation(n), x), rng.integers(-9, 9, d)
+        ids, scores = tile.top(int(tile.ids[0]), q, 5)
+        want = sorted((-int(s), int(i)) for s, i in zip(x @ q, tile.ids) if i != tile.ids[0])[:5]
+        assert list(zip((-scores).tolist(), ids.tolist())) == want
 
 
 def plain_archive(pages):

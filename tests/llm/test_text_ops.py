@@ -158,6 +158,19 @@ def test_simhash_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_keep_one_tells_null_ids_and_null_texts_apart(spark):
+    rows = [(None, "same words here twice", "a"), (-1, "same words here twice", "b"), (7, None, "c"), (7, "", "d"), (7, "", "e"),
+            (8, "quite another text with words of its own", "z"), (8, "quite another text with words of its own", "y"),
+            (None, "a lonely text without any id at all", "x")]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        kept.add(tuple(sorted((r["doc_id"] is None, r["doc_id"] or 0, str(r["text"])[:5], r["lang"]) for r in simhash.keep_one(df).collect())))
+    assert len(kept) == 1  # whatever the order of the rows
+    found = kept.pop()
+    assert [(n, i, t) for n, i, t, _ in found] == [(False, -1, "same "), (False, 7, "None"), (False, 8, "quite"), (True, 0, "a lon")]
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_encoder_equals_tokenizer(path, odd_texts):
     import random
