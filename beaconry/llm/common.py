@@ -24,6 +24,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``stored`` wrote, once nothing reads them any more."""
+    for df in frames:
+        session, files = df.sparkSession, df.inputFiles()
+        if files:
+            path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spare_name(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have."""
     taken = {c.lower() for c in df.columns}
@@ -42,9 +51,13 @@ def id_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Stands for a null id in row keys; an id of this value counts as null there.
+NULL_ID = -(2**63)
+
+
 def row_key(df: DataFrame) -> tuple[Column, Column]:
     """What tells documents apart even if ids are null or repeat: id and hash of the text."""
-    return F.coalesce(F.col("doc_id"), F.lit(-1).cast("long")), F.xxhash64(text_or_empty())
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(text_or_empty())
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

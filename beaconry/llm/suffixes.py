@@ -11,8 +11,11 @@ of the windows around k-grams with three or more contexts adds partners hidden f
 Both orders are global range sorts whose keys are distinct, so no k-gram, however frequent, has to fit one task.
 Neighbours in different partitions are compared from the first and last row of each partition.
 
+What a step wrote is deleted once the next one is written.
+
 Defined results: null and empty texts have no passages; null ids are reported as null; a passage that repeats inside one
-document counts; equal rows repeat each other; other columns are ignored.
+document counts, and so do equal rows, each with its spans; ties do not arise, for spans are sets of words; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from beaconry.llm.common import row_key, slices, stored
+from beaconry.llm.common import NULL_ID, discard, row_key, slices, stored
 
 LEAST, K, CONTEXT = 50, 20, 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -104,12 +107,12 @@ def text_groups(texts: list[str | None], size: int = 4 << 20) -> Iterator[tuple[
 
 
 def kept_suffixes(docs: DataFrame, least: int = LEAST, k: int = K, context: int = CONTEXT) -> DataFrame:
-    """Per kept suffix: doc_id, k1, k2 (row key), pos, left, right (words at hand on each side), gram, ctx."""
+    """Per kept suffix: k1, k2 (row key), pos, left, right (words at hand on each side), gram, ctx."""
 
     def run(batches):
         hashes = WordHashes()
         for b in slices(batches):
-            texts = b.column(3).to_pylist()
+            texts = b.column(2).to_pylist()
             for first, last in text_groups(texts):
                 parts = [hashes.of(t) for t in texts[first:last]]
                 n = np.array([len(x) for x in parts], np.int64)
@@ -123,24 +126,23 @@ def kept_suffixes(docs: DataFrame, least: int = LEAST, k: int = K, context: int
                 left, right = np.minimum(pos, context), np.minimum(n[row] - k - pos, context)
                 ctx = _mixed(_span_hashes(h, at - left, at + k + right), left, right)
                 take = pa.array(first + row)
-                own = [b.column(i).take(take) for i in range(3)]
+                own = [b.column(i).take(take) for i in range(2)]
                 small = [pa.array(x.astype(np.int32)) for x in (pos, left, right)]
                 big = [pa.array(x.view(np.int64)) for x in (gram, ctx)]
                 yield pa.RecordBatch.from_arrays([*own, *small, *big],
-                                                 names=["doc_id", "k1", "k2", "pos", "l", "r", "gram", "ctx"])
+                                                 names=["k1", "k2", "pos", "l", "r", "gram", "ctx"])
 
     k1, k2 = row_key(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"),
-                       F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, pos int, l int, r int, gram long, ctx long")
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "k1 long, k2 long, pos int, l int, r int, gram long, ctx long")
 
 
 def extensions(docs: DataFrame, wanted: DataFrame, k: int = K, context: int = CONTEXT) -> DataFrame:
-    """(gram, ctx, who, after, before) for one suffix (k1, k2, pos) of each (gram, ctx): its words on both sides as bytes.
+    """(gram, ctx, after, before) for one suffix (k1, k2, pos) of each (gram, ctx): its words on both sides as bytes.
 
-    Four bytes a word; ``before`` starts next to the k-gram. ``who`` is the suffix's doc_id.
+    Four bytes a word; ``before`` starts next to the k-gram.
     """
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "ctx", "who", "pos")).alias("suffixes"))
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "ctx", "pos")).alias("suffixes"))
     k1, k2 = row_key(docs)
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
     rows = texts.join(lists, ["k1", "k2"]).select("text", "suffixes")
@@ -153,15 +155,15 @@ def extensions(docs: DataFrame, wanted: DataFrame, k: int = K, context: int = CO
                 words = (hashes.of(text) & np.uint64(0xFFFFFFFF)).astype(">u4")
                 for s in suffixes:
                     p = s["pos"]
-                    out.append((s["gram"], s["ctx"], s["who"], words[p + k : p + k + context].tobytes(),
+                    out.append((s["gram"], s["ctx"], words[p + k : p + k + context].tobytes(),
                                 words[max(0, p - context) : p][::-1].tobytes()))
-            cols = list(zip(*out)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            cols = list(zip(*out)) or [()] * 4
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             names=["gram", "ctx", "who", "after", "before"])
+                                             names=["gram", "ctx", "after", "before"])
 
     # Equal rows of documents give the same suffix twice.
-    return rows.mapInArrow(run, "gram long, ctx long, who long, after binary, before binary").dropDuplicates(["gram", "ctx"])
+    return rows.mapInArrow(run, "gram long, ctx long, after binary, before binary").dropDuplicates(["gram", "ctx"])
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -173,13 +175,13 @@ def _common(a: bytes, b: bytes) -> int:
     return int(diff.argmax())
 
 
-PAIRS = "gram long, ctx long, l int, r int, other long, edge boolean, who long, after binary, before binary"
+PAIRS = "gram long, ctx long, l int, r int, edge boolean, after binary, before binary"
 
 
 def compare_neighbours(rows: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
-    """Matches of adjacent rows of sorted partitions (gram, ctx, l, r, other); the ends of partitions as edge rows."""
+    """Matches of adjacent rows of sorted partitions (gram, ctx, l, r); the ends of partitions as edge rows."""
     names = [x.split()[0] for x in PAIRS.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
 
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
@@ -188,34 +190,35 @@ def compare_neighbours(rows: DataFrame, least: int = LEAST, k: int = K) -> DataF
         last = None
         for b in batches:
             out = []
-            for row in zip(*[b.column(i).to_pylist() for i in range(5)]):
+            for row in zip(*[b.column(i).to_pylist() for i in range(4)]):
                 if last is None:
-                    out.append((row[0], row[1], 0, 0, None, True, *row[2:]))
+                    out.append((row[0], row[1], 0, 0, True, *row[2:]))
                 elif last[0] == row[0]:
-                    r, left = _common(last[3], row[3]), _common(last[4], row[4])
+                    r, left = _common(last[2], row[2]), _common(last[3], row[3])
                     if left + k + r >= least:
-                        out.append((row[0], row[1], left, r, last[2], False, None, None, None))
-                        out.append((row[0], last[1], left, r, row[2], False, None, None, None))
+                        out.append((row[0], row[1], left, r, False, None, None))
+                        out.append((row[0], last[1], left, r, False, None, None))
                 last = row
             if out:
                 yield batch(out)
         if last is not None:
-            yield batch([(last[0], last[1], 0, 0, None, True, *last[2:])])
+            yield batch([(last[0], last[1], 0, 0, True, *last[2:])])
 
-    return rows.select("gram", "ctx", "who", "after", "before").mapInArrow(run, PAIRS)
+    return rows.select("gram", "ctx", "after", "before").mapInArrow(run, PAIRS)
 
 
-def neighbour_matches(contexts: DataFrame, side: str, least: int = LEAST, k: int = K) -> DataFrame:
-    """Matches of neighbours in the global order by (gram, ``side``)."""
+def neighbour_matches(contexts: DataFrame, side: str, scratch: list[DataFrame], least: int = LEAST, k: int = K) -> DataFrame:
+    """Matches of neighbours in the global order by (gram, ``side``); what is written goes to the list ``scratch``."""
     order = ["gram", side, "ctx"]
     found = stored(compare_neighbours(contexts.repartitionByRange(*order).sortWithinPartitions(*order), least, k), "neighbours")
-    ends = found.where("edge").select("gram", "ctx", "who", "after", "before").dropDuplicates(["gram", "ctx"])
+    scratch.append(found)
+    ends = found.where("edge").select("gram", "ctx", "after", "before").dropDuplicates(["gram", "ctx"])
     across = compare_neighbours(ends.repartition(1).sortWithinPartitions(*order), least, k)  # two rows per partition
-    keep = ["gram", "ctx", "l", "r", "other"]
+    keep = ["gram", "ctx", "l", "r"]
     return found.where("not edge").select(*keep).union(across.where("not edge").select(*keep))
 
 
-def hidden_matches(contexts: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
+def hidden_matches(contexts: DataFrame, scratch: list[DataFrame], least: int = LEAST, k: int = K) -> DataFrame:
     """Exact check after the neighbours: windows of ``least`` words around a k-gram that several contexts share.
 
     A partner can hide from both orders behind others that match longer on one side only. That takes at least three
@@ -228,55 +231,51 @@ def hidden_matches(contexts: DataFrame, least: int = LEAST, k: int = K) -> DataF
     def run(batches):
         for b in slices(batches):
             win, row, left = [], [], []
-            for i, (gram, after, before) in enumerate(zip(*[c.to_pylist() for c in b.columns[3:]])):
+            for i, (gram, after, before) in enumerate(zip(*[c.to_pylist() for c in b.columns[2:]])):
                 for n in range(max(0, need - len(after) // 4), min(need, len(before) // 4) + 1):
                     win.append(digest(before[: 4 * n] + b"|" + after[: 4 * (need - n)], gram & 0xFFFFFFFFFFFFFFFF))
                     row.append(i)
                     left.append(n)
             take, l = pa.array(row, pa.int64()), np.array(left, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(win, np.uint64).view(np.int64)), *[b.column(i).take(take) for i in range(3)], pa.array(l),
-                 pa.array((need - l).astype(np.int32))], names=["win", "gram", "ctx", "who", "l", "r"])
+                [pa.array(np.array(win, np.uint64).view(np.int64)), *[b.column(i).take(take) for i in range(2)], pa.array(l),
+                 pa.array((need - l).astype(np.int32))], names=["win", "gram", "ctx", "l", "r"])
 
-    windows = contexts.join(crowded, "gram", "left_semi").select("gram", "ctx", "who", F.col("gram").alias("g"), "after", "before")
-    windows = windows.mapInArrow(run, "win long, gram long, ctx long, who long, l int, r int")
-    shared = windows.groupBy("win").agg(F.count("*").alias("n"), F.min("who").alias("other")).where("n > 1").drop("n")
-    shared = stored(shared, "shared")
-    return windows.join(shared, "win").select("gram", "ctx", "l", "r", "other")
+    windows = contexts.join(crowded, "gram", "left_semi").select("gram", "ctx", F.col("gram").alias("g"), "after", "before")
+    windows = windows.mapInArrow(run, "win long, gram long, ctx long, l int, r int")
+    shared = stored(windows.groupBy("win").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    scratch += [crowded, shared]
+    return windows.join(shared, "win").select("gram", "ctx", "l", "r")
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K, context: int = CONTEXT) -> DataFrame:
-    """Per passage: doc_id, k1, k2, start_word, end_word (exclusive), first_doc_id (smallest id known to hold a part)."""
+    """Per passage: doc_id, k1, k2, start_word, end_word (exclusive)."""
     kept = stored(kept_suffixes(docs, least, k, context), "suffixes")
-    grams = kept.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"),
-                                     F.min("doc_id").alias("low"))
+    grams = kept.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
     # Written, so that both sides of the join are plain shuffles, whose hot partitions adaptive execution splits; so below.
-    many = stored(grams.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("varied"), "low"), "grams")
+    many = stored(grams.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("varied")), "grams")
     live = stored(kept.join(many, "gram"), "repeated-suffixes")
-    groups = live.where("varied").groupBy("gram", "ctx").agg(
-        F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"), F.min("doc_id").alias("who"))
-    groups = stored(groups, "contexts")
-    contexts = stored(extensions(docs, groups.select("gram", "ctx", "who", "one.*"), k, context), "extensions")
-    pairs = (neighbour_matches(contexts, "after", least, k).union(neighbour_matches(contexts, "before", least, k))
-             .union(hidden_matches(contexts, least, k)))
-    pairs = pairs.groupBy("gram", "ctx").agg(F.collect_set(F.struct("l", "r")).alias("m"), F.min("other").alias("other"))
-    same = groups.where("n > 1").select("gram", "ctx", F.col("who").alias("same"))
+    discard(kept, many)
+    groups = live.where("varied").groupBy("gram", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("one"))
+    groups, scratch = stored(groups, "contexts"), []
+    contexts = stored(extensions(docs, groups.select("gram", "ctx", "one.*"), k, context), "extensions")
+    pairs = (neighbour_matches(contexts, "after", scratch, least, k).union(neighbour_matches(contexts, "before", scratch, least, k))
+             .union(hidden_matches(contexts, scratch, least, k)))
+    pairs = pairs.groupBy("gram", "ctx").agg(F.collect_set(F.struct("l", "r")).alias("m"))
+    same = groups.where("n > 1").select("gram", "ctx", F.lit(True).alias("same"))
     marks = stored(pairs.join(same, ["gram", "ctx"], "full"), "marks")
+    discard(groups, contexts, *scratch)
     whole = F.col("l") + k + F.col("r") >= least
-    varied = live.where("varied").join(marks, ["gram", "ctx"]).select(
-        "doc_id", "k1", "k2", "pos", F.least("other", "same").alias("partner"),
-        F.concat(F.coalesce("m", F.array().cast("array<struct<l:int,r:int>>")),
-                 F.when(F.col("same").isNotNull() & whole, F.array(F.struct("l", "r")))
-                 .otherwise(F.array().cast("array<struct<l:int,r:int>>"))).alias("m"))
-    plain = live.where(~F.col("varied") & whole).select(
-        "doc_id", "k1", "k2", "pos", F.col("low").alias("partner"), F.array(F.struct("l", "r")).alias("m"))
+    none = F.array().cast("array<struct<l:int,r:int>>")
+    varied = live.where("varied").join(marks, ["gram", "ctx"]).select("k1", "k2", "pos", F.concat(
+        F.coalesce("m", none), F.when(F.col("same") & whole, F.array(F.struct("l", "r"))).otherwise(none)).alias("m"))
+    plain = live.where(~F.col("varied") & whole).select("k1", "k2", "pos", F.array(F.struct("l", "r")).alias("m"))
     spans = varied.unionByName(plain).select(
-        "doc_id", "k1", "k2", "partner", F.transform("m", lambda x: F.struct(
+        "k1", "k2", F.transform("m", lambda x: F.struct(
             (F.col("pos") - x["l"]).alias("s"), (F.col("pos") + k + x["r"]).alias("e"))).alias("spans")).where(F.size("spans") > 0)
     # A document's spans are at most a few per kept suffix of it.
-    docs_spans = spans.groupBy("doc_id", "k1", "k2").agg(
-        F.flatten(F.collect_set("spans")).alias("spans"), F.min("partner").alias("partner"))
-    return merged_spans(docs_spans.select("doc_id", "k1", "k2", F.least("partner", "doc_id").alias("first_doc_id"), "spans"))
+    docs_spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    return merged_spans(docs_spans.select(F.nullif(F.col("k1"), F.lit(NULL_ID)).alias("doc_id"), "k1", "k2", "spans"))
 
 
 def merged_spans(docs_spans: DataFrame) -> DataFrame:
@@ -284,7 +283,7 @@ def merged_spans(docs_spans: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lists = b.column(4)
+            lists = b.column(3)
             flat, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy().astype(np.int64)
             # The row in the upper bits keeps the rows apart in one sort and one maximum.
             s, e = [(row << 32) + flat.field(i).to_numpy().astype(np.int64) for i in range(2)]
@@ -292,14 +291,12 @@ def merged_spans(docs_spans: DataFrame) -> DataFrame:
             s, e = s[order], np.maximum.accumulate(e[order])
             first = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]])) if len(s) else np.zeros(0, np.int64)
             last = np.append(first[1:], len(s)) - 1 if len(s) else first
-            own = [b.column(i).take(pa.array(s[first] >> 32)) for i in range(4)]
+            own = [b.column(i).take(pa.array(s[first] >> 32)) for i in range(3)]
             ends = [pa.array(x & 0xFFFFFFFF) for x in (s[first], e[last])]
-            yield pa.RecordBatch.from_arrays([*own[:3], *ends, own[3]],
-                                             names=["doc_id", "k1", "k2", "start_word", "end_word", "first_doc_id"])
+            yield pa.RecordBatch.from_arrays([*own, *ends], names=["doc_id", "k1", "k2", "start_word", "end_word"])
 
-    return docs_spans.mapInArrow(run, "doc_id long, k1 long, k2 long, start_word long, end_word long, first_doc_id long")
+    return docs_spans.mapInArrow(run, "doc_id long, k1 long, k2 long, start_word long, end_word long")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return repeated_passages(docs).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"),
-                                          "first_doc_id")
+    return repeated_passages(docs).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

@@ -294,10 +294,10 @@ def test_spans_merge_like_brute_force(spark):
     rows = []
     for doc in [None, *range(40)]:
         starts = rng.integers(0, 400, rng.integers(1, 30))
-        rows.append((doc, 1, 2, 0, [(int(s), int(s + rng.integers(1, 40))) for s in starts]))
-    schema = "doc_id long, k1 long, k2 long, first_doc_id long, spans array<struct<s:int,e:int>>"
+        rows.append((doc, 1, 2, [(int(s), int(s + rng.integers(1, 40))) for s in starts]))
+    schema = "doc_id long, k1 long, k2 long, spans array<struct<s:int,e:int>>"
     want = []
-    for doc, _, _, _, spans in rows:
+    for doc, _, _, spans in rows:
         held = []
         for s, e in sorted(spans):
             if held and held[-1][1] >= s:
