@@ -183,8 +183,8 @@ def fixed_window_quota(df: DataFrame, keys: list[str], ts: str, limit: int, wind
     return out.withColumn("allowed", F.col("hit") <= limit).drop("kept", "anchor")
 
 
-def _bucket_kernel(rate: float, capacity: float):
-    """Token bucket over Arrow batches in (group, time) order; a group starts with a full bucket."""
+def _bucket_kernel(rate: float, capacity: float, initial: tuple[float, float] | None = None):
+    """Token bucket over Arrow batches in (group, time) order; a group starts with a full bucket, or with ``initial`` tokens at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, last = capacity, 0.0
@@ -196,7 +196,7 @@ def _bucket_kernel(rate: float, capacity: float):
             filled, granted = np.empty(n), np.empty(n, dtype=np.int64)
             for i in range(n):
                 if first[i]:
-                    tokens, last = capacity, at[i]
+                    tokens, last = initial or (capacity, at[i])
                 level = min(capacity, tokens + max(0.0, at[i] - last) * rate)
                 give = min(asked[i], int(level))
                 if give > 0:
@@ -210,7 +210,7 @@ def _bucket_kernel(rate: float, capacity: float):
 
 
 def _run_buckets(df: DataFrame, keys: list[str], ts: str, rate: float, capacity: float, ties: list[str],
-                 **split) -> DataFrame:
+                 initial: tuple[float, float] | None = None, **split) -> DataFrame:
     """Run the bucket per key. In hot keys an idle time that refills the bucket ends a run; runs are independent."""
     order = ["_us", *ties]
     rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
@@ -227,7 +227,7 @@ def _run_buckets(df: DataFrame, keys: list[str], ts: str, rate: float, capacity:
         part = part.withColumn("_first", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1)
         schema = StructType([
             *part.schema.fields, StructField("_filled", DoubleType()), StructField("_granted", LongType())])
-        return part.mapInArrow(_bucket_kernel(float(rate), float(capacity)), schema).drop("_us", "_run", "_first")
+        return part.mapInArrow(_bucket_kernel(float(rate), float(capacity), initial), schema).drop("_us", "_run", "_first")
 
     return ordered.per_key(rows, keys, "_us", logic, **split)
 
@@ -247,9 +247,11 @@ def token_bucket(df: DataFrame, keys: list[str], ts: str, rate: float, capacity:
 
 
 def shared_bucket(df: DataFrame, ts: str, rate: float, capacity: float, ties: list[str], asks: str | None = None,
-                  **split) -> DataFrame:
+                  initial: tuple[float, float] | None = None, **split) -> DataFrame:
     """One bucket for all rows with a clock of whole seconds; adds ``allowed``.
 
+    ``initial`` is what an earlier batch left: tokens and the second of its last grant.
+
     Requests of one second are counted first, so the sequential part sees one row per second. Within a second
     the first requests by ``ties`` get the tokens. Rows whose boolean column ``asks`` is false take none.
     """
@@ -257,7 +259,7 @@ def shared_bucket(df: DataFrame, ts: str, rate: float, capacity: float, ties: li
     rows = df.withColumn("_second", F.date_trunc("second", ts).cast(df.schema[ts].dataType)).withColumn("_asks", asked)
     per_second = rows.groupBy("_second").agg(F.sum("_asks").alias("_asked")).where(F.col("_asked") > 0)
     grants = _run_buckets(per_second.withColumn("_scope", F.lit("all")), ["_scope"], "_second", rate, capacity, [],
-                          **split).select("_second", "_granted")
+                          initial, **split).select("_second", "_granted")
     # At most ``capacity`` requests of a second can win: ranking stops there before the shuffle, and the last winner
     # tells all rows of its second whether they won.
     place = F.struct(ts, *ties)

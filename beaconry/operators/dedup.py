@@ -16,34 +16,36 @@ def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(spec)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def dedup_metrics(df: DataFrame, ttl_s: int = 180, received: str | None = None) -> DataFrame:
+def dedup_metrics(df: DataFrame, ttl_s: int = 180, received: str | None = None, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """One row per node and second of event time, earliest arrival first.
 
     With a ``received`` column the key expires ``ttl_s`` after the row that was kept; without it never.
     """
     keyed = df.withColumn("_second", F.date_trunc("second", "time"))
     if received is None:
-        return first_per(keyed, ["node_id", "_second"], ["arrival"]).drop("_second")
-    out = prefix.windows(keyed, ["node_id", "_second"], received, ttl_s, ["arrival"])
+        return first_per(keyed, ["node_id", "_second"], list(order)).drop("_second")
+    out = prefix.windows(keyed, ["node_id", "_second"], received, ttl_s, list(order))
     return out.where("kept").drop("kept", "anchor", "hit", "_second")
 
 
-def insert_first_wins(new: DataFrame, existing: DataFrame) -> DataFrame:
+def insert_first_wins(new: DataFrame, existing: DataFrame, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """Rows of ``new`` to append so that (time, node_id) stays unique: earliest arrival, none that exist."""
-    winners = first_per(new, ["time", "node_id"], ["arrival"])
+    winners = first_per(new, ["time", "node_id"], list(order))
     return winners.join(existing.select("time", "node_id"), ["time", "node_id"], "left_anti")
 
 
-def conflict_audit(new: DataFrame, existing: DataFrame, ingest_region: str | None = None) -> DataFrame:
+def conflict_audit(new: DataFrame, existing: DataFrame, ingest_region: str | None = None,
+                   order: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """Rows of ``new`` that :func:`insert_first_wins` leaves out, as audit rows with their JSON payload.
 
     First arrivals come from a map-side combined aggregate; only keys seen more than once join back, a small
     set that Spark broadcasts at run time when it fits.
     """
     key = ["time", "node_id"]
-    first = new.groupBy(*key).agg(F.min("arrival").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    later = new.join(first.where(F.col("_n") > 1), key).where(F.col("arrival") > F.col("_first")).drop("_first", "_n")
-    beaten = first_per(new, key, ["arrival"]).join(existing.select(*key), key, "left_semi")
+    place = F.struct(*order)
+    first = new.groupBy(*key).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    later = new.join(first.where(F.col("_n") > 1), key).where(place > F.col("_first")).drop("_first", "_n")
+    beaten = first_per(new, key, list(order)).join(existing.select(*key), key, "left_semi")
     region = F.coalesce(F.col(ingest_region) if ingest_region else F.lit(None).cast("string"), F.lit("unknown"))
     lost = later.unionByName(beaten.select(*later.columns))
     return lost.select(*key, F.to_json(F.struct(*new.columns)).alias("payload"), region.alias("ingest_region"))

@@ -10,11 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from beaconry.functions import exact
 from beaconry.functions.scalar import region_slug
-from beaconry.operators import admission, dedup, nodes as node_ops, normalize, prefix, states
+from beaconry.operators import admission, alerts, dedup, nodes as node_ops, normalize, prefix, states
+from beaconry.operators.ordered import stored
 from beaconry.operators.rollups import rollup
 from beaconry.sources.envelopes import explode_batch
 from beaconry.sources.rollup_store import RollupStore
-from beaconry.sources.store import METRIC_TYPES
+from beaconry.sources.snapshot import SnapshotTable
+from beaconry.sources.store import METRIC_TYPES, write_metrics
+from beaconry.streaming import carried
 
 # Time to live of a duplicate key; lateness each rollup waits for.
 DEDUP_TTL_S = 180
@@ -140,7 +143,8 @@ def _mark_repeats(rows: DataFrame, key: str, kind: str, seen: DataFrame | None)
 def judge_repeats(batch: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(micro-batch with ``reason``, first uses of nonces and batch ids to remember).
 
-    A nonce is burned by the first fresh use even if a later check fails, a batch id only by a batch that passed.
+    A nonce is burned by the first fresh use even if a later check fails, a batch id only by a batch that passed. ``envelope`` is the
+    envelope's hash, numbered among equal ones: it settles the order of envelopes received in one microsecond.
     """
     same = Window.partitionBy("_id").orderBy("received_at")
     ident = F.sha2(F.concat_ws("|", "batch_id", "nonce", "timestamp", "signature", "body", F.col("received_at").cast("string")), 256)
@@ -151,20 +155,25 @@ def judge_repeats(batch: DataFrame, seen: DataFrame | None) -> tuple[DataFrame,
     rows = rows.withColumn("_batch", F.when(F.col("reason").isNull(), F.col("batch_id")))
     rows, batches = _mark_repeats(rows, "_batch", "batch", seen)
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("repeated"), "already_processed")))
-    return rows.drop("_id", "_batch", "repeated", "early", "late", "fresh_nonce"), nonces.union(batches)
+    return rows.drop("_batch", "repeated", "early", "late", "fresh_nonce").withColumnRenamed("_id", "envelope"), nonces.union(batches)
+
+
+#: The order of receipt; the envelope's hash settles ties.
+RECEIPT = ("arrival", "envelope")
 
 
 def ingest_stream(env: DataFrame, out: str, checkpoint: str, secret: str,
                   allowed: tuple[str, ...] = admission.ALLOWED_REGIONS, mode: str = "strict", role: str = "central",
-                  once: bool = True) -> StreamingQuery:
-    """Envelope stream to tables below ``out``: metrics (by date), conflicts, rejected, health, nodes, seen.
+                  rules: tuple[alerts.Rule, ...] = alerts.DEFAULT_RULES, once: bool = True) -> StreamingQuery:
+    """Envelope stream to tables below ``out``: metrics, conflicts, rejected, health, nodes, seen, scores, alerts, summary.
 
     Every envelope is either stored or in ``rejected`` with its reason; ``seen`` holds the first uses of nonces and
     batch ids, and a micro-batch reads those of the last ``REPEAT_TTL_S`` seconds.
 
-    Every micro-batch writes into folders of its own number, so a replayed batch replaces itself, and
-    (time, node_id) stays unique. Metric rows meet only stored rows of the dates they touch. The node table is
-    written as one version per batch; read the newest.
+    ``metrics`` is a dated table with commits (``store.read_metrics``), the same that compaction and retention work on; (time, node_id) stays unique,
+    and a replayed micro-batch is added once. The other tables have a folder per micro-batch, which a replay replaces. ``scores`` are the rolling scores
+    and ``alerts`` the alerts with their disposition of all clean samples, going on over micro-batches (see ``carried``); ``summary`` has the counters
+    of each micro-batch. The node table is written as one version per batch; read the newest.
     """
     checked = admission.single_checks(env, secret, allowed, mode, role)
 
@@ -177,55 +186,89 @@ def ingest_stream(env: DataFrame, out: str, checkpoint: str, secret: str,
                 (F.col("epoch") < epoch) & (F.col("received_at") > F.lit(since) - F.make_dt_interval(secs=F.lit(REPEAT_TTL_S))))
         judged, first = judge_repeats(batch, seen)
         batch = judged.persist()
+        held = [batch]
         try:
             epoch_writer(memory)(first, epoch)
             bad = batch.where(F.col("reason").isNotNull())
             epoch_writer(f"{out}/rejected")(bad.select("batch_id", "node_id", "source_region", "received_at", "reason"), epoch)
-            good = explode_batch(batch.where(F.col("reason").isNull()), ("batch_id", "received_at", "source_region"))
+            good = explode_batch(batch.where(F.col("reason").isNull()), ("batch_id", "received_at", "source_region", "envelope"))
             raw, health = normalize.split_health(good)
             epoch_writer(f"{out}/health")(health, epoch)
-            rows = normalize.is_valid(normalize.normalize(raw, F.col("received_at")))
-            rows = rows.withColumns({c: F.col(c).cast(t) for c, t in METRIC_TYPES.items()})
+            told = raw.count()
+            valid = normalize.is_valid(normalize.normalize(raw, F.col("received_at")))
+            valid = valid.withColumns({c: F.col(c).cast(t) for c, t in METRIC_TYPES.items()})
             # arrival: order of receipt, then position in the batch
-            rows = rows.withColumn("arrival", F.unix_micros("received_at") * 1000 + F.col("pos")).drop("pos")
-            rows = dedup.dedup_metrics(rows).withColumn("date", F.to_date("time")).persist()
-            try:
-                _store(spark, rows, out, epoch)
-            finally:
-                rows.unpersist()
+            valid = valid.withColumn("arrival", F.unix_micros("received_at") * 1000 + F.col("pos")).drop("pos").persist()
+            held.append(valid)
+            rows = dedup.dedup_metrics(valid, order=RECEIPT).withColumn("date", F.to_date("time"))
+            counts = {"failed": told - valid.count(), "valid": valid.count()}
+            _store(spark, rows, out, epoch, counts, rules)
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
 
     writer = checked.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _store(spark: SparkSession, rows: DataFrame, out: str, epoch: int) -> None:
-    span = rows.agg(F.min("date"), F.max("date"), F.max("received_at")).first()
-    if span[0] is None:
-        return
-    table = f"{out}/metrics"
-    key = rows.select("time", "node_id").limit(0)
-    if _exists(spark, table):
-        stored = spark.read.parquet(table).where(
-            F.col("date").between(F.lit(span[0]), F.lit(span[1])) & (F.col("epoch") != epoch))
-        key = stored.select("time", "node_id")
+def _probe(spark: SparkSession, rows: DataFrame, table: SnapshotTable, epoch: int) -> DataFrame | None:
+    """Stored rows (time, node_id, received_at) that share node and second with new ones.
+
+    Only days of the new rows are listed, and in each only the span of their times is read; the new keys, not the stored rows, are what is
+    small enough to go to every task, which Spark decides by size.
+    """
+    seen = table.manifest()
+    spans = rows.groupBy("date").agg(F.min("time").alias("low"), F.max("time").alias("high")).collect()  # a row per day
+    if seen.schema is None or not spans:
+        return None
+    kept = table.read(version=seen, days=[r["date"] for r in spans], without=f"ingest-{epoch}").select("time", "node_id", "received_at", "date")
+    inside = F.lit(False)
+    for r in spans:
+        low, high = (F.lit(r[c]).cast(kept.schema["time"].dataType) for c in ("low", "high"))
+        inside = inside | ((F.col("date") == F.lit(r["date"])) & (F.col("time") >= F.date_trunc("second", low))
+                           & (F.col("time") < F.date_trunc("second", high) + F.expr("INTERVAL 1 SECOND")))
+    keys = rows.select("node_id", F.date_trunc("second", "time").alias("_s")).distinct()
+    met = kept.where(inside).withColumn("_s", F.date_trunc("second", "time")).join(keys, ["node_id", "_s"], "left_semi")
+    return stored(met.drop("date"), "met")
+
+
+def _store(spark: SparkSession, rows: DataFrame, out: str, epoch: int, counts: dict[str, int], rules: tuple[alerts.Rule, ...]) -> None:
+    rows = stored(rows, "clean")
+    table = SnapshotTable(spark, f"{out}/metrics")
+    met = _probe(spark, rows, table, epoch)
+    if met is None:
+        key = rows.select("time", "node_id").limit(0)
+    else:
+        key = met.select("time", "node_id")
         # seconds stored within the duplicate TTL; later repeats are conflicts instead
-        recent = stored.select("node_id", F.date_trunc("second", "time").alias("_s"), F.col("received_at").alias("_at"))
+        recent = met.select("node_id", "_s", F.col("received_at").alias("_at"))
         live = F.col("_at") > F.col("received_at") - F.make_dt_interval(secs=F.lit(DEDUP_TTL_S))
         rows = rows.join(
             recent, (rows["node_id"] == recent["node_id"]) & (F.date_trunc("second", "time") == F.col("_s")) & live, "left_anti")
-    conflicts = dedup.conflict_audit(rows, key, "source_region")
+    rows = stored(rows, "clean")
+    samples = rows.select("time", "node_id", *METRIC_TYPES, "arrival")
+    epoch_writer(f"{out}/scores")(carried.scores(samples, f"{out}/state", epoch), epoch)
+    epoch_writer(f"{out}/alerts")(carried.dispositions(alerts.evaluate_rules(samples, rules), f"{out}/state", epoch), epoch)
+    conflicts = stored(dedup.conflict_audit(rows, key, "source_region", RECEIPT), "conflicts")
     epoch_writer(f"{out}/conflicts")(conflicts, epoch)
-    epoch_writer(table, "date")(dedup.insert_first_wins(rows, key), epoch)
-    versions = f"{out}/nodes"
+    fresh = stored(dedup.insert_first_wins(rows, key, RECEIPT), "fresh")
+    write_metrics(fresh.drop("date"), f"{out}/metrics", "ingest", epoch)
+    # counts of written rows come from the footers of their files
+    processed, clean, lost = fresh.count(), rows.count(), conflicts.count()
+    probes = rows.agg(F.count_distinct("node_id")).first()[0]
+    told = processed + counts["failed"]
+    summary = [(processed, counts["failed"], counts["valid"] - clean + lost, probes, round(counts["failed"] / told, 4) if told else 0.0)]
+    epoch_writer(f"{out}/summary")(spark.createDataFrame(
+        summary, "rows_processed long, rows_failed long, duplicate_count long, active_probes long, error_rate double"), epoch)
+    versions, top = f"{out}/nodes", rows.agg(F.max("received_at")).first()[0]
+    if top is None:
+        return
+    known = None
     if _exists(spark, versions):
         past = spark.read.parquet(versions).where(F.col("epoch") < epoch)
         last = past.agg(F.max("epoch")).first()[0]
         known = past.where(F.col("epoch") == last).drop("epoch") if last is not None else None
-    else:
-        known = None
     if known is None:
         known = spark.createDataFrame(
             [], "node_id string, node_name string, status string, country string, region string, last_seen_at timestamp")
-    epoch_writer(versions)(node_ops.upsert_nodes(known, rows, F.lit(span[2])), epoch)
+    epoch_writer(versions)(node_ops.upsert_nodes(known, rows, F.lit(top)), epoch)
