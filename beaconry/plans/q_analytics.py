@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from beaconry.functions.state import performance_level
 from beaconry.operators import alerts as H, audit as L, dedup as D, logs as LG, quality as M, rowwindow as G
@@ -329,14 +329,17 @@ def log_search(spark, sf):
     return out.select("arrival", "timestamp", "service", "latency_ms")
 
 
-@query("L4", sql("logs", """SELECT arrival, coalesce(trace_id, 'unknown') AS trace_id, message,
-    false AS decode_error, false AS has_secret FROM logs"""))
+@query("L4", sql("logs", """SELECT arrival, CASE WHEN arrival % 7 = 3 THEN 'unknown' ELSE coalesce(trace_id, 'unknown') END AS trace_id,
+    CASE WHEN arrival % 7 = 3 THEN 'plain ' || arrival ELSE message END AS message, arrival % 7 = 3 AS decode_error, false AS has_secret,
+    CASE WHEN arrival % 7 <> 3 THEN service END AS service FROM logs"""))
 def normalize_logs(spark, sf):
-    """Documents wrapped as JSON log lines with a trace id and a password."""
+    """Documents wrapped as JSON log lines with a trace id and a password; every seventh line is no JSON."""
     line = F.to_json(F.struct("message", "trace_id", "service", F.lit("x").alias("password")))
+    line = F.when(F.col("arrival") % 7 == 3, F.concat(F.lit("plain "), F.col("arrival"))).otherwise(line)
     out = LG.normalize_logs(A.logs(spark, sf).select("arrival", line.alias("message")))
     secret = F.array_contains(F.map_keys("fields"), "password")
-    return out.select("arrival", "trace_id", "message", "decode_error", secret.alias("has_secret"))
+    return out.select("arrival", "trace_id", "message", "decode_error", secret.alias("has_secret"),
+                      F.try_element_at("fields", F.lit("service")).alias("service"))
 
 
 def _audit_entries(spark, sf):
@@ -366,11 +369,21 @@ def audit_chain(spark, sf):
     return out.select("conv_id", "turn", "prev_hash", "hash")
 
 
-@query("L2", "SELECT conv_id, CAST(NULL AS BIGINT) AS first_broken_line, true AS valid FROM conversations GROUP BY conv_id")
+@query("L2", """SELECT conv_id, CAST(min(turn) FILTER (WHERE broken) AS BIGINT) AS first_broken_line, count(*) FILTER (WHERE broken) = 0 AS valid FROM (
+    SELECT *, CASE conv_id % 6 WHEN 1 THEN place = 2 WHEN 2 THEN place = 1 WHEN 3 THEN place = 3 WHEN 4 THEN place = 2 ELSE false END AS broken
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)) GROUP BY conv_id""")
 def audit_verify(spark, sf):
-    chain_ = L.chain_build(_audit_entries(spark, sf), ["conv_id"], ["turn"])
-    lines = chain_.select("conv_id", F.col("turn").alias("line"), L.entry_json(chain_).alias("value"))
-    return L.chain_verify(lines, ["conv_id"])
+    """A sixth of the chains each: unreadable second line, edited first line, second line missing, second line from elsewhere; a sixth has blank lines."""
+    entries = _audit_entries(spark, sf)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    built = L.chain_build(entries, ["conv_id"], ["turn"]).withColumn("place", place)
+    kind, at = F.col("conv_id") % 6, F.col("place")
+    line = L.entry_json(built)
+    value = (F.when((kind == 1) & (at == 2), F.substring(line, 1, 20)).when((kind == 2) & (at == 1), F.replace(line, F.lit('"prev_hash":"GENESIS"'), F.lit('"prev_hash":"GENESI5"')))
+             .when((kind == 4) & (at == 2), F.regexp_replace(line, '"prev_hash":"[0-9a-f]+"', '"prev_hash":"0000000000000000"')).otherwise(line))
+    lines = built.where(~((kind == 3) & (at == 2))).select("conv_id", F.col("turn").cast("long").alias("line"), value.alias("value"))
+    blank = lines.where((kind == 5)).select("conv_id", F.col("line"), F.lit("  ").alias("value"))
+    return L.chain_verify(lines.unionByName(blank), ["conv_id"])
 
 
 @query("L3", "SELECT count(*) AS total_entries, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS file_size_bytes FROM conversations")

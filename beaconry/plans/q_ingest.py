@@ -128,19 +128,31 @@ def fixed_window_quota(spark, sf):
         "arrival", "hit", "allowed")
 
 
-@query("B11", sql("env", "SELECT arrival, CAST(NULL AS VARCHAR) AS limit_error FROM env"))
+@query("B11", sql("env", """SELECT arrival, CASE WHEN arrival % 50 = 7 THEN 'too_many_metrics' WHEN arrival % 5000 = 1 THEN 'batch_too_large'
+    WHEN arrival % 20 = 3 THEN 'metric_too_large' END AS limit_error FROM env"""))
 def check_limits(spark, sf):
-    return B.check_limits(order_envelopes(spark, sf)).select("arrival", "limit_error")
+    """Some envelopes get 1,001 metrics, some a body beyond ten megabytes, some a metric beyond four kilobytes; one at its limit passes."""
+    env, at = order_envelopes(spark, sf), F.col("arrival")
+    first = F.element_at("metrics", 1)
+    long = F.transform("metrics", lambda m: m.withField("metadata", F.create_map(F.lit("note"), F.repeat(F.lit("x"), 5000))))
+    many = F.when(at % 50 == 7, 1001).when(at % 50 == 8, 1000)
+    env = env.withColumn("metrics", F.when(many.isNotNull(), F.array_repeat(first, many)).when(at % 20 == 3, long).otherwise(F.col("metrics")))
+    env = env.withColumn("body", F.when(at % 5000 == 1, F.repeat(F.lit("y"), 10 * 1024 * 1024 + 1)).otherwise(F.col("body")))
+    return B.check_limits(env).select("arrival", "limit_error")
+
+
+#: CTEs from the envelopes to those accepted (``batches``).
+ADMITTED = (f"""checked AS (SELECT *, CASE WHEN batch_id IS NULL THEN 'missing_batch_id'
+          WHEN bad_ts OR abs(us - header_s * 1000000) > 300000000 THEN 'stale_timestamp' END AS reason,
+          {_REGION} IN ('gh-accra', 'ac-low', 'ad-high', 'unknown') AS known FROM env)""",
+      "fresh AS (SELECT * FROM checked WHERE reason IS NULL)", chain("burned", "fresh", "nonce", "us", 600),
+      "good AS (SELECT * FROM burned WHERE NOT odd AND known AND cents * n_metrics <= 40000000)", chain("batches", "good", "batch_id", "us", 600))
 
 
 @query("B1 B2 B3 B4 B5 B7 B11", sql("env", """SELECT e.arrival, coalesce(e.reason, CASE WHEN n.arrival IS NULL THEN 'nonce_replay'
       WHEN e.odd THEN 'bad_signature' WHEN e.cents * e.n_metrics > 40000000 THEN 'invalid_payload' WHEN NOT e.known THEN 'invalid_region' WHEN b.arrival IS NULL THEN 'already_processed' END) AS reason
     FROM checked e LEFT JOIN burned n USING (arrival) LEFT JOIN batches b USING (arrival)""",
-      f"""checked AS (SELECT *, CASE WHEN batch_id IS NULL THEN 'missing_batch_id'
-          WHEN bad_ts OR abs(us - header_s * 1000000) > 300000000 THEN 'stale_timestamp' END AS reason,
-          {_REGION} IN ('gh-accra', 'ac-low', 'ad-high', 'unknown') AS known FROM env)""",
-      "fresh AS (SELECT * FROM checked WHERE reason IS NULL)", chain("burned", "fresh", "nonce", "us", 600),
-      "good AS (SELECT * FROM burned WHERE NOT odd AND known AND cents * n_metrics <= 40000000)", chain("batches", "good", "batch_id", "us", 600),
+      *ADMITTED,
       recursive=True))
 def admit_envelopes(spark, sf):
     return B.admit(order_envelopes(spark, sf), SECRET, _ALLOWED).select("arrival", "reason")
@@ -180,10 +192,10 @@ def conflict_audit(spark, sf):
     ELSE n.node_name END AS node_name, coalesce(n.status, 'registered') AS status, coalesce(n.country, b.country) AS country,
     coalesce(n.region, 'Unknown') AS region,
     CASE WHEN n.node_name IS NOT NULL AND b.country IS NOT NULL THEN TIMESTAMP '{NOW}' END AS last_seen_at
-    FROM (SELECT * FROM nodes WHERE status <> 'deleted') n FULL JOIN
+    FROM nodes n FULL JOIN
       (SELECT node_id, upper(substr(arg_min(probe_type, arrival), 1, 2)) AS country FROM metrics GROUP BY 1) b USING (node_id)"""))
 def upsert_nodes(spark, sf):
-    nodes = A.nodes(spark, sf).where(F.col("status") != "deleted").select(
+    nodes = A.nodes(spark, sf).select(
         "node_id", "node_name", "status", "country", "region", F.lit(None).cast("timestamp_ntz").alias("last_seen_at"))
     batch = A.metrics(spark, sf).select(
         "node_id", scalar.country_code(F.col("probe_type")).alias("country"),

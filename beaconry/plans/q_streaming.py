@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beaconry.plans import stored
 from beaconry.plans.q_analytics import _H5, _ROLL
-from beaconry.plans.q_ingest import BUCKET_RUN
+from beaconry.plans.q_ingest import ADMITTED, BUCKET_RUN
 from beaconry.plans.q_rollups import node_rollup_sql
 from beaconry.plans.registry import query
 from beaconry.plans.views import sql
 from beaconry.session import prepare, scratch_dir
+from beaconry.schemas import ENVELOPE
 from beaconry.sources import adapters as A
+from beaconry.sources.envelopes import SECRET, order_envelopes
+from beaconry.sources.snapshot import SnapshotTable
+from beaconry.sources.store import compact_old, read_metrics
 from beaconry.streaming import jobs, state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -136,3 +140,58 @@ def stream_late_repair(spark, sf):
 def stream_late_repair_closed(spark, sf):
     """The five-minute tier as the stream leaves it: closed buckets hold their late rows, open ones are not there yet."""
     return _upkeep(prepare(spark), sf)[0].tier("5m_node").drop("latency_sketch")
+
+
+_INGESTED: dict[tuple, str] = {}
+
+
+def _ingested(spark: SparkSession, sf: str, cuts: tuple[int, ...]) -> str:
+    """The envelopes through the ingest stream, a micro-batch per span of seconds of receipt; the folder of its tables.
+
+    The tables are made once per session and table folder, and read by several queries.
+    """
+    ident = (spark.sparkContext.applicationId, sf, cuts)
+    if ident in _INGESTED and SnapshotTable(spark, f"{_INGESTED[ident]}/metrics").versions():
+        return _INGESTED[ident]
+    path = scratch_dir(prepare(spark), "ingest")
+    env = order_envelopes(spark, sf)
+    second = F.floor((A.micros("received_at") - A.EPOCH_US) / 1000000)
+    span = F.size(F.filter(F.array(F.lit(-1), *[F.lit(c) for c in cuts]), lambda c: c <= second)) - 1
+    env = env.select(*spark.createDataFrame([], ENVELOPE).columns, span.alias("span")).withColumn("received_at", F.col("received_at").cast("timestamp"))
+    for k in range(len(cuts) + 1):
+        env.where(F.col("span") == k).drop("span").write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(env.drop("span").schema).parquet(f"{path}/in")
+        jobs.ingest_stream(source, f"{path}/out", f"{path}/checkpoint", SECRET, ("gh-accra", "ac-low", "ad-high")).awaitTermination()
+    _INGESTED[ident] = f"{path}/out"
+    return _INGESTED[ident]
+
+
+_STORED = """SELECT node_id, make_timestamp(header_s * 1000000) AS time, us * 1000 AS arrival, CAST((cents % 10001) / 100.0 AS DECIMAL(5,2)) AS uptime_pct,
+    CAST((cents % 1000) / 100.0 AS DECIMAL(5,2)) AS packet_loss FROM batches"""
+
+
+def _stored_metrics(spark: SparkSession, out: str) -> DataFrame:
+    rows = read_metrics(spark, f"{out}/metrics")
+    return _ntz(rows.select("node_id", "time", "arrival", "uptime_pct", "packet_loss"), "time")
+
+
+@query("K1 A4 D1", sql("env", _STORED, *ADMITTED, recursive=True))
+def ingest_stream_metrics(spark, sf):
+    """The metric table after one micro-batch: the first metric of each accepted envelope (its second one has the same second)."""
+    return _stored_metrics(spark, _ingested(spark, sf, ()))
+
+
+@query("K1 A4 A11 D1", sql("env", _STORED, *ADMITTED, recursive=True))
+def ingest_stream_compacted(spark, sf):
+    """The same after three micro-batches and a compaction of the ingested table."""
+    out = _ingested(spark, sf, (800, 1600))
+    compact_old(spark, f"{out}/metrics", "2024-02-01 00:00:00")
+    return _stored_metrics(spark, out)
+
+
+@query("K1 F16", sql("env", """SELECT count(*) AS rows_processed, CAST(0 AS BIGINT) AS rows_failed,
+    CAST(count(*) FILTER (WHERE n_metrics > 1) AS BIGINT) AS duplicate_count FROM batches""", *ADMITTED, recursive=True))
+def ingest_stream_summary(spark, sf):
+    """Counters of three micro-batches added up."""
+    rows = spark.read.parquet(f"{_ingested(spark, sf, (800, 1600))}/summary")
+    return rows.agg(*[F.sum(c).alias(c) for c in ("rows_processed", "rows_failed", "duplicate_count")])
