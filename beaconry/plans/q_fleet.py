@@ -13,6 +13,7 @@ from beaconry.plans.registry import query
 from beaconry.plans.tiers import fleet_percentiles, query_fleet
 from beaconry.plans.views import mean, sql
 from beaconry.sources import adapters as A
+from beaconry.sources.pages import metrics_page
 from beaconry.sources.rollup_store import TIERS
 
 START, END = "2024-01-01 00:00:00", "2024-01-01 01:00:00"
@@ -204,6 +205,19 @@ def list_metrics_page(spark, sf):
     return Q.list_metrics(A.metrics(spark, sf), A.nodes(spark, sf), start=START, end=END, limit=100, offset=200)
 
 
+@query("E1 I1", sql("native nodes", """SELECT m.node_id, coalesce(country, 'XX') AS country, coalesce(region, 'Unknown') AS region,
+    latency_ms, uptime_pct, packet_loss, time, arrival FROM (SELECT * FROM native ORDER BY time DESC, node_id, arrival LIMIT 500 OFFSET 1000) m
+    LEFT JOIN nodes USING (node_id)"""))
+def list_metrics_by_cursor(spark, sf):
+    """The third page of 500 samples of the stored table, reached by cursors."""
+    table, cursor = stored.store(spark, sf, "native").raw, None
+    for _ in range(2):
+        _, cursor = metrics_page(table, A.nodes(spark, sf), cursor, 500)
+        if cursor is None:
+            break
+    return metrics_page(table, A.nodes(spark, sf), cursor, 500)[0] if cursor else metrics_page(table, A.nodes(spark, sf), None, 1)[0].limit(0)
+
+
 @query("E2", sql("metrics nodes", """SELECT n.node_id, status, country, region, coalesce(CAST(lat AS DOUBLE), 0) AS lat,
     coalesce(CAST(lng AS DOUBLE), 0) AS lng, max(time) AS last_seen FROM nodes n LEFT JOIN metrics m USING (node_id)
     WHERE status <> 'deleted' GROUP BY ALL"""))
