@@ -23,6 +23,7 @@ HEADLINE = [
     "rolling_anomaly", "evaluate_rules", "alert_cooldown", "alert_node_quota", "greedy_cooldown", "pending_alerts",
     "debounce_levels", "token_bucket", "admit_envelopes", "log_volume", "quality_report", "run_alerts", "metric_rules",
     "dispatch_payload", "stream_rollup_1m",
+    "fleet_p95_from_daily_sketches", "fleet_wide_windows", "refresh_rollup_5m", "list_metrics_by_cursor", "stream_dedup",
 ]
 
 
