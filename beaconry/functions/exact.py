@@ -51,11 +51,6 @@ def merged_mean(df: DataFrame, name: str, alias: str | None = None) -> Column:
     return F.sum(f"{alias}_sum") / (F.sum(f"{alias}_n") * F.lit(10**scale))
 
 
-def rounded_mean(df: DataFrame, name: str, digits: int) -> Column:
-    """Mean rounded half-up in integers; for decimals of non-negative value. Doubles use ``round``."""
-    return rounded_ratio(scale_of(df, name), F.sum(units(df, name)), F.count(name), digits)
-
-
 def rounded_ratio(scale: int | None, total_units: Column, n: Column, digits: int) -> Column:
     if scale is None:
         return F.round(total_units / n, digits)

@@ -98,10 +98,6 @@ def run_alerts(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, **split)
     return ends[0].unionByName(ends[1]).unionByName(ends[2])
 
 
-def alert_counts(alerts: DataFrame) -> DataFrame:
-    return alerts.groupBy("disposition", "severity").agg(F.count(F.lit(1)).alias("alerts"))
-
-
 def dispatch_payload(alerts: DataFrame) -> DataFrame:
     """alert_id and the JSON attachment a chat webhook takes."""
     color = F.when(F.col("severity") == "critical", COLORS["critical"]).otherwise(COLORS["warning"])

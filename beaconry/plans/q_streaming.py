@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from beaconry.plans import stored
 from beaconry.plans.q_analytics import _H5, _ROLL
 from beaconry.plans.q_ingest import ADMITTED, BUCKET_RUN
-from beaconry.plans.q_rollups import node_rollup_sql
+from beaconry.plans.q_rollups import REGION_ROLLUP, node_rollup_sql
 from beaconry.plans.registry import query
 from beaconry.plans.views import sql
 from beaconry.session import prepare, scratch_dir
@@ -67,6 +67,39 @@ def stream_dedup(spark, sf):
     return out.select("node_id", F.date_trunc("second", "time").cast("timestamp_ntz").alias("second"))
 
 
+_NEWEST = "(SELECT date_trunc('millisecond', max(time)) FROM metrics)"
+
+
+@query("K5 D1", sql("metrics", f"""SELECT node_id, time, arrival, latency_ms FROM (SELECT *, row_number() OVER (
+    PARTITION BY node_id, date_trunc('second', time) ORDER BY arrival) AS place FROM metrics)
+    WHERE place = 1 AND date_trunc('second', time) + INTERVAL '1 second' <= {_NEWEST} - INTERVAL '180 seconds'"""))
+def stream_first_arrivals(spark, sf):
+    """The first arrival of each node and second, of the seconds that the watermark has passed."""
+    rows = _metrics(spark, sf).select("time", "node_id", "arrival", "latency_ms")
+    return _ntz(run_to_end(jobs.stream_first_arrival(rows), "first").select("node_id", "time", "arrival", "latency_ms"), "time")
+
+
+@query("K2", sql("metrics", f"SELECT * FROM r WHERE bucket + INTERVAL '5 minutes' <= {_NEWEST} - INTERVAL '20 minutes'",
+                 f"r AS ({node_rollup_sql('metrics', '5 minutes')})"))
+def stream_rollup_5m(spark, sf):
+    return _ntz(run_to_end(jobs.stream_rollup(_metrics(spark, sf), "5 minutes"), "rollup5m"), "bucket")
+
+
+@query("K2", sql("metrics nodes", f"SELECT * FROM r WHERE bucket + INTERVAL '5 minutes' <= {_NEWEST} - INTERVAL '15 minutes'",
+                 f"r AS ({REGION_ROLLUP})"))
+def stream_rollup_region(spark, sf):
+    return _ntz(run_to_end(jobs.stream_region_rollup(_metrics(spark, sf), A.nodes(spark, sf)), "region5m"), "bucket")
+
+
+@query("B4 B5", sql("env", "SELECT DISTINCT nonce FROM env"))
+def stream_first_nonces(spark, sf):
+    """Nonces that the stream lets through when they live longer than the input."""
+    env = order_envelopes(spark, sf).select("nonce", "batch_id", F.col("received_at").cast("timestamp").alias("received_at"))
+    path = scratch_dir(prepare(spark), "nonces")
+    env.write.parquet(path)
+    return run_to_end(jobs.stream_first_use(spark.readStream.schema(env.schema).parquet(path), "nonce", "100000 seconds"), "nonce").select("nonce")
+
+
 @query("K6", sql("metrics", """SELECT arrival, node_id, CASE WHEN n >= 5 THEN CAST(((2 * s + n) // (2 * n)) / 100.0::DOUBLE AS DECIMAL(10,2)) END
     AS latency_avg_window, CASE WHEN n >= 5 THEN CAST(round(sd, 2) AS DECIMAL(10,2)) END AS latency_std_window FROM zs""", _ROLL))
 def stream_anomaly(spark, sf):

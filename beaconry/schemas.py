@@ -11,11 +11,6 @@ ENVELOPE = (
     f"node_id string, metrics array<struct<{METRIC.replace(' string', ':string').replace(' double', ':double').replace(' map', ':map')}>>, "
     "received_at timestamp"
 )
-HEARTBEAT = "node_id string, active_target string, timestamp timestamp"
-NODE = (
-    "node_id string, node_name string, display_name string, status string, country string, region string, "
-    "lat decimal(9,6), lng decimal(9,6), last_seen_at timestamp"
-)
 
 # Admission limits of one metric and one batch.
 MAX_METRIC_BYTES = 4 * 1024

@@ -79,6 +79,3 @@ def order_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = hmac_sha256(SECRET, signing_message(F.col("batch_id"), F.col("timestamp"), F.col("nonce"), F.col("body")))
     return o.withColumn("signature", F.when(odd, F.reverse(signed)).otherwise(signed)).withColumnRenamed(
         "o_orderkey", "arrival").drop("cents", "o_custkey", "o_orderstatus", "o_orderpriority")
-
-
-METRIC_COLUMNS = [f.strip().split(" ")[0] for f in METRIC.split(", ")]

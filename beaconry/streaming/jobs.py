@@ -54,6 +54,18 @@ def stream_dedup(df: DataFrame, ttl: str = "180 seconds", received: str | None =
     return rows.dropDuplicatesWithinWatermark(["node_id", "_second"]).drop("_second")
 
 
+def stream_first_arrival(df: DataFrame, lateness: str = "180 seconds") -> DataFrame:
+    """One row per node and second, the one with the smallest ``arrival`` whatever the micro-batches and their order.
+
+    A second comes out once the watermark of the event time, ``lateness`` behind the newest, has passed it; then its state goes.
+    """
+    rows = event_time(df).withWatermark("time", lateness)
+    kept = [c for c in df.columns if c not in ("time", "node_id")]
+    first = F.min_by(F.struct(F.col("time").alias("at"), *kept), "arrival").alias("_first")
+    out = rows.groupBy(F.window("time", "1 second").alias("_w"), "node_id").agg(first)
+    return out.select(F.col("_first.at").alias("time"), "node_id", *[F.col(f"_first.{c}").alias(c) for c in kept])
+
+
 def stream_first_use(df: DataFrame, key: str, ttl: str = "600 seconds") -> DataFrame:
     """Envelopes whose nonce or batch id was not used within the TTL."""
     return event_time(df, "received_at").withWatermark("received_at", ttl).dropDuplicatesWithinWatermark([key])
