@@ -273,6 +273,18 @@ def parse_metadata(spark, sf):
     return rest.select("arrival", "node_id", F.col("metadata")["k_count"].alias("k_count"))
 
 
+@query("C17", """SELECT 'probe-' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS node_id, CAST(k AS DOUBLE) AS cpu_pct, CAST(NULL AS DOUBLE) AS mem_pct,
+    CAST(k * 2 AS BIGINT) AS push_ok, CASE WHEN k % 2 = 0 THEN CAST(k AS BIGINT) END AS push_err
+    FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) WHERE event_type = 'error'""")
+def split_health_reports(spark, sf):
+    """The self-reports; what cannot be read as a number is null."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    meta = F.create_map(F.lit("type"), F.when(F.col("event_type") == "error", "health").otherwise("ping"), F.lit("cpu_pct"), k.cast("string"),
+                        F.lit("mem_pct"), F.lit("n/a"), F.lit("push_ok"), (k * 2).cast("string"), F.lit("push_err"), F.when(k % 2 == 0, k.cast("string")))
+    raw = A.table(spark, sf, "events").select(A.node_key("user_id").alias("node_id"), F.col("ts").cast("string").alias("timestamp"), meta.alias("metadata"))
+    return C.split_health(raw)[1].drop("timestamp")
+
+
 @query("C7", sql("nodes", """SELECT node_id, slug, shown_slug, region || '/' || country AS label FROM nodes"""))
 def region_slugs(spark, sf):
     c, r = F.col("country"), F.col("region")

@@ -40,6 +40,17 @@ def write_log_files(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("arrival", "day", "service", "level", F.sha2(F.col("message").cast("binary"), 256).alias("message_sha256"), "latency_ms")
 
 
+@query("A8", sql("native", """SELECT arrival, strftime(time, '%Y.%m') AS month, node_id, probe_type, CAST(latency_ms AS DOUBLE) AS latency_ms,
+    make_timestamp(epoch_us(time) // 1000 * 1000) AS timestamp FROM native"""))
+def write_event_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Event documents by month; JSON keeps milliseconds."""
+    path = scratch_dir(prepare(spark), "events")
+    rows = A.metrics(spark, sf, "native").select("arrival", "node_id", "probe_type", "latency_ms", F.col("time").alias("timestamp"))
+    S.write_events(rows, path)
+    back = spark.read.schema("arrival long, node_id string, probe_type string, latency_ms double, timestamp timestamp_ntz, month string").json(path)
+    return back.select("arrival", "month", "node_id", "probe_type", "latency_ms", F.date_trunc("millisecond", "timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
 @query("A9", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'again' ELSE source END AS index,
     doc_id % 3 = 0 AS quarantined FROM documents""")
 def replay_dead_letters(spark: SparkSession, sf: str) -> DataFrame:

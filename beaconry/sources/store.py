@@ -51,8 +51,8 @@ def replay_dlq(lines: DataFrame, default_index: str) -> tuple[DataFrame, DataFra
 
     Both keep the file date; write or index in that order to replay chronologically.
     """
-    doc = F.try_parse_json(F.trim("value"))
-    parsed = lines.where(F.length(F.trim("value")) > 0).withColumn("_ok", doc.isNotNull())
+    doc = F.when(F.length(F.trim("value")) > 0, F.try_parse_json(F.trim("value")))  # a blank line is no document
+    parsed = lines.withColumn("_ok", doc.isNotNull())
     index = F.coalesce(F.get_json_object("value", "$._index"), F.lit(default_index))
     source = F.coalesce(F.get_json_object("value", "$._source"), F.trim("value"))
     good = parsed.where("_ok").select("file_date", "file", index.alias("_index"), source.alias("_source"))
