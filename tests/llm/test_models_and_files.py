@@ -207,7 +207,7 @@ def test_query_equals_oracle(spark, name):
 
 def test_all_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", ["op4_suffix_array_dedup", "op9_toxicity"])
