@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from beaconry.llm.common import row_key, slices, spare_name, stored
+from beaconry.llm.common import NULL_ID, row_key, slices, spare_name, stored
 
 SEED = 42
 #: A trie node is dealt out by salts if it holds more fingerprints than this and than four times the mean.
@@ -257,7 +257,7 @@ def keep_one(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
     """
     found = near_duplicates(docs, words, max_bits)
     best = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id")
-            .agg(F.min("text_hash").alias("digest")).select(F.col("component_id").isNull(), F.coalesce("component_id", F.lit(-1)), "digest"))
+            .agg(F.min("text_hash").alias("digest")).select(F.col("component_id").isNull(), F.coalesce("component_id", F.lit(NULL_ID)), "digest"))
     key, digest = row_key(docs)
     cols = docs.columns
     e, k, h, n = (spare_name(docs, c) for c in ("keep_null_", "keep_id_", "keep_hash_", "keep_row_"))
