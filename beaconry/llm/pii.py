@@ -7,9 +7,8 @@ documents select which candidates are added. Added spans have kinds of their own
 
 No table labels personal data, so the trees learn from weak labels: a candidate counts as personal if it overlaps a
 checked base span or is the value of a credential assignment. Features hold no such check, so the trees carry over to
-spans that look the same but miss the strict pattern. Training counts candidates per cell of binned features over at
-most ``train_docs`` documents (smallest hashes of the id); only the cells, whose number the bins bound, reach the
-driver. Scores are plain CASE expressions. Nothing is shuffled when documents are scored.
+spans that look the same but miss the strict pattern. Training counts candidates per cell of binned features over all
+documents that have an id; only the cells, whose number the bins bound, reach the driver. Scores are plain CASE expressions. Nothing is shuffled when documents are scored.
 
 Positions are code points, ends exclusive. Defined results: null texts are empty, empty texts have no spans, repeated
 rows get equal rows, other columns are ignored, an empty table gives an empty result and no tree.
@@ -22,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from beaconry.llm.common import spare_name, stored, text_or_empty
+from beaconry.llm.common import spare_name, text_or_empty
 
 #: The fixed patterns, written so that no input makes them backtrack: possessive repeats, and a start that is either the
 #: end of the last match or not inside a run of the same characters.
@@ -50,7 +49,6 @@ SPAN_TYPE = "array<struct<s:int,e:int,v:string>>"
 
 @dataclass(frozen=True)
 class Params:
-    train_docs: int = 4_000
     rounds: int = 24
     rate: float = 0.3
     precision: float = 0.95
@@ -237,9 +235,7 @@ def boost(cells: list[dict], p: Params) -> Trees:
 
 
 def fit(docs: DataFrame, p: Params = Params()) -> Trees:
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.train_docs)
-    # Written first: the optimizer would move the search for candidates below the join, over all documents.
-    rows = stored(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id"), "pii-sample")
+    rows = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
     rows = candidates(base_spans(rows, "text"), "text", p)
     c = rows.select(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(2)).cast("int").alias("fold"), F.explode("cands").alias("c"))
     cells = c.groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(

@@ -58,6 +58,22 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert np.allclose(a["score"], b["score"])
 
 
+def test_every_labelled_row_trains(spark):
+    """More rows than a chunk train side by side; none is left out, and the model still tells the labels apart."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(("bad", "worse") if i % 3 == 0 else ("good", "fine")) if rng.random() < 0.4 else rng.choice("abcdef")
+                         for _ in range(20)), int(i % 3 > 0)) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    p = quality.Params(chunk_docs=100, epochs=12)
+    model = quality.fit(docs, labels, p)
+    x = np.stack([quality.features(model.vectors, quality.Buckets(p), r[1]) for r in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)  # of all 600 rows, in six chunks
+    assert auc(model.scores(x), np.array([r[2] for r in rows])) > 0.99 and 1 <= model.temperature <= 8
+    one = quality.fit(docs, labels.withColumn("quality", F.lit(1)), p)
+    assert set(one.scores(x).round(6)) == {round(1 / (1 + np.exp(-4)), 6)}
+
+
 def test_counterfactual_penalty_pulls_identity_terms_together():
     rng = np.random.default_rng(0)
     # Feature 0 says the label; 1 and 2 are identity terms, and 1 goes with the label by accident of the sample.

@@ -148,6 +148,14 @@ def test_trie_links_with_and_without_salts(spark, hot):
         assert len(set(roots.values())) == len(set(together.values()))
 
 
+def test_candidates_of_all_documents_train(spark, monkeypatch):
+    seen, boost = [], pii.boost
+    monkeypatch.setattr(pii, "boost", lambda cells, p: seen.extend(cells) or boost(cells, p))
+    docs = spark.range(9_000).selectExpr("if(id < 4500, id, null) as doc_id", "concat('write to me', id, '@example.com today') as text")
+    pii.fit(docs)
+    assert sum(c["n"] for c in seen if c["kind"] == 0) == 4_500  # every document that has an id
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
