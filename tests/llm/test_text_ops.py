@@ -191,6 +191,24 @@ def test_encoder_equals_tokenizer(path, odd_texts):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_with_a_mark_need_no_pattern(path):
+    """Words, alone or with a mark at their end, are cut without the pattern; others still go through it."""
+    encoder, tokenizer, cut = Encoder(path), Tokenizer.from_file(path), []
+    pattern = encoder.pattern
+
+    class Counting:
+        def findall(self, part):
+            cut.append(part)
+            return pattern.findall(part)
+
+    encoder.pattern = Counting()
+    for text, odd in (("Straße, Ça va? THE end.", ""), ("One: one; ONE!", ""), ("wait... 12. don't", "wait... 12. don't"), ("a.b, . a", "a.b, .")):
+        cut.clear()
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert {part.strip() for part in cut} == set(odd.split())
+
+
 def test_packing(odd, empty):
     tokenizer = Tokenizer.from_file(BYTES)
     rows = as_dicts(packing.pack(odd, BYTES))
