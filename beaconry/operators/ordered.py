@@ -69,9 +69,9 @@ def _chunk(df: DataFrame, order: str) -> Column:
     return ((seg - 1) * F.col("_parts") + share).cast("int")
 
 
-def stored(df: DataFrame, name: str = "rows") -> DataFrame:
-    """The rows written once to the shared scratch folder; survives lost executors and is not recomputed."""
-    path = scratch_dir(df.sparkSession, name)
+def stored(df: DataFrame, name: str = "rows", path: str | None = None) -> DataFrame:
+    """The rows written once to the shared scratch folder (or ``path``); survives lost executors and is not recomputed."""
+    path = path or scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

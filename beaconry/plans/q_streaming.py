@@ -16,7 +16,7 @@ from beaconry.plans.views import sql
 from beaconry.session import prepare, scratch_dir
 from beaconry.schemas import ENVELOPE
 from beaconry.sources import adapters as A
-from beaconry.sources.envelopes import SECRET, order_envelopes
+from beaconry.sources.envelopes import SECRET, as_envelopes, order_envelopes, received_us
 from beaconry.sources.snapshot import SnapshotTable
 from beaconry.sources.store import compact_old, read_metrics
 from beaconry.streaming import jobs, state
@@ -187,13 +187,13 @@ def _ingested(spark: SparkSession, sf: str, cuts: tuple[int, ...]) -> str:
     if ident in _INGESTED and SnapshotTable(spark, f"{_INGESTED[ident]}/metrics").versions():
         return _INGESTED[ident]
     path = scratch_dir(prepare(spark), "ingest")
-    env = order_envelopes(spark, sf)
-    second = F.floor((A.micros("received_at") - A.EPOCH_US) / 1000000)
+    orders = A.table(spark, sf, "orders")
+    second = F.floor((received_us() - A.EPOCH_US) / 1000000)
     span = F.size(F.filter(F.array(F.lit(-1), *[F.lit(c) for c in cuts]), lambda c: c <= second)) - 1
-    env = env.select(*spark.createDataFrame([], ENVELOPE).columns, span.alias("span")).withColumn("received_at", F.col("received_at").cast("timestamp"))
-    for k in range(len(cuts) + 1):
-        env.where(F.col("span") == k).drop("span").write.mode("append").parquet(f"{path}/in")
-        source = spark.readStream.schema(env.drop("span").schema).parquet(f"{path}/in")
+    for k in range(len(cuts) + 1):  # orders wait on disk; the stream makes their envelopes, which are many times as large
+        orders.where(span == k).write.mode("append").parquet(f"{path}/in")
+        source = as_envelopes(spark.readStream.schema(orders.schema).parquet(f"{path}/in")).select(*spark.createDataFrame([], ENVELOPE).columns)
+        source = source.withColumn("received_at", F.col("received_at").cast("timestamp"))
         jobs.ingest_stream(source, f"{path}/out", f"{path}/checkpoint", SECRET, ("gh-accra", "ac-low", "ad-high")).awaitTermination()
     _INGESTED[ident] = f"{path}/out"
     return _INGESTED[ident]

@@ -48,13 +48,22 @@ _DAY0_US = 694224000000000  # 1992-01-01
 
 
 def order_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as signed envelopes of one to three metrics; one order day becomes one second.
+    """:func:`as_envelopes` of the order table."""
+    return as_envelopes(table(spark, sf_dir, "orders"))
+
+
+def received_us(order_date: str = "o_orderdate") -> Column:
+    """Receipt of an order's envelope in microseconds: one order day becomes one second."""
+    return F.floor((micros(order_date) - F.lit(_DAY0_US)) / 86400).cast("long") + F.lit(EPOCH_US)
+
+
+def as_envelopes(o: DataFrame) -> DataFrame:
+    """Orders as signed envelopes of one to three metrics; also used on order streams.
 
     Status P signs wrongly, some P orders lack a batch id or a readable timestamp, and the third metric of a
     batch names another node.
     """
-    o = table(spark, sf_dir, "orders")
-    at = F.floor((micros("o_orderdate") - F.lit(_DAY0_US)) / 86400).cast("long") + F.lit(EPOCH_US)
+    at = received_us()
     cents = F.round(F.col("o_totalprice") * 100).cast("long")
     odd = F.col("o_orderstatus") == "P"
     header_ts = F.date_format(F.timestamp_micros(at - (cents % 600000) * 1000), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from beaconry.operators import admission, alerts as H, ordered, prefix
 from beaconry.operators.dedup import first_per
 from beaconry.operators.rowwindow import rolling_anomaly
+from beaconry.session import reading_on
 
 FULL = 16
 
@@ -110,12 +111,13 @@ def dispositions(alerts: DataFrame, root: str, epoch: int) -> DataFrame:
 def _level(spark: SparkSession, done: DataFrame, initial: tuple[float, float] | None) -> DataFrame:
     """The bucket after a micro-batch: the grants of each second, followed in order (a row per second with a grant, up to the burst)."""
     rate, burst = H.GLOBAL_PER_HOUR / 3600.0, float(H.GLOBAL_BURST)
-    grants = done.where("disposition = 'sent'").groupBy(F.date_trunc("second", "ts").alias("at")).agg(F.count("*").alias("n"))
     # after a full refill nothing earlier matters; grants are at most the refill and one burst
     tokens, last = initial or (burst, None)
-    for r in grants.select(F.unix_seconds(F.col("at").cast("timestamp")).alias("s"), "n").orderBy("s").toLocalIterator():
-        at = float(r["s"])
-        tokens = min(burst, tokens + max(0.0, at - (at if last is None else last)) * rate) - r["n"]
-        last = at
+    with reading_on(spark):
+        grants = done.where("disposition = 'sent'").groupBy(F.date_trunc("second", "ts").alias("at")).agg(F.count("*").alias("n"))
+        for r in grants.select(F.unix_seconds(F.col("at").cast("timestamp")).alias("s"), "n").orderBy("s").toLocalIterator():
+            at = float(r["s"])
+            tokens = min(burst, tokens + max(0.0, at - (at if last is None else last)) * rate) - r["n"]
+            last = at
     rows = [] if last is None else [("all", tokens, last)]
     return spark.createDataFrame(rows, "scope string, tokens double, last_s double")

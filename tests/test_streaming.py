@@ -1,13 +1,15 @@
 """Streams over several input files give what the batch operators give."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from beaconry.operators import admission as B, alerts as H, dedup as D, rollups as R, rowwindow as G
+from beaconry.operators.ordered import stored
 from beaconry.plans.q_streaming import run_to_end
-from beaconry.session import scratch_dir
+from beaconry.session import passing, reading_on, scratch_dir
 from beaconry.sources import adapters as A, envelopes as E, store as S
 from beaconry.streaming import carried, jobs, state
 
@@ -192,6 +194,45 @@ def test_ingest_stream_end_to_end(spark, tmp_path):
     assert sorted(S.read_metrics(spark, f"{out}/metrics").select("time", "latency_ms").collect()) == before
 
 
+def _envelopes(spark, sf, rows):
+    """Accepted and refused envelopes of orders: (key, customer, status, price, day, priority)."""
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, day int, o_orderpriority string")
+    orders = orders.withColumn("o_orderdate", F.expr("timestamp_ntz'1992-01-01 00:00:00' + make_dt_interval(day)")).drop("day")
+    return E.as_envelopes(orders).withColumn("received_at", F.col("received_at").cast("timestamp"))
+
+
+def test_ingest_sets_little_aside_and_leaves_nothing(spark, sf, tmp_path):
+    """Bodies, signatures and the metrics of refused envelopes are not written again; scratch folders go with their micro-batch."""
+    rows = [(i, i, "F" if i % 3 else "P", float(i), i // 4, "1-URGENT") for i in range(40)]
+    env = _envelopes(spark, sf, rows)
+    told = jobs.judged_alone(B.single_checks(env, E.SECRET))
+    assert not {"body", "signature", "nonce", "timestamp"} & set(told.columns)
+    assert told.where("metrics is not null and (early is not null or late is not null)").isEmpty()
+    assert told.where("metrics is not null").count() == 26 and told.where("late is not null").count() == 14
+    env.write.parquet(str(tmp_path / "in"))
+    kept = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(kept.iterdir()) if kept.exists() else set()
+    stream = spark.readStream.schema(env.schema).parquet(str(tmp_path / "in"))
+    jobs.ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"), E.SECRET, ("gh-accra",)).awaitTermination()
+    assert set(kept.iterdir()) == before
+    assert spark.conf.get("spark.beaconry.scratch", None) is None
+    assert S.read_metrics(spark, str(tmp_path / "out" / "metrics")).count() == 26
+    assert spark.read.parquet(str(tmp_path / "out" / "rejected")).where("reason = 'bad_signature'").count() == 14
+
+
+def test_passing_scratch_goes_after_an_error_too(spark):
+    folder = None
+    with pytest.raises(RuntimeError):
+        with passing(spark, "block") as folder:
+            rows = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "rows")
+            assert rows.count() == 7 and len(list(Path(folder).iterdir())) == 1
+            with reading_on(spark):
+                assert [r["k"] for r in rows.orderBy("k").toLocalIterator()] == list(range(7))
+            raise RuntimeError
+    assert not Path(folder).exists()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_scores_and_alerts_go_on_over_micro_batches(spark, sf):
     rows = A.metrics(spark, sf).select("time", "node_id", (F.col("latency_ms") * 2).cast("decimal(10,2)").alias("latency_ms"), "uptime_pct",
                                        "packet_loss", "arrival").orderBy("time", "arrival").toPandas()
