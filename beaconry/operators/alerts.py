@@ -29,8 +29,9 @@ class Rule:
         return F.coalesce(cond, F.lit(False))
 
     def message(self) -> Column:
+        """Text of an alert, whose measure is its ``value``."""
         text = F.replace(F.lit(self.template), F.lit("{id}"), F.coalesce(F.col("node_id"), F.lit("None")))
-        text = F.replace(text, F.lit("{val}"), F.col(self.metric).cast("double").cast("string"))
+        text = F.replace(text, F.lit("{val}"), F.col("value").cast("string"))
         return F.replace(text, F.lit("{limit}"), F.lit(str(float(self.threshold))))
 
 
@@ -51,19 +52,36 @@ GLOBAL_PER_HOUR, GLOBAL_BURST = 100, 10
 COLORS = {"critical": "#EF4444", "warning": "#F59E0B"}
 
 
-def evaluate_rules(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """One alert per row and matching rule, in rule order; a null measure matches nothing."""
+def fired(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+    """One alert per row and matching rule, in rule order, without what :func:`described` adds; a null measure matches nothing."""
     made = F.array(*[
         F.when(r.fires(), F.struct(
             F.lit(i).alias("rule_no"), F.lit(r.severity).alias("severity"), F.lit(r.metric).alias("metric_name"),
-            F.col(r.metric).cast("double").alias("value"), F.lit(float(r.threshold)).alias("threshold"),
-            r.message().alias("message")))
+            F.col(r.metric).cast("double").alias("value")))
         for i, r in enumerate(rules)])
     hits = df.select("node_id", F.col("time").alias("ts"), "arrival",
                      F.explode(F.filter(made, lambda x: x.isNotNull())).alias("a"))
-    out = hits.select("node_id", "ts", "arrival", "a.*")
+    return hits.select("node_id", "ts", "arrival", "a.*")
+
+
+def described(alerts: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+    """Alerts of :func:`fired` with threshold, message and id after ``value``; columns added since come last.
+
+    They follow from the row and its rule, so steps that shuffle alerts go without them.
+    """
+    def of_rule(pick: Callable[[Rule], Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("rule_no") == i, pick(r)) for i, r in enumerate(rules)])
+
     ident = F.sha2(F.concat_ws("|", "node_id", F.col("ts").cast("string"), "arrival", "rule_no"), 256)
-    return out.withColumn("alert_id", F.substring(ident, 1, 32))
+    own = ["node_id", "ts", "arrival", "rule_no", "severity", "metric_name", "value"]
+    return alerts.select(
+        *own, of_rule(lambda r: F.lit(float(r.threshold))).alias("threshold"), of_rule(lambda r: r.message()).alias("message"),
+        F.substring(ident, 1, 32).alias("alert_id"), *[c for c in alerts.columns if c not in own])
+
+
+def evaluate_rules(df: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+    """One alert per row and matching rule, in rule order; a null measure matches nothing."""
+    return described(fired(df, rules), rules)
 
 
 def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_S) -> DataFrame:

@@ -67,7 +67,7 @@ def _newest(rows: DataFrame, n: int) -> DataFrame:
 
 
 def dispositions(alerts: DataFrame, root: str, epoch: int) -> DataFrame:
-    """Alerts of :func:`alerts.evaluate_rules` with ``disposition``, going on from earlier micro-batches."""
+    """Alerts of :func:`alerts.evaluate_rules` (or ``fired``) with ``disposition``, going on from earlier micro-batches."""
     spark, ts = alerts.sparkSession, alerts.schema["ts"].dataType.simpleString()
     kind = ["node_id", "metric_name", "severity"]
     cooled = Carried(spark, f"{root}/cooldowns", f"node_id string, metric_name string, severity string, ts {ts}", kind)

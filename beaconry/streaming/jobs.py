@@ -279,8 +279,11 @@ def _store(spark: SparkSession, rows: DataFrame, out: str, epoch: int, counts: d
             recent, (rows["node_id"] == recent["node_id"]) & (F.date_trunc("second", "time") == F.col("_s")) & live, "left_anti")
         rows = stored(rows, "clean")
     samples = rows.select("time", "node_id", *METRIC_TYPES, "arrival")
-    epoch_writer(f"{out}/scores")(carried.scores(samples, f"{out}/state", epoch), epoch)
-    epoch_writer(f"{out}/alerts")(carried.dispositions(alerts.evaluate_rules(samples, rules), f"{out}/state", epoch), epoch)
+    with passing(spark, "scores"):
+        epoch_writer(f"{out}/scores")(carried.scores(samples, f"{out}/state", epoch), epoch)
+    with passing(spark, "alerts"):
+        judged = carried.dispositions(alerts.fired(samples, rules), f"{out}/state", epoch)
+        epoch_writer(f"{out}/alerts")(alerts.described(judged, rules), epoch)
     conflicts = stored(dedup.conflict_audit(rows, key, "source_region", RECEIPT), "conflicts")
     epoch_writer(f"{out}/conflicts")(conflicts, epoch)
     fresh = stored(dedup.insert_first_wins(rows, key, RECEIPT), "fresh")

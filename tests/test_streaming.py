@@ -255,6 +255,25 @@ def test_scores_and_alerts_go_on_over_micro_batches(spark, sf):
         assert sorted(map(tuple, alerts)) == fired
 
 
+def test_alerts_are_described_after_they_are_judged(spark, sf, monkeypatch):
+    """Messages and ids follow from row and rule; nothing that is set aside holds them, and alerts come out as from the batch operators."""
+    rows = A.metrics(spark, sf).withColumn("latency_ms", (F.col("latency_ms") * 2).cast("decimal(10,2)"))
+    aside = []
+
+    def spied(df, name="rows", path=None):
+        aside.append(set(df.columns))
+        return stored(df, name, path)
+
+    monkeypatch.setattr(carried.ordered, "stored", spied)
+    monkeypatch.setattr(carried.prefix, "stored", spied)
+    got = H.described(carried.dispositions(H.fired(rows), scratch_dir(spark, "carried"), 0))
+    monkeypatch.undo()
+    assert aside and not any({"message", "alert_id", "threshold"} & columns for columns in aside)
+    want = H.run_alerts(rows)
+    assert got.columns == want.columns and got.count() > 0
+    same(got, want)
+
+
 def test_state_is_written_whole_now_and_then_and_expires(spark):
     root = scratch_dir(spark, "state")
     for epoch in range(20):
