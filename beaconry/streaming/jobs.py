@@ -284,12 +284,13 @@ def _store(spark: SparkSession, rows: DataFrame, out: str, epoch: int, counts: d
     with passing(spark, "alerts"):
         judged = carried.dispositions(alerts.fired(samples, rules), f"{out}/state", epoch)
         epoch_writer(f"{out}/alerts")(alerts.described(judged, rules), epoch)
-    conflicts = stored(dedup.conflict_audit(rows, key, "source_region", RECEIPT), "conflicts")
+    conflicts = dedup.conflict_audit(rows, key, "source_region", RECEIPT)
     epoch_writer(f"{out}/conflicts")(conflicts, epoch)
     fresh = stored(dedup.insert_first_wins(rows, key, RECEIPT), "fresh")
     write_metrics(fresh.drop("date"), f"{out}/metrics", "ingest", epoch)
     # counts of written rows come from the footers of their files
-    processed, clean, lost = fresh.count(), rows.count(), conflicts.count()
+    lost = spark.read.schema(conflicts.schema).parquet(f"{out}/conflicts/epoch={epoch}").count()
+    processed, clean = fresh.count(), rows.count()
     probes = rows.agg(F.count_distinct("node_id")).first()[0]
     told = processed + counts["failed"]
     summary = [(processed, counts["failed"], counts["valid"] - clean + lost, probes, round(counts["failed"] / told, 4) if told else 0.0)]

@@ -220,6 +220,28 @@ def test_ingest_sets_little_aside_and_leaves_nothing(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "rejected")).where("reason = 'bad_signature'").count() == 14
 
 
+def test_conflicts_are_written_once(spark, tmp_path, monkeypatch):
+    """A sample that is stored already goes to the conflicts with its payload, which is not set aside before; the summary counts it."""
+    aside, out = [], str(tmp_path / "out")
+
+    def spied(df, name="rows", path=None):
+        aside.append(set(df.columns))
+        return stored(df, name, path)
+
+    monkeypatch.setattr(jobs, "stored", spied)
+    for epoch, wait in enumerate((0, 300)):
+        rows = spark.sql(f"""SELECT timestamp'2024-01-01' AS time, 'n1' AS node_id, 1.5BD AS latency_ms, 100BD AS uptime_pct, 0BD AS packet_loss,
+            timestamp'2024-01-01' + make_dt_interval(0, 0, 0, {wait}) AS received_at, 'gh-accra' AS source_region, 'e{epoch}#1' AS envelope,
+            {epoch}L AS arrival, 'GH' AS country, 'Accra' AS region, date'2024-01-01' AS date""")
+        rows = rows.withColumns({c: F.col(c).cast(t) for c, t in S.METRIC_TYPES.items()})
+        jobs._store(spark, rows, out, epoch, {"failed": 0, "valid": 1}, H.DEFAULT_RULES)
+    assert aside and not any("payload" in columns for columns in aside)
+    lost = spark.read.parquet(f"{out}/conflicts").collect()
+    assert [(r.epoch, json.loads(r.payload)["envelope"], r.ingest_region) for r in lost] == [(1, "e1#1", "gh-accra")]
+    told = spark.read.parquet(f"{out}/summary").orderBy("epoch").select("rows_processed", "duplicate_count").collect()
+    assert [tuple(r) for r in told] == [(1, 0), (0, 1)]
+
+
 def test_passing_scratch_goes_after_an_error_too(spark):
     folder = None
     with pytest.raises(RuntimeError):
